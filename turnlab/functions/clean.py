@@ -1,9 +1,8 @@
 """Column cleaning: every function takes a Column (or name) and returns a Column."""
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from turnlab.vocab import EXTRA_STOP_WORDS
+from turnlab.vocab import EXTRA_STOP_WORDS, GENERAL_STOP_WORDS
 
 # word characters inside a character class: letters, digits and the underscore of every script
 WORD = r"\p{L}\p{N}_"
@@ -52,9 +51,8 @@ def content_words(col, stop_words=None):
 
 
 def default_stop_words():
-    """Spark's English stop words plus the study's own additions."""
-    general = StopWordsRemover.loadDefaultStopWords("english")
-    return sorted(set(general) | set(EXTRA_STOP_WORDS))
+    """General English stop words plus the study's own additions."""
+    return sorted(set(GENERAL_STOP_WORDS) | set(EXTRA_STOP_WORDS))
 
 
 def label_eq(col, value):

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from turnlab.functions.labels import da_binary
 
-N = F.count(F.lit(1))
+def rows_n():
+    return F.count(F.lit(1))
 TOP_ACTS = 15
 
 
 def common_acts(t, da="da_label", n=TOP_ACTS):
     """The n commonest acts; at most n values come to the driver."""
-    top = (t.where(F.col(da).isNotNull()).groupBy(da).agg(N.alias("c"))
+    top = (t.where(F.col(da).isNotNull()).groupBy(da).agg(rows_n().alias("c"))
            .orderBy(F.desc("c"), F.asc(da)).limit(n))
     return [r[0] for r in top.collect()]
 
@@ -30,11 +31,11 @@ def sequence_features(t, acts, da="da_label", order="idx"):
     rows = t.where(d.isNotNull())
     # distinct acts per conversation from pre-aggregated (conversation, act) counts
     per_act = rows.groupBy("dialogue_id", da).agg(
-        N.alias("n"), F.min(order).alias("_from"), F.max(order).alias("_to"))
+        rows_n().alias("n"), F.min(order).alias("_from"), F.max(order).alias("_to"))
     counts = [F.coalesce(F.sum(F.when(d == a, F.col("n"))), F.lit(0)).alias(f"da_{a}_count") for a in acts]
     base = per_act.groupBy("dialogue_id").agg(
         F.sum("n").alias("sequence_length"), F.min_by(da, "_from").alias("first_da"),
-        F.max_by(da, "_to").alias("last_da"), N.alias("_kinds"), *counts,
+        F.max_by(da, "_to").alias("last_da"), rows_n().alias("_kinds"), *counts,
         (has("request") & has("inform")).cast("int").alias("has_request_inform"),
         (has("greeting") & has("closing")).cast("int").alias("has_greeting_closing"))
     length = F.col("sequence_length")

@@ -10,7 +10,8 @@ from turnlab.operators.blocks import (
 )
 from turnlab.operators.ordering import row_index
 
-N = F.count(F.lit(1))
+def rows_n():
+    return F.count(F.lit(1))
 
 
 def _in_order(order, *cols):
@@ -57,7 +58,7 @@ def merge_runs(u, conversation, speaker, order, text, flag=None, label=None,
                                  lambda r: r["_t"]), " ").alias(text),
         *([F.max(flag).alias(flag)] if flag else []),
         *([F.array_sort(F.collect_set(label)).alias(label)] if label else []),
-        N.alias("utterances"))
+        rows_n().alias("utterances"))
     return merged.withColumnRenamed("_run", order)
 
 
@@ -88,7 +89,7 @@ def conversation_outcome(t, pr="pr_label"):
     seen = t.groupBy("dialogue_id").agg(
         F.coalesce(F.bool_or(F.col(pr) == "Compliance"), F.lit(False)).alias("_c"),
         F.coalesce(F.bool_or(F.col(pr) == "Resistance"), F.lit(False)).alias("_r"),
-        N.alias("utterance_count"), F.count(pr).alias("_labelled"),
+        rows_n().alias("utterance_count"), F.count(pr).alias("_labelled"),
         F.array_sort(F.collect_set(pr)).alias("unique_labels"))
     single = (F.size("unique_labels") == 1) & (F.col("_labelled") == F.col("utterance_count"))
     only = F.get("unique_labels", F.lit(0))
@@ -117,7 +118,7 @@ def attach_context(t, text="sentence", order="idx", block=POSITIONS_PER_BLOCK):
     """Add the dialogue's context to each of its rows; the join key is (dialogue, block)."""
     context = dialogue_context(t, text, order, block)
     rows = with_block(t, order, block)
-    blocks = rows.groupBy("dialogue_id", BLOCK).agg(N.alias("_n")).select("dialogue_id", BLOCK)
+    blocks = rows.groupBy("dialogue_id", BLOCK).agg(rows_n().alias("_n")).select("dialogue_id", BLOCK)
     return (rows.join(blocks.join(context, "dialogue_id", "left"), ["dialogue_id", BLOCK], "left")
             .withColumn("context", F.coalesce("context", F.lit(""))).select(*t.columns, "context"))
 
@@ -143,7 +144,7 @@ def sample_turns(t, n, seed=42):
     Turns are drawn in the order of a hash of their key; only n keys are sorted together.
     """
     whole = complete_turns(t)
-    keys = whole.groupBy("dialogue_id", "turn").agg(N.alias("_n")).drop("_n")
+    keys = whole.groupBy("dialogue_id", "turn").agg(rows_n().alias("_n")).drop("_n")
     drawn = keys.orderBy(F.xxhash64("dialogue_id", "turn", F.lit(seed)), "dialogue_id", "turn").limit(n)
     return whole.join(drawn, ["dialogue_id", "turn"], "left_semi")
 
@@ -151,10 +152,10 @@ def sample_turns(t, n, seed=42):
 def corpus_profile(t):
     """Rows, dialogues, (dialogue, turn) pairs and rows per role."""
     turns = t.groupBy("dialogue_id", "turn").agg(
-        N.alias("rows"), F.count_if(F.col("role") == 0).alias("rows_role_0"),
+        rows_n().alias("rows"), F.count_if(F.col("role") == 0).alias("rows_role_0"),
         F.count_if(F.col("role") == 1).alias("rows_role_1"))
     dialogues = turns.groupBy("dialogue_id").agg(
-        *[F.sum(c).alias(c) for c in ("rows", "rows_role_0", "rows_role_1")], N.alias("turns"))
-    return dialogues.agg(F.sum("rows").alias("rows"), N.alias("dialogues"),
+        *[F.sum(c).alias(c) for c in ("rows", "rows_role_0", "rows_role_1")], rows_n().alias("turns"))
+    return dialogues.agg(F.sum("rows").alias("rows"), rows_n().alias("dialogues"),
                          F.sum("turns").alias("turns"), F.sum("rows_role_0").alias("rows_role_0"),
                          F.sum("rows_role_1").alias("rows_role_1"))

@@ -5,12 +5,14 @@ Everything is derived from counts per (gold, predicted) pair or from one row of
 
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
-ZERO = F.lit(0.0)
+from turnlab.operators.tables import literal_table
+
+def rows_n():
+    return F.count(F.lit(1))
 
 
 def _ratio(a, b):
-    return F.coalesce(F.try_divide(a, b), ZERO)
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
 def _f1(tp, fp, fn):
@@ -37,16 +39,14 @@ def binary_metrics(df, gold, pred, positive=1):
 def confusion(df, gold, pred, labels):
     """Counts of every (gold, predicted) pair of a fixed label list, zeros included."""
     counts = (_both(df, gold, pred).where(F.col(gold).isin(labels) & F.col(pred).isin(labels))
-              .groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(N.alias("n")))
-    kind = df.schema[gold].dataType.simpleString()
-    frame = df.sparkSession.createDataFrame(
-        [(a, b) for a in labels for b in labels], f"gold {kind}, pred {kind}")
+              .groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(rows_n().alias("n")))
+    frame = literal_table(df.sparkSession, "gold", "pred", rows=[(a, b) for a in labels for b in labels])
     return frame.join(counts, ["gold", "pred"], "left").na.fill(0, subset=["n"])
 
 
 def _class_counts(df, gold, pred):
     pairs = _both(df, gold, pred).groupBy(
-        F.col(gold).alias("y"), F.col(pred).alias("p")).agg(N.alias("n"))
+        F.col(gold).alias("y"), F.col(pred).alias("p")).agg(rows_n().alias("n"))
     zero = F.lit(0).cast("long")
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero)
     sides = F.array(
@@ -79,7 +79,7 @@ def _multilabel_counts(df, gold, pred, classes):
     y, p = F.col(gold), F.col(pred)
     legal = F.array(*[F.lit(c) for c in classes])
     known = lambda a: F.array_sort(F.array_intersect(a, legal))
-    aggs = [N.alias("n"), F.count_if(known(y) == known(p)).alias("exact")]
+    aggs = [rows_n().alias("n"), F.count_if(known(y) == known(p)).alias("exact")]
     for i, c in enumerate(classes):
         a, b = F.array_contains(y, c), F.array_contains(p, c)
         aggs += [F.count_if(a & b).alias(f"tp{i}"), F.count_if(~a & b).alias(f"fp{i}"),
@@ -143,6 +143,6 @@ def error_rows(df, gold, pred, probs=None, first=None, order="idx"):
 
 def majority_baseline(df, gold):
     """Accuracy of always answering the commonest label."""
-    counts = df.where(F.col(gold).isNotNull()).groupBy(gold).agg(N.alias("n"))
+    counts = df.where(F.col(gold).isNotNull()).groupBy(gold).agg(rows_n().alias("n"))
     return counts.agg(F.max_by(gold, F.struct("n", gold)).alias("label"),
                       (F.max("n") / F.sum("n")).alias("accuracy"))

@@ -19,10 +19,9 @@ def _cuts(values, col, ranges):
 
 def add_range(df, col, values=None, ranges=RANGES):
     """Add the number of the value range a row falls in; equal values share a range."""
-    cuts = _cuts(values if values is not None else df, col, ranges)
-    position = F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")),
-                               lambda c: c < F.col(col)))
-    return df.withColumn(_RANGE, position)
+    placed = df.withColumn("_cuts", _cuts(values if values is not None else df, col, ranges))
+    cuts = F.coalesce(F.col("_cuts"), F.array().cast("array<double>"))
+    return placed.withColumn(_RANGE, F.size(F.filter(cuts, lambda c: c < F.col(col)))).drop("_cuts")
 
 
 def cumulate(counts, x, measures, by=(), ranges=RANGES):

@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation
@@ -13,36 +12,44 @@ from pyspark.sql import functions as F
 from turnlab.operators.ordering import cumulate
 from turnlab.functions.labels import one_hot
 
-N = F.count(F.lit(1))
+def rows_n():
+    return F.count(F.lit(1))
 
 
-def _chi2_tail(x, dof):
-    """P(X > x) for integer degrees of freedom: closed form, one term per two degrees."""
-    if x is None or dof is None or math.isnan(x) or dof < 1:
-        return None
-    half = x / 2.0
-    if half <= 0:
-        return 1.0
-    start = 2.0 if dof % 2 == 0 else 1.0
-    tail = math.exp(-half) if start == 2.0 else math.erfc(math.sqrt(half))
-    k = start
-    while k < dof:
-        tail += math.exp(k / 2 * math.log(half) - half - math.lgamma(k / 2 + 1))
-        k += 2
-    return min(1.0, tail)
+def erfc(z):
+    """Complementary error function of a non-negative Column, for the few rows of a finished test.
+
+    A power series below 2 and a continued fraction from there on, both folded over a sequence.
+    """
+    nth = lambda n: F.sequence(F.lit(1), F.lit(n))
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    series = F.aggregate(nth(60), start, lambda acc, i: F.struct(
+        (acc["term"] * 2 * z * z / (2 * i + 1)).alias("term"),
+        (acc["sum"] + acc["term"] * 2 * z * z / (2 * i + 1)).alias("sum")))["sum"]
+    fraction = F.aggregate(nth(120), z, lambda acc, i: z + (121 - i) / 2 / acc)
+    decay = F.exp(-z * z) / math.sqrt(math.pi)
+    return F.when(z < 2, 1 - 2 * decay * series).otherwise(decay / fraction)
 
 
-@F.pandas_udf("double")
-def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    """Chi-square tail probability; meant for the few rows of a finished test."""
-    return pd.Series([_chi2_tail(a, int(b)) if pd.notna(a) and pd.notna(b) else None
-                      for a, b in zip(x, dof)], dtype="float64")
+def chi2_sf(x, dof):
+    """Chi-square tail probability for whole degrees of freedom, in closed form.
+
+    The tail starts from ``exp(-x/2)`` or ``erfc(sqrt(x/2))`` and gains one term per two degrees.
+    """
+    half = F.greatest(x.cast("double") / 2, F.lit(0.0))
+    odd = (dof % 2).cast("double")
+    first = F.when(odd == 1, 2 * F.sqrt(half / math.pi)).otherwise(1.0) * F.exp(-half)
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+    steps = F.when(dof >= 2, F.sequence(F.lit(1), F.floor(dof / 2).cast("int")))
+    terms = F.aggregate(F.coalesce(steps, F.array().cast("array<int>")), start, lambda acc, i: F.struct(
+        (acc["term"] * half / (i + odd / 2)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")))
+    base = F.when(odd == 1, erfc(F.sqrt(half))).otherwise(0.0)
+    return F.when(dof >= 1, F.least(base + terms["sum"], F.lit(1.0)))
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None for v in z],
-                     dtype="float64")
+def normal_two_sided(z):
+    """P(|Z| > z) of the standard normal distribution."""
+    return erfc(F.abs(z) / math.sqrt(2))
 
 
 def chi_square_2x2(a, b, c, d):
@@ -58,7 +65,7 @@ def chi_square_2x2(a, b, c, d):
 
 def cell_counts(df, row, col):
     return (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-            .groupBy(row, col).agg(N.alias("n")))
+            .groupBy(row, col).agg(rows_n().alias("n")))
 
 
 def _with_margins(cells, row, col):
@@ -98,7 +105,7 @@ def chi_square(df, row, col, p_value=True):
     left = F.col("_d") - F.least(F.lit(0.5), F.col("_d"))
     statistic = F.when(dof > 1, F.greatest(plain, F.lit(0.0))).when(dof == 1, left * left * inverse)
     out = sums.select(statistic.alias("chi2"), dof.cast("long").alias("dof"), "n")
-    return out.withColumn("p_value", chi2_sf("chi2", "dof")) if p_value else out
+    return out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof"))) if p_value else out
 
 
 def sig_mark(p):
@@ -134,14 +141,14 @@ def mann_whitney(df, group, x, a, b, p_value=True):
     out = sums.select("n_a", "n_b", "u_a", (na * nb - F.col("u_a")).alias("u_b"),
                       F.try_divide(top - mean - 0.5, spread).alias("z"))
     if p_value:
-        out = out.withColumn("p_value", F.least(normal_two_sided(F.greatest("z", F.lit(0.0))),
-                                                F.lit(1.0)))
+        z = F.greatest("z", F.lit(0.0))
+        out = out.withColumn("p_value", F.least(normal_two_sided(z), F.lit(1.0)))
     return out
 
 
 def reference_value(df, col):
     """The commonest value (label order on ties); a single value comes to the driver."""
-    return (df.groupBy(col).agg(N.alias("n")).orderBy(F.desc("n"), F.asc(col)).first())[0]
+    return (df.groupBy(col).agg(rows_n().alias("n")).orderBy(F.desc("n"), F.asc(col)).first())[0]
 
 
 def logit_table(df, label, positive, category, values, reference):
@@ -155,7 +162,7 @@ def logit_table(df, label, positive, category, values, reference):
     names = [f"DA_{v}" for v in values if v != reference]
     y = (F.col(label) == positive).cast("double")
     grouped = (df.where(F.col(label).isNotNull() & F.col(category).isNotNull())
-               .groupBy(category, y.alias("y")).agg(N.cast("double").alias("w")))
+               .groupBy(category, y.alias("y")).agg(rows_n().cast("double").alias("w")))
     data = VectorAssembler(inputCols=names, outputCol="x").transform(
         grouped.select("y", "w", *dummies))
     model = GeneralizedLinearRegression(
@@ -172,7 +179,7 @@ def logit_table(df, label, positive, category, values, reference):
     return (table.withColumn("odds_ratio", F.exp("coefficient"))
             .withColumn("mark", sig_mark("p_value"))
             .withColumn("pseudo_r2", F.lit(1 - float(summary.deviance / summary.nullDeviance)))
-            .withColumn("lr_p_value", F.lit(_chi2_tail(gain, len(names)))))
+            .withColumn("lr_p_value", chi2_sf(F.lit(gain), F.lit(len(names)))))
 
 
 def or_direction(table, level=0.05):

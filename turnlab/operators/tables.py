@@ -15,7 +15,8 @@ from turnlab.functions.labels import split_labels
 from turnlab.operators.ordering import exact_quantiles
 from turnlab.vocab import TRANSITIONS, VALID_PR, WITH_EVENT, WITHOUT_EVENT
 
-N = F.count(F.lit(1))
+def rows_n():
+    return F.count(F.lit(1))
 
 
 def _over(keys):
@@ -27,8 +28,10 @@ def add_share(counts, by=(), n="n", name="percent", scale=100.0):
     return counts.withColumn(name, F.try_divide(F.col(n) * F.lit(scale), F.sum(n).over(_over(by))))
 
 
-def literal_table(spark, schema, rows):
-    return spark.createDataFrame(rows, schema)
+def literal_table(spark, *names, rows):
+    """A fixed list of label tuples as a table, made on the JVM side."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
 def one_row(*parts):
@@ -42,7 +45,7 @@ def one_row(*parts):
 def value_dist(df, col, keep_null=False):
     """Count and percent of every value."""
     kept = df if keep_null else df.where(F.col(col).isNotNull())
-    return add_share(kept.groupBy(col).agg(N.alias("n")))
+    return add_share(kept.groupBy(col).agg(rows_n().alias("n")))
 
 
 def label_freq(df, col):
@@ -58,7 +61,7 @@ def labels_per_row(df, col):
 
 def class_balance(df, col, limit=3.0):
     """Largest and smallest class, their ratio and a flag for ratios above the limit."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(N.alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(rows_n().alias("n"))
     found = counts.agg(
         F.max_by(col, F.struct("n", col)).alias("largest"), F.max("n").alias("n_largest"),
         F.min_by(col, F.struct("n", col)).alias("smallest"), F.min("n").alias("n_smallest"))
@@ -73,7 +76,7 @@ def class_feasibility(df, col, smallest=100):
 
 def top_values(df, col, n):
     """The n commonest values, label order on ties."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(N.alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(rows_n().alias("n"))
     return counts.orderBy(F.desc("n"), F.asc(col)).limit(n)
 
 
@@ -88,7 +91,7 @@ def where_top(df, col, n):
 
 def top_share(df, col, n):
     """Rows kept by the n commonest values and their share of all rows."""
-    counts = df.groupBy(col).agg(N.alias("n"))
+    counts = df.groupBy(col).agg(rows_n().alias("n"))
     ranked = counts.withColumn("_r", F.row_number().over(
         _over(()).orderBy(F.col(col).isNull(), F.desc("n"), F.asc(col))))
     kept = F.sum(F.when(F.col("_r") <= n, F.col("n")).otherwise(0))
@@ -98,7 +101,7 @@ def top_share(df, col, n):
 
 def where_frequent(df, col, min_n=5):
     """Rows of the values seen at least min_n times; all rows if fewer than two values qualify."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(N.alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(rows_n().alias("n"))
     enough = (F.col("n") >= min_n).cast("int")
     kept = (counts.withColumn("_frequent", F.sum(enough).over(_over(())))
             .where((F.col("n") >= min_n) | (F.col("_frequent") < 2)).select(col))
@@ -113,15 +116,15 @@ def profile_categoricals(df, cols, limit=20):
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     counts = (df.select(pairs.alias("p")).select("p.*").where("value is not null")
-              .groupBy("column", "value").agg(N.alias("n")))
-    narrow = (counts.groupBy("column").agg(N.alias("_d"), F.sum("n").alias("_total"))
+              .groupBy("column", "value").agg(rows_n().alias("n")))
+    narrow = (counts.groupBy("column").agg(rows_n().alias("_d"), F.sum("n").alias("_total"))
               .where(F.col("_d") <= limit))
     return (counts.join(narrow, "column")
             .select("column", "value", "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent")))
 
 
 def id_label_dist(df, id_col, label_col):
-    return df.groupBy(id_col, label_col).agg(N.alias("n"))
+    return df.groupBy(id_col, label_col).agg(rows_n().alias("n"))
 
 
 # --- two columns --------------------------------------------------------------------------------
@@ -133,7 +136,7 @@ def crosstab(df, row, col, col_levels=None):
     they are the values that occur.
     """
     cells = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-             .groupBy(row, col).agg(N.alias("n")))
+             .groupBy(row, col).agg(rows_n().alias("n")))
     if col_levels is None:
         levels = F.collect_set(col).over(_over(()))
         cells = cells.withColumn("_levels", levels)
@@ -152,7 +155,7 @@ def crosstab(df, row, col, col_levels=None):
 def crosstab_margins(df, row, col, label="All"):
     """Contingency counts with row, column and grand totals."""
     kept = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    cube = kept.cube(row, col).agg(N.alias("n"), F.grouping_id().alias("_g"))
+    cube = kept.cube(row, col).agg(rows_n().alias("n"), F.grouping_id().alias("_g"))
     return cube.select(
         F.when(F.col("_g").bitwiseAND(2) > 0, label).otherwise(F.col(row).cast("string")).alias(row),
         F.when(F.col("_g").bitwiseAND(1) > 0, label).otherwise(F.col(col).cast("string")).alias(col),
@@ -178,7 +181,7 @@ def cond_prob(df, given, target, values, dropna=False):
     given = [given] if isinstance(given, str) else list(given)
     kept = df.na.drop(subset=given + ([target] if dropna else []))
     counts = kept.groupBy(*given).agg(
-        N.alias("total"), *[F.count_if(F.col(target) == v).alias(f"_v{i}")
+        rows_n().alias("total"), *[F.count_if(F.col(target) == v).alias(f"_v{i}")
                             for i, v in enumerate(values)])
     cells = F.explode(F.array(*[
         F.struct(F.lit(v).alias(target), F.col(f"_v{i}").alias("n")) for i, v in enumerate(values)]))
@@ -256,7 +259,7 @@ def transition_table(x, group, groups=(WITH_EVENT, WITHOUT_EVENT)):
     """All four transition types of every group with count and percent of the group, zeros too."""
     counts = x.groupBy(group).agg(
         *[F.count_if(F.col("transition") == t).alias(f"_t{i}") for i, t in enumerate(TRANSITIONS)])
-    frame = literal_table(x.sparkSession, f"{group} string", [(g,) for g in groups])
+    frame = literal_table(x.sparkSession, group, rows=[(g,) for g in groups])
     cells = F.explode(F.array(*[
         F.struct(F.lit(t).alias("transition"),
                  F.coalesce(F.col(f"_t{i}"), F.lit(0)).cast("long").alias("n"))
@@ -278,10 +281,10 @@ def transition_matrix(x, group, groups=(WITH_EVENT, WITHOUT_EVENT)):
 def stability(x, group, empty_switch=0.0):
     """Percent of transitions that keep the outcome and percent that change it."""
     same = F.count_if(F.col("pr_prev") == F.col("pr_next"))
-    kept = F.try_divide(same * 100.0, N)
+    kept = F.try_divide(same * 100.0, rows_n())
     return x.groupBy(group).agg(
         F.coalesce(kept, F.lit(0.0)).alias("stability"),
-        F.coalesce(100.0 - kept, F.lit(empty_switch)).alias("switch"), N.alias("transitions"))
+        F.coalesce(100.0 - kept, F.lit(empty_switch)).alias("switch"), rows_n().alias("transitions"))
 
 
 def transition_summary(x, group):
@@ -293,7 +296,7 @@ def transition_summary(x, group):
 def transition_by_da(x, group=None):
     """Count, act total and probability of each transition after an act; empty cells left out."""
     by = ([group] if group else []) + ["da_type"]
-    counts = x.where("da_type is not null").groupBy(*by, "transition").agg(N.alias("n"))
+    counts = x.where("da_type is not null").groupBy(*by, "transition").agg(rows_n().alias("n"))
     return (counts.withColumn("da_total", F.sum("n").over(_over(by)))
             .withColumn("probability", F.col("n") * 100.0 / F.col("da_total")))
 
@@ -303,25 +306,25 @@ def transition_by_da(x, group=None):
 def prob_by(x, given, target):
     """Count, total of the condition and percent per pair."""
     kept = x.where(F.col(given).isNotNull() & F.col(target).isNotNull())
-    counts = kept.groupBy(given, target).agg(N.alias("n"))
+    counts = kept.groupBy(given, target).agg(rows_n().alias("n"))
     return (counts.withColumn("total", F.sum("n").over(_over([given])))
             .withColumn("probability", F.col("n") * 100.0 / F.col("total")))
 
 
 def outcome_rate(x, given, target="eml_result"):
     """Compliance and resistance percentages per act."""
-    rate = lambda v: F.count_if(F.col(target) == v) * 100.0 / N
+    rate = lambda v: F.count_if(F.col(target) == v) * 100.0 / rows_n()
     return x.where(F.col(given).isNotNull()).groupBy(given).agg(
         rate("Compliance").alias("compliance_rate"), rate("Resistance").alias("resistance_rate"),
-        N.alias("total"))
+        rows_n().alias("total"))
 
 
 def conversion_rate(x, given="eml_da_type", before="pr_status_before", after="eml_result"):
     """Percentages of the four before/after outcome pairs per act."""
     kept = x.where(F.col(before).isin(VALID_PR) & F.col(given).isNotNull())
-    rate = lambda a, b: (F.count_if((F.col(before) == a) & (F.col(after) == b)) * 100.0 / N)
+    rate = lambda a, b: (F.count_if((F.col(before) == a) & (F.col(after) == b)) * 100.0 / rows_n())
     return kept.groupBy(given).agg(
-        N.alias("total"), *[rate(a, b).alias(f"{a}_to_{b}".lower())
+        rows_n().alias("total"), *[rate(a, b).alias(f"{a}_to_{b}".lower())
                             for a in VALID_PR for b in VALID_PR])
 
 
@@ -338,17 +341,17 @@ def dialogue_summary(t):
     """Totals and shares over dialogues: two or more outcomes, any EML, both."""
     many, some = F.col("total_pr_count") >= 2, F.col("total_eml_count") > 0
     return dialogue_metrics(t).agg(
-        N.alias("dialogues"), F.sum("total_pr_count").alias("total_pr"),
+        rows_n().alias("dialogues"), F.sum("total_pr_count").alias("total_pr"),
         F.sum("total_eml_count").alias("total_eml"),
         F.count_if(many).alias("multi_pr"), F.count_if(some).alias("with_eml"),
         F.count_if(many & some).alias("both"),
-        (F.count_if(many) / N).alias("multi_pr_ratio"), (F.count_if(some) / N).alias("with_eml_ratio"),
-        (F.count_if(many & some) / N).alias("both_ratio"))
+        (F.count_if(many) / rows_n()).alias("multi_pr_ratio"), (F.count_if(some) / rows_n()).alias("with_eml_ratio"),
+        (F.count_if(many & some) / rows_n()).alias("both_ratio"))
 
 
 def count_hist(metrics, col):
     """How many dialogues have each count."""
-    return metrics.groupBy(col).agg(N.alias("dialogues"))
+    return metrics.groupBy(col).agg(rows_n().alias("dialogues"))
 
 
 # --- numbers ------------------------------------------------------------------------------------
@@ -376,7 +379,7 @@ def confidence_bins(df, x):
 
 def confidence_by_label(df, label, x):
     return df.where(F.col(label).isNotNull()).groupBy(label).agg(
-        N.alias("n"), F.avg(x).alias("mean_confidence"))
+        rows_n().alias("n"), F.avg(x).alias("mean_confidence"))
 
 
 def box_stats(df, group, x):
@@ -394,7 +397,7 @@ def mean_by(df, group, x):
 def label_freq_by(df, group, label):
     """Count of every label per group and percent of the group's label occurrences."""
     kept = df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
-    return add_share(kept.groupBy(group, label).agg(N.alias("n")), [group])
+    return add_share(kept.groupBy(group, label).agg(rows_n().alias("n")), [group])
 
 
 # --- words --------------------------------------------------------------------------------------
@@ -406,7 +409,7 @@ def word_freq(df, text, category, smallest=5, stop_words=None):
     """
     words = (df.where(F.col(category).isNotNull())
              .select(category, F.explode(content_words(text, stop_words)).alias("word")))
-    counts = words.groupBy(category, "word").agg(N.alias("n"))
+    counts = words.groupBy(category, "word").agg(rows_n().alias("n"))
     rich = counts.groupBy(category).agg(F.sum("n").alias("category_words")).where(
         F.col("category_words") >= smallest)
     return counts.join(rich, category)

@@ -1 +1,233 @@
-"""Queries."""
+"""Queries that build turns and conversations and join label tables."""
+
+from pyspark.sql import functions as F
+
+from turnlab.functions import labels as lab
+from turnlab.operators import build, matching
+from turnlab.operators import tables as tab
+from turnlab.operators.ordering import row_index
+from turnlab.plans import stand_ins
+from turnlab.plans.catalog.registry import on_all, on_table, on_turns, on_utterances
+from turnlab.plans.stand_ins import TURNS_SQL
+from turnlab.sources import readers, writers
+
+
+def joined(*columns):
+    """Arrays as text, for comparison."""
+    return [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in columns]
+
+
+@on_utterances("merged_turns", """
+WITH m AS (SELECT dialogue_id, role, turn, min(idx) AS idx, string_agg(sentence, ' ' ORDER BY idx) AS sentence,
+  coalesce(string_agg(regexp_replace(labels, '[\\[\\]'' ]', '', 'g'), ',' ORDER BY idx)
+           FILTER (labels IS NOT NULL AND labels <> '[]'), '') AS labels,
+  sum(round(coalesce(neg, 0), 3)) AS neg_sum, count(*) AS utterances
+  FROM utterances GROUP BY 1, 2, 3)
+SELECT idx, dialogue_id, role, turn, sentence, labels, round(neg_sum, 6) AS neg_sum, utterances FROM m""")
+def merged_turns(u):
+    m = build.merge_turns(u, label_lists=["labels"], numbers=["neg"])
+    return m.select("idx", "dialogue_id", "role", "turn", "sentence", *joined("labels"),
+                    F.round(F.aggregate("neg", F.lit(0.0), lambda a, x: a + x), 6).alias("neg_sum"),
+                    F.size("neg").cast("long").alias("utterances"))
+
+
+@on_utterances("merged_turns_numbered", """
+SELECT idx, sentence, row_number() OVER (ORDER BY idx) - 1 AS row_index FROM (
+  SELECT min(idx) AS idx, string_agg(sentence, ' ' ORDER BY idx) AS sentence
+  FROM utterances GROUP BY dialogue_id, role, turn)""")
+def merged_turns_numbered(u):
+    return build.with_row_index(build.merge_turns(u)).select("idx", "sentence", "row_index")
+
+
+RUNS = """
+f AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY dialogue_id ORDER BY idx)
+                     THEN 1 ELSE 0 END AS change FROM utterances),
+i AS (SELECT *, sum(change) OVER (PARTITION BY dialogue_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM f),
+runs AS (SELECT dialogue_id, island, min(idx) AS idx, min(speaker) AS speaker,
+                string_agg(sentence, ' ' ORDER BY idx) AS sentence,
+                max(CASE WHEN rater_1 + rater_2 + coalesce(rater_3, 0) > 0 THEN 1 ELSE 0 END) AS flag,
+                string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, count(*) AS utterances
+         FROM i GROUP BY 1, 2)
+"""
+
+
+def speaker_runs(u):
+    rated = u.withColumn("flag", lab.any_positive(["rater_1", "rater_2", "rater_3"]))
+    return build.merge_runs(rated, "dialogue_id", "speaker", "idx", "sentence", "flag", "tag")
+
+
+@on_utterances("speaker_runs", f"""
+WITH {RUNS} SELECT dialogue_id, idx, speaker, sentence, flag, tags, utterances FROM runs""")
+def speaker_runs_query(u):
+    return speaker_runs(u).select("dialogue_id", "idx", "speaker", "sentence", "flag",
+                                  lab.pack_labels("tag").alias("tags"), "utterances")
+
+
+@on_utterances("numbered_speaker_runs", f"""
+WITH {RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id, speaker ORDER BY idx) AS nth FROM runs)
+SELECT dialogue_id, idx, speaker, flag,
+       max(nth) OVER (PARTITION BY dialogue_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1 AS turn FROM n""")
+def numbered_speaker_runs(u):
+    runs = build.number_turns(speaker_runs(u), "dialogue_id", "speaker", "idx")
+    return runs.select("dialogue_id", "idx", "speaker", "flag", "turn")
+
+
+@on_utterances("run_label_frequency", f"""
+WITH {RUNS}, l AS (SELECT unnest(string_split(tags, ',')) AS label FROM runs)
+SELECT label, count(*) AS n, count(*) * 1e2 / sum(count(*)) OVER () AS percent FROM l GROUP BY 1""")
+def run_label_frequency(u):
+    return tab.label_freq(speaker_runs(u).select(lab.pack_labels("tag").alias("tags")), "tags")
+
+
+@on_utterances("pipe_turn_lines", f"""
+WITH {RUNS} SELECT speaker || '|' || sentence || '|' || tags AS value FROM runs""")
+def pipe_turn_lines(u):
+    return writers.pipe_lines(speaker_runs(u), "speaker", "sentence", "tag")
+
+
+@on_turns("act_sequences", """
+SELECT dialogue_id, 0::BIGINT AS part, string_agg(coalesce(da_label, ''), ';' ORDER BY idx) AS da_sequence
+FROM turns GROUP BY 1""")
+def act_sequences(t):
+    return build.da_sequence(t).select("dialogue_id", "part", F.array_join("da_sequence", ";").alias("da_sequence"))
+
+
+OUTCOMES = """
+o AS (SELECT dialogue_id, count(*) AS utterance_count, count(DISTINCT pr_label) AS kinds,
+             count(*) FILTER (pr_label IS NULL) AS missing, min(pr_label) AS only_label,
+             count(*) FILTER (pr_label = 'Compliance') AS c, count(*) FILTER (pr_label = 'Resistance') AS r,
+             coalesce(string_agg(DISTINCT pr_label, ',' ORDER BY pr_label), '') AS unique_labels
+      FROM {t} GROUP BY 1),
+outcomes AS (SELECT dialogue_id, utterance_count, unique_labels,
+  CASE WHEN kinds = 1 AND missing = 0 THEN nullif(only_label, 'Neutral')
+       WHEN c > 0 AND r > 0 THEN 'Conflict' WHEN c > 0 THEN 'Compliance' WHEN r > 0 THEN 'Resistance' END AS outcome
+  FROM o)
+"""
+
+# Conversations short enough to end one way: fifteen turns of a dialogue.
+SHORT_SQL = "short AS (SELECT * REPLACE (dialogue_id * 100000 + turn // 15 AS dialogue_id) FROM turns)"
+
+
+def short_conversations(t):
+    return t.withColumn("dialogue_id", F.col("dialogue_id") * 100000 + F.floor(F.col("turn") / 15))
+
+
+@on_turns("conversation_outcomes", f"""
+WITH {SHORT_SQL}, {OUTCOMES.format(t='short')} SELECT dialogue_id, outcome, utterance_count, unique_labels FROM outcomes""")
+def conversation_outcomes(t):
+    return build.conversation_outcome(short_conversations(t)).select(
+        "dialogue_id", "outcome", "utterance_count", *joined("unique_labels"))
+
+
+@on_turns("mean_length_by_outcome", f"""
+WITH {SHORT_SQL}, {OUTCOMES.format(t='short')}
+SELECT outcome, avg(utterance_count) AS mean FROM outcomes WHERE outcome IS NOT NULL GROUP BY 1""")
+def mean_length_by_outcome(t):
+    return tab.mean_by(build.conversation_outcome(short_conversations(t)), "outcome", "utterance_count")
+
+
+SPOKEN = "s AS (SELECT *, regexp_replace(text, '^ +| +$', '', 'g') AS spoken FROM conversations)"
+
+
+def spoken(c):
+    return c.select(F.col("conv_id").alias("dialogue_id"), F.col("turn").alias("idx"), "role",
+                    F.col("text").alias("sentence"))
+
+
+CONTEXT = "(SELECT conv_id, string_agg(spoken, chr(10) ORDER BY turn) AS context FROM s WHERE spoken <> '' GROUP BY 1)"
+
+
+@on_table("dialogue_context", "conversations", f"""
+WITH {SPOKEN} SELECT conv_id AS dialogue_id, md5(context) AS digest, length(context) AS n_chars FROM {CONTEXT}""")
+def dialogue_context(c):
+    return build.dialogue_context(spoken(c)).select(
+        "dialogue_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+
+
+@on_table("context_prompts", "conversations", f"""
+WITH {SPOKEN} SELECT conv_id AS dialogue_id, turn AS idx,
+  md5('Context: ' || context || ' Utterance (' || role || '): ' || text || ' Answer 0 or 1.') AS digest
+FROM s JOIN {CONTEXT} USING (conv_id)""")
+def context_prompts(c):
+    rows = build.attach_context(spoken(c))
+    prompts = build.build_prompt(
+        rows, "Context: {context} Utterance ({role}): {sentence} Answer 0 or 1.")
+    return prompts.select("dialogue_id", "idx", F.md5("prompt").alias("digest"))
+
+
+@on_turns("complete_turns", """
+SELECT idx, dialogue_id, turn FROM turns WHERE (dialogue_id, turn) IN (
+  SELECT (dialogue_id, turn) FROM turns GROUP BY dialogue_id, turn HAVING count(DISTINCT role) = 2)""")
+def complete_turns(t):
+    return build.complete_turns(t).select("idx", "dialogue_id", "turn")
+
+
+@on_turns("sampled_turns")
+def sampled_turns(t):
+    drawn = build.sample_turns(t, 100).select("idx", "dialogue_id", "turn", "role", "sentence")
+    return row_index(drawn, "idx").orderBy("dialogue_id", "turn", "role", "idx")
+
+
+@on_turns("corpus_profile", """
+SELECT count(*) AS rows, count(DISTINCT dialogue_id) AS dialogues, count(DISTINCT (dialogue_id, turn)) AS turns,
+       count(*) FILTER (role = 0) AS rows_role_0, count(*) FILTER (role = 1) AS rows_role_1 FROM turns""")
+def corpus_profile(t):
+    return build.corpus_profile(t)
+
+
+@on_turns("null_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count({c}) AS present FROM turns"
+    for c in ("eml_label", "pr_label", "da_label")))
+def null_profile(t):
+    return readers.null_profile(t, ["eml_label", "pr_label", "da_label"])
+
+
+# --- label joins --------------------------------------------------------------------------------
+
+@on_turns("joined_label_tables", """
+SELECT idx, dialogue_id, role, turn, eml_label, da_label, pr_label FROM turns
+WHERE (dialogue_id, role, turn) IN (
+  SELECT (dialogue_id, role, turn) FROM turns GROUP BY dialogue_id, role, turn HAVING count(*) = 1)""")
+def joined_label_tables(t):
+    keys = list(matching.KEYS)
+    once = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.min(c).alias(c) for c in ("idx", "eml_label", "da_label", "pr_label")]).where("_n = 1"))
+    parts = [once.select(*keys, c) for c in ("eml_label", "da_label", "pr_label")]
+    return matching.join_labels(once.select("idx", *keys), *parts).select(
+        "idx", *keys, "eml_label", "da_label", "pr_label")
+
+
+@on_turns("repeated_turn_keys", """
+SELECT dialogue_id, role, turn, count(*) AS n FROM turns GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def repeated_turn_keys(t):
+    return matching.duplicate_keys(t)
+
+
+CASCADE_SQL = f"""
+WITH {TURNS_SQL.strip()},
+lft AS (SELECT idx, sentence, dialogue_id, CAST(role AS VARCHAR) || '-speaker' AS role, turn FROM turns),
+rgt AS (SELECT idx, CASE WHEN pr_confidence > 0.2 THEN sentence || '!' ELSE sentence END AS sentence, dialogue_id,
+               CASE WHEN pr_confidence > 0.4 THEN CAST(role AS VARCHAR) || '-' ELSE CAST(role AS VARCHAR) || '-speaker' END AS role,
+               turn, CASE WHEN da_label IS NOT NULL THEN eml_label END AS eml_label FROM turns),
+k1 AS (SELECT sentence, eml_label, row_number() OVER (PARTITION BY sentence ORDER BY idx) AS n FROM rgt),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id, role, turn ORDER BY idx) AS n FROM rgt),
+k3 AS (SELECT *, left(role, 2) AS r2, row_number() OVER (PARTITION BY dialogue_id, left(role, 2), turn ORDER BY idx) AS n FROM rgt)
+SELECT l.idx, coalesce(k1.eml_label, k2.eml_label, k3.eml_label) AS eml_label
+FROM lft l LEFT JOIN k1 ON k1.sentence = l.sentence AND k1.n = 1
+LEFT JOIN k2 ON k2.dialogue_id = l.dialogue_id AND k2.role = l.role AND k2.turn = l.turn AND k2.n = 1
+LEFT JOIN k3 ON k3.dialogue_id = l.dialogue_id AND k3.r2 = left(l.role, 2) AND k3.turn = l.turn AND k3.n = 1"""
+
+
+@on_all("cascade_matched_labels", CASCADE_SQL)
+def cascade_matched_labels(spark, sf_dir):
+    t = stand_ins.turns(spark, sf_dir)
+    sure, role = F.col("pr_confidence"), F.col("role").cast("string")
+    left = t.select("idx", "sentence", "dialogue_id", F.concat(role, F.lit("-speaker")).alias("role"), "turn")
+    right = t.select(
+        "idx", F.when(sure > 0.2, F.concat("sentence", F.lit("!"))).otherwise(F.col("sentence")).alias("sentence"),
+        "dialogue_id", F.when(sure > 0.4, F.concat(role, F.lit("-"))).otherwise(
+            F.concat(role, F.lit("-speaker"))).alias("role"),
+        "turn", F.when(F.col("da_label").isNotNull(), F.col("eml_label")).alias("eml_label"))
+    short_role = ("role2", F.substring("role", 1, 2))
+    levels = [["sentence"], ["dialogue_id", "role", "turn"], ["dialogue_id", short_role, "turn"]]
+    return matching.cascade_match(left, right, levels, "eml_label").select("idx", "eml_label")

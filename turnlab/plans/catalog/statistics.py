@@ -12,7 +12,7 @@ from turnlab.plans.catalog.tabulation import GRID, GROUPED, rounded
 from turnlab.vocab import DA_CODES
 
 
-def test_sql(p_value, yates=False):
+def test_sql(p_value, yates=False, nested=None):
     """The textbook form over the full grid; p in closed form for an even number of degrees."""
     part = "(abs(n - e) - least(0.5, abs(n - e))) ** 2 / e" if yates else "(n - e) ** 2 / e"
     base = f"""
@@ -21,7 +21,9 @@ e AS (SELECT *, sum(n) OVER (PARTITION BY r)::DOUBLE * sum(n) OVER (PARTITION BY
 x AS (SELECT sum({part}) AS chi2, (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS dof,
              CAST(sum(n) AS BIGINT) AS n FROM e)
 """
-    return f"{base} SELECT round(chi2, 8) AS chi2, dof, n{', round(' + p_value + ', 8) AS p_value' if p_value else ''} FROM x"
+    p = f", round({p_value}, 8) AS p_value" if p_value else ""
+    result = f"SELECT round(chi2, 8) AS chi2, dof, n{p} FROM x"
+    return f"{base}, {nested} AS ({result})" if nested else f"{base} {result}"
 
 
 P2 = "exp(-chi2 / 2)"
@@ -73,11 +75,26 @@ def act_eml_test(t):
     return rounded(stats.chi_square(t, "da_label", "eml_label", p_value=False), "chi2")
 
 
-@on_turns("act_eml_test_with_p")
+# An odd number of degrees has no elementary tail: Simpson's rule over the density, substituted
+# x = u^2 to be smooth at zero, in 4000 panels.
+def odd_tail_sql(chi2, dof):
+    density = f"2 * u ** ({dof} - 1) * exp(-u * u / 2) / (2 ** ({dof} / 2e0) * gamma({dof} / 2e0))"
+    return f"""
+1 - (SELECT sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}) * sqrt({chi2}) / 12000
+     FROM (SELECT i, i / 4000e0 * sqrt({chi2}) AS u FROM range(4001) x(i)))"""
+
+
+@on_turns("act_eml_test_with_p", f"""
+WITH {GRID.format(r='da_label', c='eml_label', t='turns')}, {test_sql('', nested='y')},
+z AS (SELECT *, {odd_tail_sql('chi2', 'dof')} AS p FROM y)
+SELECT chi2, dof, n, round(p, 7) AS p_value,
+       CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p < 0.1 THEN '.' ELSE '' END AS mark,
+       CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS verdict FROM z""")
 def act_eml_test_with_p(t):
     out = stats.chi_square(t, "da_label", "eml_label")
-    return out.withColumn("mark", stats.sig_mark("p_value")).withColumn(
+    marked = out.withColumn("mark", stats.sig_mark("p_value")).withColumn(
         "verdict", stats.significant("p_value"))
+    return rounded(rounded(marked, "chi2"), "p_value", digits=7)
 
 
 @on_turns("act_eml_expected", f"""
@@ -89,23 +106,25 @@ def act_eml_expected(t):
     return stats.expected_counts(t, "da_label", "eml_label")
 
 
-@on_turns("confidence_rank_test", f"""
-WITH {TIMED}, x AS (SELECT pr_confidence AS v, count(*) FILTER (timing = 'before_EML')::DOUBLE AS a,
-                           count(*) FILTER (timing = 'after_EML')::DOUBLE AS b FROM timed GROUP BY 1),
+RANKS = """
+x AS (SELECT pr_confidence AS v, count(*) FILTER (timing = 'before_EML')::DOUBLE AS a,
+             count(*) FILTER (timing = 'after_EML')::DOUBLE AS b FROM timed GROUP BY 1),
 r AS (SELECT *, coalesce(sum(b) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM x),
 s AS (SELECT sum(a) AS na, sum(b) AS nb, sum(a * (below + b / 2)) AS u,
-             sum((a + b) ** 3 - (a + b)) AS ties FROM r)
-SELECT CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, u AS u_a, na * nb - u AS u_b,
-       round((greatest(u, na * nb - u) - na * nb / 2 - 0.5)
-             / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 8) AS z FROM s""")
-def confidence_rank_test(t):
-    return rounded(stats.mann_whitney(seq.label_timing(t), "timing", "pr_confidence", "before_EML",
-                                      "after_EML", p_value=False), "z")
+             sum((a + b) ** 3 - (a + b)) AS ties FROM r),
+w AS (SELECT CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, u AS u_a, na * nb - u AS u_b,
+       (greatest(u, na * nb - u) - na * nb / 2 - 0.5)
+       / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) AS z FROM s)
+"""
 
 
-@on_turns("confidence_rank_test_with_p")
-def confidence_rank_test_with_p(t):
-    return stats.mann_whitney(seq.label_timing(t), "timing", "pr_confidence", "before_EML", "after_EML")
+@on_turns("confidence_rank_test", f"""
+WITH {TIMED}, {RANKS}, y AS (SELECT *, greatest(z, 0) ** 2 AS zz FROM w)
+SELECT n_a, n_b, u_a, u_b, round(z, 8) AS z,
+       round(CASE WHEN z <= 0 THEN 1 ELSE {odd_tail_sql('zz', '1')} END, 7) AS p_value FROM y""")
+def confidence_rank_test(t):
+    out = stats.mann_whitney(seq.label_timing(t), "timing", "pr_confidence", "before_EML", "after_EML")
+    return rounded(rounded(out, "z"), "p_value", digits=7)
 
 
 def single_acts(t):
@@ -115,8 +134,8 @@ def single_acts(t):
 
 
 @on_turns("frequent_matched_acts", f"""
-WITH {MATCHED}, a AS (SELECT idx, split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL)
-SELECT idx, act FROM a WHERE act IN (SELECT act FROM a GROUP BY 1 HAVING count(*) >= 5)""")
+WITH {MATCHED}, first_acts AS (SELECT idx, split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL)
+SELECT idx, act FROM first_acts WHERE act IN (SELECT act FROM first_acts GROUP BY 1 HAVING count(*) >= 5)""")
 def frequent_matched_acts(t):
     return tab.where_frequent(single_acts(t), "act", 5).select("idx", "act")
 

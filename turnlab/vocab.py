@@ -84,6 +84,17 @@ EXTRA_STOP_WORDS = [
     "i", "you", "me", "my", "your", "we", "us", "it", "is", "are", "was", "were", "that", "this",
 ]
 
+# General English stop words: the words of more than two letters, without apostrophe, in the list
+# Spark ships (shorter words and words with an apostrophe cannot survive the cleaning anyway).
+GENERAL_STOP_WORDS = """
+myself our ours ourselves you your yours yourself yourselves him his himself she her hers herself its
+itself they them their theirs themselves what which who whom this that these those are was were been
+being have has had having does did doing the and but because until while for with about against between
+into through during before after above below from down out off over under again further then once here
+there when where why how all any both each few more most other some such nor not only own same than too
+very can will just don should now cannot could ought would
+""".split()
+
 # Column names accepted as "the text column", in order of the table's columns.
 TEXT_COLUMN_NAMES = ["sentence", "text", "content", "dialogue", "unit"]
 
