@@ -1 +1,209 @@
-"""Queries."""
+"""Queries of splits, features, models, rules and batch scoring.
+
+Tree ensembles are registered with few trees: what is exercised is the whole pipeline over the whole
+table. The functions' own defaults are the study's 150 (boosting) and 100 (forest).
+"""
+
+from pyspark.sql import functions as F
+
+from turnlab.functions import labels as lab
+from turnlab.functions import scores as sc
+from turnlab.learning import features as feat
+from turnlab.learning import models, scoring, splits
+from turnlab.operators import build
+from turnlab.plans.catalog.building import OUTCOMES, SHORT_SQL, short_conversations, spoken
+from turnlab.plans.catalog.registry import on_table, on_turns
+from turnlab.plans.catalog.tabulation import rounded
+from turnlab.vocab import DA_CODES, VALID_PR
+
+TREES = 5
+
+
+def rows_n():
+    return F.count(F.lit(1))
+
+
+@on_turns("stratified_split_sizes", """
+WITH c AS (SELECT pr_label, count(*) AS n FROM turns WHERE pr_label IS NOT NULL GROUP BY 1)
+SELECT pr_label, 'test' AS split, CAST(floor(n * 0.2e0 + 0.5e0) AS BIGINT) AS n FROM c UNION ALL
+SELECT pr_label, 'train', n - CAST(floor(n * 0.2e0 + 0.5e0) AS BIGINT) FROM c""")
+def stratified_split_sizes(t):
+    return splits.stratified_split(t, "pr_label", "idx").groupBy("pr_label", "split").agg(rows_n().alias("n"))
+
+
+@on_turns("ordered_split", """
+SELECT idx, CASE WHEN row_number() OVER (ORDER BY idx) - 1 < floor(count(*) OVER () * 0.8e0) THEN 'train' ELSE 'test' END AS split
+FROM turns""")
+def ordered_split(t):
+    return splits.ordered_split(t).select("idx", "split")
+
+
+@on_turns("random_split_sizes")
+def random_split_sizes(t):
+    train, test = splits.random_split(t.select("idx"))
+    return train.agg(F.lit("train").alias("split"), rows_n().alias("n")).unionByName(
+        test.agg(F.lit("test").alias("split"), rows_n().alias("n")))
+
+
+@on_turns("class_weights", """
+WITH c AS (SELECT pr_label, count(*) AS n FROM turns WHERE pr_label IS NOT NULL GROUP BY 1)
+SELECT pr_label, n, sum(n) OVER ()::DOUBLE / (count(*) OVER () * n) AS weight FROM c""")
+def class_weights(t):
+    return splits.class_weights(t, "pr_label")
+
+
+FEATURE_SQL = ", ".join(
+    [f"count(*) FILTER (d = '{c}') AS da_{c}_count" for c in DA_CODES]
+    + [f"count(*) FILTER (d = '{c}')::DOUBLE / count(*) AS da_{c}_ratio" for c in DA_CODES])
+ACTS = "acts AS (SELECT *, split_part(da_label, ',', 1) AS d FROM short WHERE da_label IS NOT NULL)"
+
+
+def first_acts(t):
+    return short_conversations(t).withColumn("d", F.get(F.split("da_label", ","), F.lit(0)))
+
+
+@on_turns("sequence_features", f"""
+WITH {SHORT_SQL}, {ACTS}
+SELECT dialogue_id, count(*) AS sequence_length, arg_min(d, idx) AS first_da, arg_max(d, idx) AS last_da,
+       count(DISTINCT d)::DOUBLE / count(*) AS da_diversity, {FEATURE_SQL},
+       0 AS has_request_inform, 0 AS has_greeting_closing, 0 AS starts_with_greeting, 0 AS ends_with_thanks
+FROM acts GROUP BY 1""")
+def sequence_features(t):
+    return feat.sequence_features(first_acts(t), DA_CODES, da="d")
+
+
+@on_turns("common_acts", """
+SELECT d AS act FROM (SELECT split_part(da_label, ',', 1) AS d FROM turns WHERE da_label IS NOT NULL)
+GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 15""")
+def common_acts(t):
+    acts = feat.common_acts(first_acts(t), "d")
+    return t.sparkSession.createDataFrame([(a,) for a in acts], "act string")
+
+
+FIRST = """
+f AS (SELECT dialogue_id, arg_min(d, idx) AS first_da FROM acts GROUP BY 1),
+z AS (SELECT outcome, first_da, count(*) AS n FROM f JOIN outcomes USING (dialogue_id) WHERE outcome IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+@on_turns("first_act_by_outcome", f"""
+WITH {SHORT_SQL}, {ACTS}, {OUTCOMES.format(t='short')}, {FIRST}
+SELECT outcome, first_da, n, n * 1e2 / sum(n) OVER (PARTITION BY outcome) AS percent FROM z""")
+def first_act_by_outcome(t):
+    from turnlab.operators.tables import label_freq_by
+    conv = first_acts(t)
+    first = conv.where("d is not null").groupBy("dialogue_id").agg(F.min_by("d", "idx").alias("first_da"))
+    return label_freq_by(first.join(build.conversation_outcome(conv), "dialogue_id"), "outcome", "first_da")
+
+
+TRANSACTIONS = f"""
+{SHORT_SQL}, {ACTS}, {OUTCOMES.format(t='short')},
+tx AS (SELECT DISTINCT dialogue_id, d, outcome FROM acts JOIN outcomes USING (dialogue_id)
+       WHERE outcome IN ('Compliance', 'Resistance'))
+"""
+
+
+def transactions(t):
+    conv = first_acts(t)
+    return models.act_transactions(conv, build.conversation_outcome(conv), "d")
+
+
+@on_turns("act_transactions", f"""
+WITH {TRANSACTIONS} SELECT dialogue_id, string_agg(d, ',' ORDER BY d) || ',' || min(outcome) AS items FROM tx GROUP BY dialogue_id""")
+def act_transactions(t):
+    return transactions(t).select("dialogue_id", F.array_join("items", ",").alias("items"))
+
+
+@on_turns("outcome_rules")
+def outcome_rules(t):
+    return models.outcome_rules(transactions(t), min_support=0.05, min_confidence=0.4)
+
+
+@on_turns("outcome_rules_up_to_two_acts", f"""
+WITH {TRANSACTIONS}, n AS (SELECT count(DISTINCT dialogue_id)::DOUBLE AS n FROM tx),
+base AS (SELECT outcome, count(DISTINCT dialogue_id) AS k FROM tx GROUP BY 1),
+sets AS (SELECT dialogue_id, outcome, d AS antecedent FROM tx UNION ALL
+         SELECT a.dialogue_id, a.outcome, a.d || ',' || b.d FROM tx a JOIN tx b ON a.dialogue_id = b.dialogue_id AND a.d < b.d),
+c AS (SELECT antecedent, count(*) AS k FROM sets GROUP BY 1),
+r AS (SELECT antecedent, outcome, count(*) AS k FROM sets GROUP BY 1, 2)
+SELECT r.antecedent, r.outcome, round(r.k / n, 8) AS support, round(r.k::DOUBLE / c.k, 8) AS confidence,
+       round(r.k::DOUBLE / c.k / (base.k / n), 8) AS lift
+FROM r JOIN c USING (antecedent) JOIN base USING (outcome), n WHERE r.k / n >= 0.05 AND r.k::DOUBLE / c.k >= 0.4""")
+def outcome_rules_up_to_two(t):
+    rules = models.outcome_rules(transactions(t), min_support=0.05, min_confidence=0.4)
+    return rounded(rules.where(F.size(F.split("antecedent", ",")) <= 2), "support", "confidence", "lift")
+
+
+@on_turns("top_outcome_rules")
+def top_outcome_rules(t):
+    return outcome_rules(t).orderBy(F.desc("lift"), "antecedent", "outcome").limit(12)
+
+
+@on_turns("outcome_model_predictions")
+def outcome_model_predictions(t):
+    model = models.fit_pr_model(t, trees=TREES)
+    rows = feat.prepare_rows(t.where("pr_label is not null"))
+    return model.transform(rows).select("idx", "pr_label", "label", "prediction")
+
+
+@on_turns("eml_model_importance")
+def eml_model_importance(t):
+    model = models.fit_eml_model(t, trees=TREES)
+    rows = feat.prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
+    return models.feature_importance(t.sparkSession, model.stages[-1], model.transform(rows), top=20)
+
+
+@on_turns("act_models_predictions")
+def act_models_predictions(t):
+    shared, fitted = models.fit_da_models(t, trees=2)
+    rows = shared.transform(feat.prepare_rows(t.where("da_label is not null"), categories=["pr_label"]))
+    for code, model in fitted.items():
+        rows = (model.transform(rows).withColumn("pred_" + code, F.col("prediction").cast("int"))
+                .drop("rawPrediction", "probability", "prediction"))
+    return rows.select("idx", *[c for c in rows.columns if c.startswith(("da_", "pred_")) and c != "da_label"])
+
+
+@on_turns("outcome_forest_importance")
+def outcome_forest_importance(t):
+    conv = first_acts(t)
+    outcomes = build.conversation_outcome(conv).where(F.col("outcome").isin(VALID_PR))
+    table = feat.sequence_features(conv, DA_CODES, da="d").join(
+        outcomes.select("dialogue_id", "outcome"), "dialogue_id")
+    model = models.fit_outcome_forest(table, trees=20, depth=10)
+    scored = model.transform(splits.add_class_weight(table, "outcome"))
+    return models.feature_importance(t.sparkSession, model.stages[-1], scored, top=15)
+
+
+# --- scoring ------------------------------------------------------------------------------------
+
+CLASS_WORDS = [["the", "and", "of"], ["de", "la", "le"], ["der", "und", "die"]]
+COUNTS = ", ".join(
+    f"len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: list_contains({words!r}, w)))::DOUBLE AS s{i}"
+    for i, words in enumerate(CLASS_WORDS))
+
+
+@on_table("scored_utterances", "conversations", f"""
+WITH s AS (SELECT conv_id, turn, {COUNTS} FROM conversations),
+e AS (SELECT *, exp(s0) + exp(s1) + exp(s2) AS total FROM s)
+SELECT conv_id, turn, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 'Compliance' WHEN s1 >= s2 THEN 'Neutral' ELSE 'Resistance' END AS pr_label,
+       round(exp(greatest(s0, s1, s2)) / total, 8) AS pr_confidence FROM e""")
+def scored_utterances(c):
+    scored = scoring.score(c.select("conv_id", "turn", "text"), "text", scoring.lexicon_scorer(CLASS_WORDS), "logits")
+    probs = scored.select("conv_id", "turn", sc.softmax("logits").alias("p"))
+    return probs.select("conv_id", "turn", sc.top_label("p", ["Compliance", "Neutral", "Resistance"]).alias("pr_label"),
+                        F.round(sc.confidence("p"), 8).alias("pr_confidence"))
+
+
+def length_replier():
+    """Stands in for a language model: answers 1 to prompts of more than 30 words."""
+    return lambda prompts: ["Answer: 1" if len(p.split()) > 30 else "Answer: 0" for p in prompts]
+
+
+@on_table("prompted_labels", "conversations", """
+SELECT conv_id AS dialogue_id, turn AS idx,
+       CASE WHEN len(list_filter(string_split_regex('Is this manipulative? ' || text, '\\s+'), lambda w: w <> '')) > 30
+            THEN 1 ELSE 0 END AS eml_label FROM conversations""")
+def prompted_labels(c):
+    prompts = build.build_prompt(spoken(c), "Is this manipulative? {sentence}").select("dialogue_id", "idx", "prompt")
+    replies = scoring.reply(prompts, "prompt", lambda: length_replier())
+    return replies.select("dialogue_id", "idx", lab.parse_binary_reply("reply").alias("eml_label"))
