@@ -41,13 +41,21 @@ def clean_text_keep_endmarks(col):
     return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
 
 
-def content_words(col, stop_words=None):
-    """Array of the content words of a text: no punctuation, no stop words, at least 3 letters."""
-    stops = stop_words if stop_words is not None else default_stop_words()
+def bare_words(col):
+    """Array of the lower-case words of a text without punctuation."""
     bare = F.regexp_replace(F.lower(F.coalesce(_text(col), F.lit(""))), rf"(?U)[^{WORD}\s]", "")
-    words = F.split(bare, r"(?U)\s+")
-    stop_array = F.array(*[F.lit(w) for w in stops])
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop_array, w))
+    return F.split(bare, r"(?U)\s+")
+
+
+def is_content_word(word, stop_words=None):
+    """At least three letters and no stop word."""
+    stops = stop_words if stop_words is not None else default_stop_words()
+    return (F.length(word) > 2) & ~word.isin(stops)
+
+
+def content_words(col, stop_words=None):
+    """Array of the content words of a text."""
+    return F.filter(bare_words(col), lambda w: is_content_word(w, stop_words))
 
 
 def default_stop_words():

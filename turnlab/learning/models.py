@@ -25,7 +25,7 @@ def fit_pr_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000):
         label_index_stage("pr_label", "label"),
         assembler(["text_features", "eml_label", *DA_COLUMNS]),
         OneVsRest(classifier=_boosted("label", trees, depth, rate), labelCol="label",
-                  featuresCol="features"),
+                  featuresCol="features", parallelism=3),
     ]
     return Pipeline(stages=stages).fit(rows)
 

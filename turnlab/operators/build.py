@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlab.functions.labels import parse_list
@@ -133,9 +134,8 @@ def build_prompt(t, template, name="prompt"):
 
 def complete_turns(t, roles=2):
     """Rows of the (dialogue, turn) pairs in which exactly so many roles speak."""
-    full = (t.groupBy("dialogue_id", "turn").agg(F.count_distinct("role").alias("_roles"))
-            .where(F.col("_roles") == roles).select("dialogue_id", "turn"))
-    return t.join(full, ["dialogue_id", "turn"], "left_semi")
+    spoken = F.size(F.collect_set("role").over(W.partitionBy("dialogue_id", "turn")))
+    return t.withColumn("_roles", spoken).where(F.col("_roles") == roles).drop("_roles")
 
 
 def sample_turns(t, n, seed=42):

@@ -17,9 +17,12 @@ def _cuts(values, col, ranges):
     return values.select(F.percentile_approx(col, shares, 100 * ranges)).scalar()
 
 
-def add_range(df, col, values=None, ranges=RANGES):
-    """Add the number of the value range a row falls in; equal values share a range."""
-    placed = df.withColumn("_cuts", _cuts(values if values is not None else df, col, ranges))
+def add_range(df, col, ranges=RANGES, sample=None):
+    """Add the number of the value range a row falls in; equal values share a range.
+
+    ``sample`` is the expression the cuts are taken from, by default the column.
+    """
+    placed = df.withColumn("_cuts", _cuts(df, col if sample is None else sample, ranges))
     cuts = F.coalesce(F.col("_cuts"), F.array().cast("array<double>"))
     return placed.withColumn(_RANGE, F.size(F.filter(cuts, lambda c: c < F.col(col)))).drop("_cuts")
 
@@ -29,7 +32,9 @@ def cumulate(counts, x, measures, by=(), ranges=RANGES):
 
     ``counts`` has one row per group and value. ``total_<m>`` is the group's total.
     """
-    placed = add_range(counts, x, ranges=ranges)
+    # naming the measures keeps the input of the cuts equal to the main input: one shared exchange
+    present = sum((F.col(m) for m in measures[1:]), F.col(measures[0])) > 0
+    placed = add_range(counts, x, ranges, F.when(present, F.col(x)))
     inside = W.partitionBy(*by, _RANGE).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
     rows = placed.select("*", *[
         F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_in_{m}") for m in measures])
@@ -67,7 +72,7 @@ def exact_quantiles(df, x, probabilities, by=(), ranges=RANGES):
 
 def row_index(df, order, name="row_index", ranges=RANGES):
     """Number the rows 0..n-1 in the order of a unique numeric column."""
-    placed = add_range(df, order, ranges=ranges)
+    placed = add_range(df, order, ranges)
     inside = F.row_number().over(W.partitionBy(_RANGE).orderBy(order)).cast("long")
     totals = placed.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(F.lit(0)).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)

@@ -128,17 +128,18 @@ def mann_whitney(df, group, x, a, b, p_value=True):
     counts = (df.where(F.col(group).isin(a, b) & F.col(x).isNotNull()).groupBy(x)
               .agg(F.count_if(F.col(group) == a).alias("na"),
                    F.count_if(F.col(group) == b).alias("nb")))
-    ranked = cumulate(counts, x, ["nb"])
+    ranked = cumulate(counts, x, ["na", "nb"])
     t = (F.col("na") + F.col("nb")).cast("double")
     sums = ranked.agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"),
         F.sum(F.col("na") * (F.col("below_nb") + F.col("nb") / 2)).alias("u_a"),
+        F.sum(F.col("nb") * (F.col("below_na") + F.col("na") / 2)).alias("u_b"),
         F.sum(t * t * t - t).alias("_ties"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n, mean = na + nb, na * nb / 2
     spread = F.sqrt(na * nb / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
-    top = F.greatest(F.col("u_a"), na * nb - F.col("u_a"))
-    out = sums.select("n_a", "n_b", "u_a", (na * nb - F.col("u_a")).alias("u_b"),
+    top = F.greatest("u_a", "u_b")
+    out = sums.select("n_a", "n_b", "u_a", "u_b",
                       F.try_divide(top - mean - 0.5, spread).alias("z"))
     if p_value:
         z = F.greatest("z", F.lit(0.0))

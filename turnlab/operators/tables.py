@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlab.functions.clean import content_words, label_eq
+from turnlab.functions.clean import bare_words, is_content_word, label_eq
 from turnlab.functions.labels import split_labels
 from turnlab.operators.ordering import exact_quantiles
 from turnlab.vocab import TRANSITIONS, VALID_PR, WITH_EVENT, WITHOUT_EVENT
@@ -28,6 +28,14 @@ def add_share(counts, by=(), n="n", name="percent", scale=100.0):
     return counts.withColumn(name, F.try_divide(F.col(n) * F.lit(scale), F.sum(n).over(_over(by))))
 
 
+def _lookup(table, key, value):
+    """A finished label table as one map value: rows look it up without being shuffled by label.
+
+    For label vocabularies only; a key column that may have any number of values needs a join.
+    """
+    return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+
+
 def literal_table(spark, *names, rows):
     """A fixed list of label tuples as a table, made on the JVM side."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
@@ -100,12 +108,15 @@ def top_share(df, col, n):
 
 
 def where_frequent(df, col, min_n=5):
-    """Rows of the values seen at least min_n times; all rows if fewer than two values qualify."""
+    """Rows of the labels seen at least min_n times; all labelled rows if fewer than two qualify.
+
+    The kept labels reach the filter as one array, so the table is not shuffled by its label.
+    """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(rows_n().alias("n"))
-    enough = (F.col("n") >= min_n).cast("int")
-    kept = (counts.withColumn("_frequent", F.sum(enough).over(_over(())))
-            .where((F.col("n") >= min_n) | (F.col("_frequent") < 2)).select(col))
-    return df.join(kept, col, "left_semi")
+    enough = F.count_if(F.col("n") >= min_n)
+    kept = F.when(enough >= 2, F.collect_list(F.when(F.col("n") >= min_n, F.col(col)))).otherwise(
+        F.collect_list(col))
+    return df.where(F.array_contains(counts.agg(kept).scalar(), F.col(col)))
 
 
 def profile_categoricals(df, cols, limit=20):
@@ -117,9 +128,11 @@ def profile_categoricals(df, cols, limit=20):
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     counts = (df.select(pairs.alias("p")).select("p.*").where("value is not null")
               .groupBy("column", "value").agg(rows_n().alias("n")))
-    narrow = (counts.groupBy("column").agg(rows_n().alias("_d"), F.sum("n").alias("_total"))
-              .where(F.col("_d") <= limit))
-    return (counts.join(narrow, "column")
+    narrow = counts.groupBy("column").agg(rows_n().alias("_d"), F.sum("n").alias("_total")).where(
+        F.col("_d") <= limit)
+    total = F.element_at(_lookup(narrow, "column", "_total"), F.col("column"))
+    # naming n keeps the filter above the aggregate, so that both uses share its exchange
+    return (counts.withColumn("_total", total).where("_total >= n")
             .select("column", "value", "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent")))
 
 
@@ -278,19 +291,19 @@ def transition_matrix(x, group, groups=(WITH_EVENT, WITHOUT_EVENT)):
             .withColumnsRenamed({v: "to_" + v.lower() for v in VALID_PR}))
 
 
-def stability(x, group, empty_switch=0.0):
+def stability(x, group, empty_switch=0.0, *more):
     """Percent of transitions that keep the outcome and percent that change it."""
     same = F.count_if(F.col("pr_prev") == F.col("pr_next"))
     kept = F.try_divide(same * 100.0, rows_n())
     return x.groupBy(group).agg(
         F.coalesce(kept, F.lit(0.0)).alias("stability"),
-        F.coalesce(100.0 - kept, F.lit(empty_switch)).alias("switch"), rows_n().alias("transitions"))
+        F.coalesce(100.0 - kept, F.lit(empty_switch)).alias("switch"),
+        rows_n().alias("transitions"), *more)
 
 
 def transition_summary(x, group):
     """Stability, switch, number of transitions and of dialogues per group."""
-    return stability(x, group).join(
-        x.groupBy(group).agg(F.count_distinct("dialogue_id").alias("dialogues")), group)
+    return stability(x, group, 0.0, F.count_distinct("dialogue_id").alias("dialogues"))
 
 
 def transition_by_da(x, group=None):
@@ -408,11 +421,13 @@ def word_freq(df, text, category, smallest=5, stop_words=None):
     Category totals come from their own aggregate: the vocabulary of one category is unbounded.
     """
     words = (df.where(F.col(category).isNotNull())
-             .select(category, F.explode(content_words(text, stop_words)).alias("word")))
+             .select(category, F.explode(bare_words(text)).alias("word"))
+             .where(is_content_word(F.col("word"), stop_words)))
     counts = words.groupBy(category, "word").agg(rows_n().alias("n"))
-    rich = counts.groupBy(category).agg(F.sum("n").alias("category_words")).where(
-        F.col("category_words") >= smallest)
-    return counts.join(rich, category)
+    rich = counts.groupBy(category).agg(F.sum("n").alias("_total")).where(F.col("_total") >= smallest)
+    total = F.element_at(_lookup(rich, category, "_total"), F.col(category))
+    # naming n keeps the filter above the aggregate, so that both uses share its exchange
+    return counts.withColumn("category_words", total).where("category_words >= n")
 
 
 def word_categories(t, text="sentence"):

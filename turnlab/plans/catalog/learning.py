@@ -114,27 +114,29 @@ def act_transactions(t):
     return transactions(t).select("dialogue_id", F.array_join("items", ",").alias("items"))
 
 
-@on_turns("outcome_rules")
-def outcome_rules(t):
-    return models.outcome_rules(transactions(t), min_support=0.05, min_confidence=0.4)
-
-
-@on_turns("outcome_rules_up_to_two_acts", f"""
-WITH {TRANSACTIONS}, n AS (SELECT count(DISTINCT dialogue_id)::DOUBLE AS n FROM tx),
+RULES = f"""
+RECURSIVE {TRANSACTIONS}, n AS (SELECT count(DISTINCT dialogue_id)::DOUBLE AS n FROM tx),
 base AS (SELECT outcome, count(DISTINCT dialogue_id) AS k FROM tx GROUP BY 1),
-sets AS (SELECT dialogue_id, outcome, d AS antecedent FROM tx UNION ALL
-         SELECT a.dialogue_id, a.outcome, a.d || ',' || b.d FROM tx a JOIN tx b ON a.dialogue_id = b.dialogue_id AND a.d < b.d),
+sets AS (SELECT dialogue_id, outcome, d AS antecedent, d AS last FROM tx UNION ALL
+         SELECT s.dialogue_id, s.outcome, s.antecedent || ',' || b.d, b.d
+         FROM sets s JOIN tx b ON s.dialogue_id = b.dialogue_id AND s.last < b.d),
 c AS (SELECT antecedent, count(*) AS k FROM sets GROUP BY 1),
-r AS (SELECT antecedent, outcome, count(*) AS k FROM sets GROUP BY 1, 2)
-SELECT r.antecedent, r.outcome, round(r.k / n, 8) AS support, round(r.k::DOUBLE / c.k, 8) AS confidence,
-       round(r.k::DOUBLE / c.k / (base.k / n), 8) AS lift
-FROM r JOIN c USING (antecedent) JOIN base USING (outcome), n WHERE r.k / n >= 0.05 AND r.k::DOUBLE / c.k >= 0.4""")
-def outcome_rules_up_to_two(t):
-    rules = models.outcome_rules(transactions(t), min_support=0.05, min_confidence=0.4)
-    return rounded(rules.where(F.size(F.split("antecedent", ",")) <= 2), "support", "confidence", "lift")
+r AS (SELECT antecedent, outcome, count(*) AS k FROM sets GROUP BY 1, 2),
+rules AS (SELECT r.antecedent, r.outcome, round(r.k / n, 8) AS support, round(r.k::DOUBLE / c.k, 8) AS confidence,
+                 round(r.k::DOUBLE / c.k / (base.k / n), 8) AS lift
+          FROM r JOIN c USING (antecedent) JOIN base USING (outcome), n
+          WHERE r.k / n >= 0.1 AND r.k::DOUBLE / c.k >= 0.4)
+"""
+
+
+@on_turns("outcome_rules", f"WITH {RULES} SELECT * FROM rules")
+def outcome_rules(t):
+    rules = models.outcome_rules(transactions(t), min_support=0.1, min_confidence=0.4)
+    return rounded(rules, "support", "confidence", "lift")
 
 
-@on_turns("top_outcome_rules")
+@on_turns("top_outcome_rules",
+          f"WITH {RULES} SELECT * FROM rules ORDER BY lift DESC, antecedent, outcome LIMIT 12")
 def top_outcome_rules(t):
     return outcome_rules(t).orderBy(F.desc("lift"), "antecedent", "outcome").limit(12)
 

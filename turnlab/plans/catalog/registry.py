@@ -9,7 +9,10 @@ SQL = {}
 def _with(ctes, body):
     body = body.strip()
     if body.upper().startswith("WITH "):
-        return f"WITH {ctes.strip()}, {body[5:]}"
+        rest = body[5:].strip()
+        if rest.startswith("RECURSIVE "):
+            return f"WITH RECURSIVE {ctes.strip()}, {rest[10:]}"
+        return f"WITH {ctes.strip()}, {rest}"
     return f"WITH {ctes.strip()} {body}"
 
 
