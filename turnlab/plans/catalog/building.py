@@ -104,12 +104,12 @@ outcomes AS (SELECT dialogue_id, utterance_count, unique_labels,
   FROM o)
 """
 
-# Conversations short enough to end one way: fifteen turns of a dialogue.
-SHORT_SQL = "short AS (SELECT * REPLACE (dialogue_id * 100000 + turn // 15 AS dialogue_id) FROM turns)"
+# Conversations short enough to end one way: five turns of a dialogue.
+SHORT_SQL = "short AS (SELECT * REPLACE (dialogue_id * 100000 + turn // 5 AS dialogue_id) FROM turns)"
 
 
 def short_conversations(t):
-    return t.withColumn("dialogue_id", F.col("dialogue_id") * 100000 + F.floor(F.col("turn") / 15))
+    return t.withColumn("dialogue_id", F.col("dialogue_id") * 100000 + F.floor(F.col("turn") / 5))
 
 
 @on_turns("conversation_outcomes", f"""
@@ -231,3 +231,17 @@ def cascade_matched_labels(spark, sf_dir):
     short_role = ("role2", F.substring("role", 1, 2))
     levels = [["sentence"], ["dialogue_id", "role", "turn"], ["dialogue_id", short_role, "turn"]]
     return matching.cascade_match(left, right, levels, "eml_label").select("idx", "eml_label")
+
+
+@on_turns("findings_report", """
+SELECT 'outcomes' AS section, pr_label AS item, 'n' AS metric, count(*)::DOUBLE AS value FROM turns
+WHERE pr_label IS NOT NULL GROUP BY 2 UNION ALL
+SELECT 'outcomes', pr_label, 'percent', count(*) * 1e2 / sum(count(*)) OVER () FROM turns WHERE pr_label IS NOT NULL GROUP BY 2 UNION ALL
+SELECT 'dialogues', '', 'dialogues', count(DISTINCT dialogue_id)::DOUBLE FROM turns UNION ALL
+SELECT 'acts', da_label, 'n', n::DOUBLE FROM (SELECT da_label, count(*) AS n FROM turns WHERE da_label IS NOT NULL GROUP BY 1
+                                              ORDER BY n DESC, da_label LIMIT 10)""")
+def findings_report(t):
+    return writers.findings(
+        outcomes=(tab.value_dist(t, "pr_label"), ["pr_label"], ["n", "percent"]),
+        dialogues=(tab.dialogue_summary(t), [], ["dialogues"]),
+        acts=(tab.top_values(t, "da_label", 10), ["da_label"], ["n"]))
