@@ -14,8 +14,8 @@ An ordinary dialogue fits one block, so the hand-over tables are empty or tiny f
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TURNS_PER_BLOCK = 1 << 16
-POSITIONS_PER_BLOCK = 1 << 24
+TURNS_PER_BLOCK = 1 << 13
+POSITIONS_PER_BLOCK = 1 << 20
 
 BLOCK = "_block"
 HOME = "_home"

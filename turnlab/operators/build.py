@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlab.functions.labels import parse_list
 from turnlab.operators.blocks import (
-    BLOCK, POSITIONS_PER_BLOCK, block_of, previous_row, running, with_block,
+    BLOCK, POSITIONS_PER_BLOCK, block_of, with_block,
 )
 from turnlab.operators.ordering import row_index
 
@@ -42,33 +42,82 @@ def with_row_index(t, order="idx"):
     return row_index(t, order)
 
 
+def _texts(order, text):
+    """Texts of a group joined by a blank, in the order of a column."""
+    rows = _in_order(order, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return F.array_join(F.transform(rows, lambda r: r["_t"]), " ")
+
+
 def merge_runs(u, conversation, speaker, order, text, flag=None, label=None,
                block=POSITIONS_PER_BLOCK):
     """Join consecutive utterances of one speaker in a conversation.
 
     ``flag`` takes the run's largest value, ``label`` the run's sorted distinct labels. A run is
     named by the file position of its first utterance.
+
+    Runs are built inside blocks first. A block's first run is then put together with the run it
+    continues, which is found in a table of one row per block.
     """
-    told = previous_row(u, [speaker], conversation, [order], order, block, prefix="_before_")
-    change = ~F.col("has_previous") | ~F.col("_before_" + speaker).eqNullSafe(F.col(speaker))
-    started = told.withColumn("_change", F.when(change, F.col(order)))
-    runs = running(started, {"_run": ("max", F.col("_change"))}, [conversation], [order], order, block)
-    merged = runs.groupBy(conversation, "_run").agg(
-        F.min(speaker).alias(speaker),
-        F.array_join(F.transform(_in_order(order, F.coalesce(F.col(text), F.lit("")).alias("_t")),
-                                 lambda r: r["_t"]), " ").alias(text),
+    inside = W.partitionBy(conversation, BLOCK).orderBy(order)
+    before = F.lag(F.struct(speaker)).over(inside)
+    change = before.isNull() | ~before[speaker].eqNullSafe(F.col(speaker))
+    started = with_block(u, order, block).withColumn("_start", F.when(change, F.col(order)))
+    named = started.withColumn("_run", F.max("_start").over(
+        inside.rowsBetween(W.unboundedPreceding, 0)))
+    parts = named.groupBy(conversation, BLOCK, "_run").agg(
+        F.min(speaker).alias(speaker), _texts(order, text).alias(text), rows_n().alias("utterances"),
         *([F.max(flag).alias(flag)] if flag else []),
-        *([F.array_sort(F.collect_set(label)).alias(label)] if label else []),
-        rows_n().alias("utterances"))
-    return merged.withColumnRenamed("_run", order)
+        *([F.collect_set(label).alias(label)] if label else []))
+
+    along = W.partitionBy(conversation).orderBy(BLOCK)
+    ends = parts.groupBy(conversation, BLOCK).agg(
+        F.min("_run").alias("_first"), F.max("_run").alias("_last"),
+        F.min_by(speaker, "_run").alias("_opens"), F.max_by(speaker, "_run").alias("_closes"))
+    continues = (F.lag(BLOCK).over(along).isNotNull()
+                 & F.lag("_closes").over(along).eqNullSafe(F.col("_opens")))
+    linked = ends.withColumn("_continues", continues)
+    begun = F.when(~F.col("_continues") | (F.col("_first") < F.col("_last")), F.col("_last"))
+    heads = (linked.withColumn("_begun", begun)
+             .withColumn("_head", F.last("_begun", ignorenulls=True).over(
+                 along.rowsBetween(W.unboundedPreceding, -1)))
+             .where("_continues").select(conversation, BLOCK, "_first", "_head"))
+
+    head = F.when(F.col("_run") == F.col("_first"), F.col("_head"))
+    whole = parts.join(heads, [conversation, BLOCK], "left").withColumn(
+        "_name", F.coalesce(head, F.col("_run")))
+    merged = whole.groupBy(conversation, "_name").agg(
+        F.min(speaker).alias(speaker), _texts("_run", text).alias(text),
+        F.sum("utterances").alias("utterances"),
+        *([F.max(flag).alias(flag)] if flag else []),
+        *([F.array_sort(F.array_distinct(F.flatten(F.collect_list(label)))).alias(label)]
+          if label else []))
+    return merged.withColumnRenamed("_name", order)
 
 
 def number_turns(runs, conversation, speaker, order, block=POSITIONS_PER_BLOCK):
-    """Turn number of a run: the largest number of runs any speaker has had so far, minus one."""
-    counted = running(runs, {"_nth": ("sum", F.lit(1).cast("long"))}, [conversation, speaker], [order],
-                      order, block)
-    peak = running(counted, {"turn": ("max", F.col("_nth"))}, [conversation], [order], order, block)
-    return peak.withColumn("turn", F.col("turn") - 1).drop("_nth")
+    """Turn number of a run: the largest number of runs any speaker has had so far, minus one.
+
+    Counted inside blocks; each block is handed the speakers' earlier counts and the peak so far.
+    """
+    who = F.coalesce(F.col(speaker).cast("string"), F.lit("")).alias("_who")
+    rows = with_block(runs, order, block).select("*", who)
+    counts = rows.groupBy(conversation, BLOCK, "_who").agg(rows_n().alias("_n"))
+    earlier = W.partitionBy(conversation, "_who").orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    offset = counts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    blocks = offset.groupBy(conversation, BLOCK).agg(
+        F.map_from_entries(F.collect_list(F.struct("_who", "_off"))).alias("_offs"),
+        F.max(F.col("_off") + F.col("_n")).alias("_peak"))
+    so_far = W.partitionBy(conversation).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    handed = blocks.withColumn("_peak", F.max("_peak").over(so_far)).where("_peak is not null")
+
+    own = W.partitionBy(conversation, BLOCK, "_who").orderBy(order)
+    inside = W.partitionBy(conversation, BLOCK).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    placed = (rows.repartition(conversation, BLOCK)
+              .withColumn("_in", F.row_number().over(own).cast("long"))
+              .join(handed, [conversation, BLOCK], "left"))
+    nth = F.col("_in") + F.coalesce(F.col("_offs")[F.col("_who")], F.lit(0))
+    peak = F.greatest(F.max("_nth").over(inside), F.col("_peak"))
+    return placed.withColumn("_nth", nth).select(*runs.columns, (peak - 1).alias("turn"))
 
 
 def da_sequence(t, da="da_label", order="idx", block=POSITIONS_PER_BLOCK):

@@ -164,6 +164,8 @@ def nearest_labels(t, max_gap=3, block=TURNS_PER_BLOCK):
     kept = t.where(F.col(DIALOGUE).isNotNull() & F.col(ROLE).isNotNull())
     rows = with_halo(kept.select(DIALOGUE, ROLE, TURN, IDX, EML, PR, DA), TURN,
                      back=max_gap, ahead=max_gap, size=block)
+    # one exchange by (dialogue, block) serves the finer window here and the frames below
+    rows = rows.repartition(DIALOGUE, BLOCK)
     turn_rows = W.partitionBy(DIALOGUE, BLOCK, TURN, ROLE)
     valid = F.col(PR).isin(VALID_PR)
     edges = (rows.withColumn("_first", F.min(F.when(valid, F.col(IDX))).over(turn_rows))
