@@ -11,13 +11,18 @@ def _col(col):
     return F.col(col) if isinstance(col, str) else col
 
 
+def _literal(value):
+    return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
 def _mapping(pairs):
-    flat = [F.lit(x) for pair in pairs.items() for x in pair]
-    return F.create_map(*flat)
+    """A dictionary as one constant map."""
+    return F.expr("map(" + ", ".join(_literal(x) for pair in pairs.items() for x in pair) + ")")
 
 
-def _strings(values):
-    return F.array(*[F.lit(v) for v in values])
+def strings(values):
+    """A list of labels as one constant array."""
+    return F.expr("array(" + ", ".join(_literal(v) for v in values) + ")")
 
 
 def parse_list(col):
@@ -89,8 +94,8 @@ def persuasion_result(arr):
 def da_group(col):
     """Polarity of a comma list of dialogue acts: DA+ first, then DA-, else DAo."""
     labels = split_labels(col)
-    return (F.when(F.arrays_overlap(labels, _strings(DA_POSITIVE)), "DA+")
-            .when(F.arrays_overlap(labels, _strings(DA_NEGATIVE)), "DA-")
+    return (F.when(F.arrays_overlap(labels, strings(DA_POSITIVE)), "DA+")
+            .when(F.arrays_overlap(labels, strings(DA_NEGATIVE)), "DA-")
             .otherwise("DAo"))
 
 

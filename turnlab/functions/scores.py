@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from turnlab.functions.labels import strings
+
 
 def _col(col):
     return F.col(col) if isinstance(col, str) else col
 
 
 def _labels(labels):
-    return F.array(*[F.lit(x) for x in labels])
+    return strings(labels)
 
 
 def softmax(logits):

@@ -5,6 +5,7 @@ Everything is derived from counts per (gold, predicted) pair or from one row of
 
 from pyspark.sql import functions as F
 
+from turnlab.functions.labels import strings
 from turnlab.operators.tables import literal_table
 
 def rows_n():
@@ -76,15 +77,15 @@ def multiclass_metrics(df, gold, pred):
 
 
 def _multilabel_counts(df, gold, pred, classes):
-    y, p = F.col(gold), F.col(pred)
-    legal = F.array(*[F.lit(c) for c in classes])
+    legal = strings(classes)
     known = lambda a: F.array_sort(F.array_intersect(a, legal))
-    aggs = [rows_n().alias("n"), F.count_if(known(y) == known(p)).alias("exact")]
+    aggs = [rows_n().alias("n"), F.count_if(known(F.col("y")) == known(F.col("p"))).alias("exact")]
     for i, c in enumerate(classes):
-        a, b = F.array_contains(y, c), F.array_contains(p, c)
-        aggs += [F.count_if(a & b).alias(f"tp{i}"), F.count_if(~a & b).alias(f"fp{i}"),
-                 F.count_if(a & ~b).alias(f"fn{i}")]
-    return df.where(y.isNotNull() & p.isNotNull()).agg(*aggs)
+        a, b = f"array_contains(y, '{c}')", f"array_contains(p, '{c}')"
+        aggs += [F.expr(f"count_if({a} AND {b}) AS tp{i}"), F.expr(f"count_if(NOT {a} AND {b}) AS fp{i}"),
+                 F.expr(f"count_if({a} AND NOT {b}) AS fn{i}")]
+    rows = df.select(F.col(gold).alias("y"), F.col(pred).alias("p"))
+    return rows.where("y IS NOT NULL AND p IS NOT NULL").agg(*aggs)
 
 
 def _total(prefix, classes):

@@ -7,13 +7,23 @@ rows) and the labels come from the event's own fields. Both forms are projection
 
 from pyspark.sql import functions as F
 
+from turnlab.functions.labels import strings
 from turnlab.vocab import DA_CODES
 
 POSITIONS_PER_TURN = 200
 
 
+# declared, so that no file is opened to infer them
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _events(spark, sf_dir):
@@ -26,7 +36,7 @@ def _events(spark, sf_dir):
 
 
 def _code(position):
-    return F.element_at(F.array(*[F.lit(c) for c in DA_CODES]), (position % 12 + 1).cast("int"))
+    return F.get(strings(DA_CODES), (position % 12).cast("int"))
 
 
 def turns(spark, sf_dir):

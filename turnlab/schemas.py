@@ -25,14 +25,16 @@ TURNS = _struct(
     "idx:long dialogue_id:string role:int turn:int sentence:string eml_label:int pr_label:string "
     "pr_confidence:double da_label:string multi_da_labels:strings")
 
+# one 0/1 column per rater, and the joint rating
 RATED_UTTERANCES = _struct(
-    "seq:long speaker:string conversation_id:string text:string manipulation_davide:int "
-    "manipulation_diletta:int manipulation_inga:int manipulation_matias:int manipulation:int")
+    "seq:long speaker:string conversation_id:string text:string manipulation_1:int manipulation_2:int "
+    "manipulation_3:int manipulation_4:int manipulation:int")
 
+# three raters' flags and outcome codes (1, 0, -1)
 MANUAL_SAMPLE = _struct(
-    "index:long dialogue_id:string role:int turn:int sentence:string manipulation_davide:int "
-    "manipulation_diletta:int manipulation_qida:int persuasion_result_davide:int "
-    "persuasion_result_diletta:int persuasion_result_qida:int da_label:string")
+    "index:long dialogue_id:string role:int turn:int sentence:string manipulation_1:int "
+    "manipulation_2:int manipulation_3:int persuasion_result_1:int persuasion_result_2:int "
+    "persuasion_result_3:int da_label:string")
 
 
 def all_string(schema):
