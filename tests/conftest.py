@@ -13,7 +13,8 @@ from turnlab.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("turnlab-tests", master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.showConsoleProgress": "false",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="turnlab-checkpoint-"),

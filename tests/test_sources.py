@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql.types import StructType
 
 from turnlab import schemas
 from turnlab.sources import readers, writers
@@ -7,11 +8,11 @@ from turnlab.sources import readers, writers
 def test_csv_round_trip_with_encodings(spark, tmp_path):
     path = tmp_path / "turns.csv"
     path.write_bytes('idx,speaker,text\n1,a,"caf\xe9, two\nlines"\n2,b,x\n'.encode("latin-1"))
-    schema = "seq long, speaker string, text string"
-    from pyspark.sql.types import _parse_datatype_string
-    df = readers.read_csv(spark, str(path), _parse_datatype_string(schema), encoding="ISO-8859-1")
+    schema = StructType.fromDDL("seq long, speaker string, text string")
+    df = readers.read_csv(spark, str(path), schema, encoding="ISO-8859-1")
     assert [tuple(r) for r in df.orderBy("seq").collect()] == [(1, "a", "café, two\nlines"), (2, "b", "x")]
-    text = readers.read_csv(spark, str(path), _parse_datatype_string(schema), "ISO-8859-1", as_text=True)
+    assert readers.read_csv_fallback(spark, str(path), schema).collect() == df.collect()
+    text = readers.read_csv(spark, str(path), schema, "ISO-8859-1", as_text=True)
     assert {t for _, t in text.dtypes} == {"string"}
     writers.write_csv(df, str(tmp_path / "out"))
     assert readers.read_csv(spark, str(tmp_path / "out"), df.schema).count() == 2

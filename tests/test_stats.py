@@ -33,8 +33,7 @@ def test_chi2_tail(spark, dof):
 def test_chi_square_equals_spark_ml(spark):
     rng = random.Random(3)
     data = [(rng.randint(0, 4), rng.randint(0, 2) + rng.randint(0, 1)) for _ in range(900)]
-    df = spark.createDataFrame(data, "r double, c double") if False else spark.createDataFrame(
-        [(float(a), float(b)) for a, b in data], "r double, c double")
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in data], "r double, c double")
     mine = stats.chi_square(df, "r", "c").first()
     ml = ChiSquareTest.test(VectorAssembler(inputCols=["r"], outputCol="f").transform(df), "f", "c").first()
     assert mine["chi2"] == pytest.approx(ml["statistics"][0])
@@ -80,12 +79,16 @@ def test_mann_whitney_against_ranks(spark):
 def test_logit_is_the_log_odds_ratio(spark):
     cells = {("ap", "Compliance"): 30, ("ap", "Resistance"): 10, ("pa", "Compliance"): 8, ("pa", "Resistance"): 12}
     df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "act string, out string")
-    assert stats.reference_value(df, "act") == "ap"
+    assert stats.category_values(df, "act") == (["ap", "pa"], "ap")
+    with pytest.raises(ValueError):
+        stats.category_values(df, "act", most=1)
     table = {r["term"]: r for r in stats.logit_table(df, "out", "Compliance", "act", ["ap", "pa"], "ap").collect()}
     assert table["Intercept"]["coefficient"] == pytest.approx(math.log(3), abs=1e-6)
     assert table["pa"]["odds_ratio"] == pytest.approx((8 / 12) / 3, abs=1e-6)
     assert table["pa"]["std_error"] == pytest.approx(math.sqrt(1 / 30 + 1 / 10 + 1 / 8 + 1 / 12), abs=1e-5)
-    assert table["pa"]["mark"] == "**"
+    z = math.log((8 / 12) / 3) / math.sqrt(1 / 30 + 1 / 10 + 1 / 8 + 1 / 12)
+    p = math.erfc(abs(z) / math.sqrt(2))  # 0.01008, just above the limit of two stars
+    assert table["pa"]["p_value"] == pytest.approx(p, abs=1e-6) and table["pa"]["mark"] == "*"
     ll = lambda *ns: sum(n * math.log(n / sum(ns)) for n in ns)
     assert table["pa"]["pseudo_r2"] == pytest.approx(1 - (ll(30, 10) + ll(8, 12)) / ll(38, 22), abs=1e-6)
     effect = stats.or_direction(spark.createDataFrame([tuple(r) for r in table.values()], schema=stats.logit_table(

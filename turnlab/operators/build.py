@@ -190,11 +190,12 @@ def complete_turns(t, roles=2):
 def sample_turns(t, n, seed=42):
     """Rows of n complete turns, the same draw however the table is partitioned.
 
-    Turns are drawn in the order of a hash of their key; only n keys are sorted together.
+    Turns are drawn in the order of a digest of their key; only the n smallest are kept and sorted.
     """
     whole = complete_turns(t)
     keys = whole.groupBy("dialogue_id", "turn").agg(rows_n().alias("_n")).drop("_n")
-    drawn = keys.orderBy(F.xxhash64("dialogue_id", "turn", F.lit(seed)), "dialogue_id", "turn").limit(n)
+    digest = F.md5(F.concat_ws(":", "dialogue_id", "turn", F.lit(seed)))
+    drawn = keys.orderBy(digest, "dialogue_id", "turn").limit(n)
     return whole.join(drawn, ["dialogue_id", "turn"], "left_semi")
 
 

@@ -119,6 +119,12 @@ def significant(p, level=0.05):
     return F.when(p < level, "significant").otherwise("not significant")
 
 
+def assoc_p_values(assoc, level=0.05):
+    """p value and mark of the 2x2 tests of an association table."""
+    tested = assoc.withColumn("p_value", chi2_sf(F.col("chi2"), F.lit(1)))
+    return tested.withColumn("sig", F.when(F.col("p_value") < level, "*").otherwise(""))
+
+
 def mann_whitney(df, group, x, a, b, p_value=True):
     """Two-sided rank-sum test of x between groups a and b (normal approximation, tie-corrected).
 
@@ -147,9 +153,16 @@ def mann_whitney(df, group, x, a, b, p_value=True):
     return out
 
 
-def reference_value(df, col):
-    """The commonest value (label order on ties); a single value comes to the driver."""
-    return (df.groupBy(col).agg(rows_n().alias("n")).orderBy(F.desc("n"), F.asc(col)).first())[0]
+def category_values(df, col, most=1000):
+    """The sorted values of a label column and the commonest one (label order on ties).
+
+    One row per value comes to the driver; a column with more than ``most`` values is refused.
+    """
+    counts = (df.where(F.col(col).isNotNull()).groupBy(col).agg(rows_n().alias("n"))
+              .limit(most + 1).collect())
+    if len(counts) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return sorted(r[0] for r in counts), min(counts, key=lambda r: (-r[1], r[0]))[0]
 
 
 def logit_table(df, label, positive, category, values, reference):

@@ -162,7 +162,11 @@ def complete_turns(t):
     return build.complete_turns(t).select("idx", "dialogue_id", "turn")
 
 
-@on_turns("sampled_turns")
+@on_turns("sampled_turns", """
+WITH c AS (SELECT dialogue_id, turn FROM turns GROUP BY 1, 2 HAVING count(DISTINCT role) = 2),
+d AS (SELECT * FROM c ORDER BY md5(concat_ws(':', dialogue_id, turn, 42)), dialogue_id, turn LIMIT 100)
+SELECT idx, dialogue_id, turn, role, sentence, row_number() OVER (ORDER BY idx) - 1 AS row_index
+FROM turns JOIN d USING (dialogue_id, turn)""")
 def sampled_turns(t):
     drawn = build.sample_turns(t, 100).select("idx", "dialogue_id", "turn", "role", "sentence")
     return row_index(drawn, "idx").orderBy("dialogue_id", "turn", "role", "idx")

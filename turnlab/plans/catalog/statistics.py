@@ -9,7 +9,6 @@ from turnlab.operators import tables as tab
 from turnlab.plans.catalog.registry import on_turns
 from turnlab.plans.catalog.relations import MATCHED, PREV, TIMED
 from turnlab.plans.catalog.tabulation import GRID, GROUPED, rounded
-from turnlab.vocab import DA_CODES
 
 
 def test_sql(p_value, yates=False, nested=None):
@@ -140,21 +139,70 @@ def frequent_matched_acts(t):
     return tab.where_frequent(single_acts(t), "act", 5).select("idx", "act")
 
 
-@on_turns("act_outcome_regression")
-def act_outcome_regression(t):
+# With one category the fit has a closed form: log odds and their differences to the reference act.
+LOGIT = f"""
+{MATCHED}, all_acts AS (SELECT eml_result, split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL),
+k AS (SELECT act, count(*)::DOUBLE AS n, count(*) FILTER (eml_result = 'Compliance')::DOUBLE AS c,
+             count(*) FILTER (eml_result = 'Resistance')::DOUBLE AS r FROM all_acts GROUP BY 1 HAVING count(*) >= 5),
+ref AS (SELECT * FROM k ORDER BY n DESC, act LIMIT 1),
+ll AS (SELECT sum(c * ln(c / n) + r * ln(r / n)) AS fit, sum(c) * ln(sum(c) / sum(n)) + sum(r) * ln(sum(r) / sum(n)) AS nul,
+              count(*) - 1 AS terms FROM k),
+coefs AS (SELECT 'Intercept' AS term, ln(c / r) AS coefficient, sqrt(1 / c + 1 / r) AS std_error FROM ref UNION ALL
+      SELECT k.act, ln(k.c / k.r) - ln(ref.c / ref.r), sqrt(1 / k.c + 1 / k.r + 1 / ref.c + 1 / ref.r)
+      FROM k, ref WHERE k.act <> ref.act),
+z AS (SELECT *, (coefficient / std_error) ** 2 AS zz, 2 * (fit - nul) AS gain FROM coefs, ll),
+terms AS (SELECT term, coefficient, std_error, exp(coefficient) AS odds_ratio, 1 - fit / nul AS pseudo_r2,
+                 {odd_tail_sql('zz', '1')} AS p_value, {odd_tail_sql('gain', 'terms')} AS lr_p_value FROM z)
+"""
+LOGIT_COLS = """term, round(coefficient, 5) AS coefficient, round(std_error, 5) AS std_error,
+  round(p_value, 5) AS p_value, round(odds_ratio, 5) AS odds_ratio, round(pseudo_r2, 5) AS pseudo_r2,
+  round(lr_p_value, 5) AS lr_p_value,
+  CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*'
+       WHEN p_value < 0.1 THEN '.' ELSE '' END AS mark"""
+LOGIT_NUMBERS = ["coefficient", "std_error", "p_value", "odds_ratio", "pseudo_r2", "lr_p_value"]
+
+
+def fitted(t):
     rows = tab.where_frequent(single_acts(t), "act", 5)
-    return stats.logit_table(rows, "eml_result", "Compliance", "act", sorted(DA_CODES),
-                             stats.reference_value(rows, "act"))
+    return stats.logit_table(rows, "eml_result", "Compliance", "act", *stats.category_values(rows, "act"))
+
+
+@on_turns("act_outcome_regression", f"WITH {LOGIT} SELECT {LOGIT_COLS} FROM terms")
+def act_outcome_regression(t):
+    return rounded(fitted(t), *LOGIT_NUMBERS, digits=5)
 
 
-@on_turns("act_outcome_effect")
+@on_turns("act_outcome_effect", f"""
+WITH {LOGIT} SELECT {LOGIT_COLS}, CASE WHEN p_value >= 0.05 THEN 'no effect' WHEN odds_ratio > 1 THEN 'raises' ELSE 'lowers' END AS effect
+FROM terms WHERE term <> 'Intercept'""")
 def act_outcome_effect(t):
-    return stats.or_direction(act_outcome_regression(t))
+    return rounded(stats.or_direction(fitted(t)), *LOGIT_NUMBERS, digits=5)
 
 
-@on_turns("act_collinearity")
+# A dummy regressed on the other dummies is constant on its own and the reference group.
+@on_turns("act_collinearity", f"""
+WITH {MATCHED}, all_acts AS (SELECT split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL),
+k AS (SELECT act, count(*)::DOUBLE AS n FROM all_acts GROUP BY 1), ref AS (SELECT * FROM k ORDER BY n DESC, act LIMIT 1)
+SELECT 'DA_' || k.act AS variable, round((1 - k.n / (SELECT sum(n) FROM k)) * (k.n + ref.n) / ref.n, 6) AS vif
+FROM k, ref WHERE k.act <> ref.act""")
 def act_collinearity(t):
     rows = single_acts(t)
-    reference = stats.reference_value(rows, "act")
-    dummies = rows.select(*one_hot("act", sorted(DA_CODES), reference=reference))
-    return stats.vif(dummies, dummies.columns)
+    values, reference = stats.category_values(rows, "act")
+    dummies = rows.select(*one_hot("act", values, reference=reference))
+    return rounded(stats.vif(dummies, dummies.columns), "vif", digits=6)
+
+
+@on_turns("act_association_significance", f"""
+WITH {PREV}, v AS (SELECT * FROM p WHERE prev_eml_label IS NOT NULL),
+l AS (SELECT DISTINCT idx, prev_eml_label, unnest(string_split(da_label, ',')) AS label FROM v),
+s AS (SELECT label, count(*) FILTER (prev_eml_label = 0)::DOUBLE AS b, count(*) FILTER (prev_eml_label = 1)::DOUBLE AS d,
+             (SELECT count(*) FROM v WHERE prev_eml_label = 0)::DOUBLE AS t0,
+             (SELECT count(*) FROM v WHERE prev_eml_label = 1)::DOUBLE AS t1 FROM l GROUP BY 1),
+x AS (SELECT label, CASE WHEN least(t0 - b, b, t1 - d, d) > 0 THEN
+        (t0 + t1) * greatest(abs((t0 - b) * d - b * (t1 - d)) - (t0 + t1) / 2, 0) ** 2
+        / (t0 * t1 * (t0 - b + t1 - d) * (b + d)) END AS chi2 FROM s),
+y AS (SELECT label, chi2, CASE WHEN chi2 IS NOT NULL THEN {odd_tail_sql('coalesce(chi2, 0)', '1')} END AS p FROM x)
+SELECT label, round(p, 7) AS p_value, CASE WHEN p < 0.05 THEN '*' ELSE '' END AS sig FROM y""")
+def act_association_significance(t):
+    assoc = tab.label_assoc(seq.prev_label(t), "da_label", "prev_eml_label")
+    return rounded(stats.assoc_p_values(assoc), "p_value", digits=7).select("label", "p_value", "sig")

@@ -75,8 +75,7 @@ def matching(t, max_gap=3):
 def regression(matched, category="eml_da_type", min_n=5):
     """Which acts raise or lower the odds of compliance; runs the fit at once."""
     rows = tab.where_frequent(matched.where(F.col("eml_result").isin(VALID_PR)), category, min_n)
-    values = sorted(r[0] for r in rows.groupBy(category).count().collect())
-    reference = stats.reference_value(rows, category)
+    values, reference = stats.category_values(rows, category)
     dummies = rows.select(*one_hot(category, values, reference=reference))
     terms = stats.logit_table(rows, "eml_result", "Compliance", category, values, reference)
     return {"terms": terms.orderBy("p_value"), "effects": stats.or_direction(terms),
@@ -103,7 +102,8 @@ def lagged(t):
         "eml_to_outcome_test": stats.chi_square(eml, "prev_eml_label", "pr_label"),
         "eml_to_act_group": tab.cond_prob(eml, "prev_eml_label", "da_group", DA_GROUPS),
         "eml_to_act_group_test": stats.chi_square(eml, "prev_eml_label", "da_group"),
-        "eml_to_each_act": with_p(tab.label_assoc(eml, "da_label", "prev_eml_label")),
+        "eml_to_each_act": stats.assoc_p_values(
+            tab.label_assoc(eml, "da_label", "prev_eml_label")),
         "act_and_eml_to_outcome": tab.cond_prob(
             clear, ["prev_da_group", "prev_eml_label"], "pr_label", VALID_PR),
         "act_and_eml_to_outcome_test": stats.chi_square(clear, "condition", "pr_label"),
@@ -112,12 +112,6 @@ def lagged(t):
     }
 
 
-def with_p(assoc):
-    """The 2x2 tests of an association table with p value and mark."""
-    p = assoc.withColumn("p_value", stats.chi2_sf(F.col("chi2"), F.lit(1)))
-    return p.withColumn("sig", F.when(F.col("p_value") < 0.05, "*").otherwise(""))
-
-
 def dialogues(t):
     """Counts per dialogue and their distribution."""
     metrics = tab.dialogue_metrics(t)

@@ -30,6 +30,21 @@ def read_csv(spark, path, schema, encoding="UTF-8", as_text=False):
             .option("multiLine", True).option("escape", '"').csv(path))
 
 
+def read_csv_fallback(spark, path, schema, encodings=("UTF-8", "ISO-8859-1")):
+    """CSV in the first encoding that decodes every text.
+
+    Spark puts the replacement character where bytes do not decode; the search for one stops at the
+    first hit.
+    """
+    for encoding in encodings[:-1]:
+        df = read_csv(spark, path, schema, encoding)
+        texts = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
+        broken = F.concat_ws("", *texts).contains("\ufffd") if texts else F.lit(False)
+        if df.where(broken).isEmpty():
+            return df
+    return read_csv(spark, path, schema, encodings[-1])
+
+
 def read_turns(spark, path, schema, fmt="parquet", **options):
     """A turn table in Parquet or CSV."""
     if fmt == "csv":
