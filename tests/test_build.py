@@ -59,6 +59,8 @@ def test_sequence_parts_and_context(spark, block):
     t = spark.createDataFrame(data, "idx long, dialogue_id long, da_label string, sentence string")
     parts = sorted(build.da_sequence(t, block=block).collect(), key=lambda r: r["part"])
     assert sum((r["da_sequence"] for r in parts), []) == ["ap", "", "pa", "o"]
+    pieces = sorted(build.dialogue_context(t, block=block).collect(), key=lambda r: r["part"])
+    assert "\n".join(r["context"] for r in pieces) == "s0\ns1\ns3"
     full = build.attach_context(t, block=block).orderBy("idx").collect()
     assert [r["context"] for r in full] == ["s0\ns1\ns3"] * 4
     prompt = build.build_prompt(t, "Say {sentence} as {da_label}.").orderBy("idx").collect()[1]["prompt"]

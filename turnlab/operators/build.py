@@ -153,20 +153,23 @@ def conversation_outcome(t, pr="pr_label"):
 def dialogue_context(t, text="sentence", order="idx", block=POSITIONS_PER_BLOCK):
     """All non-empty sentences of a dialogue, one per line, in file order.
 
-    Put together block by block; the result is one text cell per dialogue.
+    A dialogue that spans more than one block has one row per block, numbered by ``part``.
     """
     spoken = t.where(F.trim(F.col(text)) != "")
-    parts = with_block(spoken, order, block).groupBy("dialogue_id", BLOCK).agg(
-        F.array_join(F.transform(_in_order(order, F.trim(F.col(text)).alias("_t")),
-                                 lambda r: r["_t"]), "\n").alias("_part"))
-    return parts.groupBy("dialogue_id").agg(
-        F.array_join(F.transform(_in_order(BLOCK, "_part"), lambda r: r["_part"]), "\n")
-        .alias("context"))
+    line = F.trim(F.col(text)).alias("_t")
+    return spoken.groupBy("dialogue_id", block_of(order, block).alias("part")).agg(
+        F.array_join(F.transform(_in_order(order, line), lambda r: r["_t"]), "\n").alias("context"))
 
 
 def attach_context(t, text="sentence", order="idx", block=POSITIONS_PER_BLOCK):
-    """Add the dialogue's context to each of its rows; the join key is (dialogue, block)."""
-    context = dialogue_context(t, text, order, block)
+    """Add the dialogue's whole context to each of its rows; the join key is (dialogue, block).
+
+    A prompt with its context is one text cell, so this is for dialogues whose text fits one.
+    """
+    parts = dialogue_context(t, text, order, block)
+    context = parts.groupBy("dialogue_id").agg(
+        F.array_join(F.transform(_in_order("part", "context"), lambda r: r["context"]), "\n")
+        .alias("context"))
     rows = with_block(t, order, block)
     blocks = rows.groupBy("dialogue_id", BLOCK).agg(rows_n().alias("_n")).select("dialogue_id", BLOCK)
     return (rows.join(blocks.join(context, "dialogue_id", "left"), ["dialogue_id", BLOCK], "left")

@@ -138,10 +138,10 @@ CONTEXT = "(SELECT conv_id, string_agg(spoken, chr(10) ORDER BY turn) AS context
 
 
 @on_table("dialogue_context", "conversations", f"""
-WITH {SPOKEN} SELECT conv_id AS dialogue_id, md5(context) AS digest, length(context) AS n_chars FROM {CONTEXT}""")
+WITH {SPOKEN} SELECT conv_id AS dialogue_id, 0::BIGINT AS part, md5(context) AS digest, length(context) AS n_chars FROM {CONTEXT}""")
 def dialogue_context(c):
     return build.dialogue_context(spoken(c)).select(
-        "dialogue_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+        "dialogue_id", "part", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
 
 
 @on_table("context_prompts", "conversations", f"""

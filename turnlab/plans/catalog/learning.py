@@ -196,16 +196,16 @@ def scored_utterances(c):
                         F.round(sc.confidence("p"), 8).alias("pr_confidence"))
 
 
-def length_replier():
-    """Stands in for a language model: answers 1 to prompts of more than 30 words."""
-    return lambda prompts: ["Answer: 1" if len(p.split()) > 30 else "Answer: 0" for p in prompts]
-
-
 @on_table("prompted_labels", "conversations", """
 SELECT conv_id AS dialogue_id, turn AS idx,
        CASE WHEN len(list_filter(string_split_regex('Is this manipulative? ' || text, '\\s+'), lambda w: w <> '')) > 30
             THEN 1 ELSE 0 END AS eml_label FROM conversations""")
 def prompted_labels(c):
     prompts = build.build_prompt(spoken(c), "Is this manipulative? {sentence}").select("dialogue_id", "idx", "prompt")
-    replies = scoring.reply(prompts, "prompt", lambda: length_replier())
+
+    def load():
+        # stands in for a language model: answers 1 to prompts of more than 30 words
+        return lambda texts: ["Answer: 1" if len(p.split()) > 30 else "Answer: 0" for p in texts]
+
+    replies = scoring.reply(prompts, "prompt", load)
     return replies.select("dialogue_id", "idx", lab.parse_binary_reply("reply").alias("eml_label"))
