@@ -108,3 +108,9 @@ def test_score_arrays(ev):
     assert ev(sc.threshold_labels("x", ["a", "b", "c"], 0.5), "x array<double>", [0.1, 0.4, 0.3]) == ["b"]
     assert ev(sc.gated_label("x", 0.6), "x array<double>", [0.45, 0.55]) == 0
     assert ev(sc.gated_label("x", 0.6), "x array<double>", [0.3, 0.7]) == 1
+
+
+def test_rounding_follows_the_binary_value(spark):
+    xs = [0.5035, 0.0625, 0.1875, 2.6755, 1234.5675, -0.0005, 0.0, 1e-9] + [i / 2000 for i in range(1, 4000, 2)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", clean.round_exact(F.col("x"), 3)).collect()
+    assert [(x, round(x, 3)) for x, _ in got] == [tuple(r) for r in got]

@@ -13,6 +13,16 @@ def to_number(col):
     return F.col(col).try_cast("double") if isinstance(col, str) else col.try_cast("double")
 
 
+def round_exact(col, digits):
+    """Round a double by its exact binary value, halves to even.
+
+    ``round`` works on the shortest decimal text of a double, so 0.5035 (which is a little less)
+    would go up.
+    """
+    text = F.replace(F.format_number(col, digits), F.lit(","), F.lit(""))
+    return text.cast("double")
+
+
 def to_flag(col):
     """Integer flag; anything that is not a number counts as 0."""
     return F.coalesce(to_number(col), F.lit(0.0)).cast("int")

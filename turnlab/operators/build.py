@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnlab.functions.clean import round_exact
 from turnlab.functions.labels import parse_list
 from turnlab.operators.blocks import (
     BLOCK, POSITIONS_PER_BLOCK, block_of, with_block,
@@ -27,7 +28,7 @@ def merge_turns(u, text="sentence", label_lists=(), numbers=(), order="idx"):
     """
     fields = [F.coalesce(F.col(text), F.lit("")).alias("_t")]
     fields += [parse_list(c).alias(c) for c in label_lists]
-    fields += [F.round(F.coalesce(F.col(c), F.lit(0.0)), 3).alias(c) for c in numbers]
+    fields += [round_exact(F.coalesce(F.col(c), F.lit(0.0)), 3).alias(c) for c in numbers]
     rows = u.groupBy("dialogue_id", "role", "turn").agg(
         _in_order(order, *fields).alias("_rows"), F.min(order).alias(order))
     pick = lambda c: F.transform("_rows", lambda r: r[c])

@@ -21,7 +21,7 @@ def joined(*columns):
 WITH m AS (SELECT dialogue_id, role, turn, min(idx) AS idx, string_agg(sentence, ' ' ORDER BY idx) AS sentence,
   coalesce(string_agg(regexp_replace(labels, '[\\[\\]'' ]', '', 'g'), ',' ORDER BY idx)
            FILTER (labels IS NOT NULL AND labels <> '[]'), '') AS labels,
-  sum(round(coalesce(neg, 0), 3)) AS neg_sum, count(*) AS utterances
+  sum(CAST(printf('%.3f', coalesce(neg, 0)) AS DOUBLE)) AS neg_sum, count(*) AS utterances
   FROM utterances GROUP BY 1, 2, 3)
 SELECT idx, dialogue_id, role, turn, sentence, labels, round(neg_sum, 6) AS neg_sum, utterances FROM m""")
 def merged_turns(u):
