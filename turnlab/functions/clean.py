@@ -1,5 +1,7 @@
 """Column cleaning: every function takes a Column (or name) and returns a Column."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from turnlab.vocab import EXTRA_STOP_WORDS, GENERAL_STOP_WORDS
@@ -20,7 +22,12 @@ def round_exact(col, digits):
     would go up.
     """
     text = F.replace(F.format_number(col, digits), F.lit(","), F.lit(""))
-    return text.cast("double")
+    # below one unit the formatter drops the half itself
+    unit, half = 10.0 ** -digits, 0.5 * 10.0 ** -digits
+    above = Decimal(half) > Decimal(5).scaleb(-digits - 1)
+    up = (F.abs(col) >= half) if above else (F.abs(col) > half)
+    small = F.when(up, F.signum(col) * unit).otherwise(F.signum(col) * 0.0)
+    return F.when(F.abs(col) < unit, small).otherwise(text.cast("double"))
 
 
 def to_flag(col):
