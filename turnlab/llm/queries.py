@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, secrets
+from turnlab.llm import bpe, decontaminate, language, secrets, simhash
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -23,7 +23,28 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(ids, BYTE_RANKS, public_tokenizers.PATTERN))
 
 
+@query
+def op5_language(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_simhash(spark, sf_dir):
+    return simhash.digest(simhash.components(read_table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_secret_scan(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs).drop("text"))
+
+
+@query
+def op4_winnowing(spark, sf_dir):
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
+SQL["op4_winnowing"] = decontaminate.ORACLE
