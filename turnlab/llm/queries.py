@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, decontaminate, language, secrets, simhash
+from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -14,6 +14,13 @@ def query(fn):
 
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_token_files(spark, sf_dir):
+    folder = token_files.written(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return token_files.digest(token_files.read(spark, folder, as_bytes=True))
 
 
 @query
