@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files
+from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, warc
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -37,6 +37,14 @@ def op5_language(spark, sf_dir):
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_warc(spark, sf_dir):
+    return warc.digest(spark, warc.archived(read_table(spark, sf_dir, "pages")))
+
+
+SQL["op6_warc"] = warc.ORACLE
+
+
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.digest(simhash.components(read_table(spark, sf_dir, "documents")))
