@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, warc
+from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, url_filter, warc
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -63,3 +63,11 @@ def op4_winnowing(spark, sf_dir):
 
 
 SQL["op4_winnowing"] = decontaminate.ORACLE
+
+
+@query
+def op10_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+SQL["op10_url_filter"] = url_filter.ORACLE
