@@ -7,7 +7,10 @@ are two logarithmic point updates. A match of n bytes thus costs O(n log n), als
 
 import base64
 import functools
+import struct
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -15,65 +18,65 @@ from turnlab.llm.common import with_columns
 
 # White_Space as Unicode has it (Python's own \s also takes the separators U+001C to U+001F)
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LARGE = 1 << 40
+_NONE = 1 << 62
 
 
 class SegmentTree:
-    """Leftmost minimum of an array of ranks under point updates."""
-
-    def __init__(self, values):
-        size = 1
-        while size < len(values):
-            size *= 2
-        self.size = size
-        least = [_LARGE] * size + values + [_LARGE] * (size - len(values))
-        at = [0] * size + list(range(size))
+    """Leftmost minimum of the pair ranks over positions: a node holds rank and position in one number."""
+
+    def __init__(self, ranks, shift):
+        n = len(ranks)
+        self.size = size = 1 << (n - 1).bit_length()
+        self.nodes = nodes = [_NONE] * size + [r << shift | i for i, r in enumerate(ranks)] + [_NONE] * (size - n)
         for i in range(size - 1, 0, -1):
-            left, right = 2 * i, 2 * i + 1
-            if least[left] <= least[right]:
-                least[i], at[i] = least[left], at[left]
-            else:
-                least[i], at[i] = least[right], at[right]
-        self.least, self.at = least, at
+            left, right = nodes[2 * i], nodes[2 * i + 1]
+            nodes[i] = left if left < right else right
 
     def put(self, position, value):
-        least, at = self.least, self.at
-        i = position + self.size
-        least[i] = value
-        i >>= 1
-        while i:
-            left, right = 2 * i, 2 * i + 1
-            k = left if least[left] <= least[right] else right
-            if least[i] == least[k] and at[i] == at[k]:
-                break
-            least[i], at[i] = least[k], at[k]
+        """Point update: the nodes above it, as far as they change."""
+        nodes, i = self.nodes, position + self.size
+        nodes[i] = value
+        while i > 1:
+            other = nodes[i ^ 1]
             i >>= 1
+            if other < value:
+                value = other
+            if nodes[i] == value:
+                return
+            nodes[i] = value
+
 
+def merge_bytes(piece, ranks, pairs):
+    """Ids of the bytes ``piece`` after all merges, lowest rank first and leftmost among equals.
 
-def merge_bytes(piece, ranks):
-    """Ids of the bytes ``piece`` after all merges, lowest rank first and leftmost among equals."""
+    ``pairs`` holds the ranks of pairs of bytes, a << 8 | b.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
+    shift, get = n.bit_length(), ranks.get
+    mask = (1 << shift) - 1
     end = list(range(1, n + 1))     # where the live part that begins at i ends
     before = list(range(-1, n - 1))  # where the live part before it begins
-    get = ranks.get
-    tree = SegmentTree([get(piece[i:i + 2], _LARGE) for i in range(n - 1)] + [_LARGE])
-    least, at = tree.least, tree.at
-    while least[1] < _LARGE:
-        i = at[1]
+    tree = SegmentTree([pairs[a << 8 | b] for a, b in zip(piece, piece[1:])], shift)
+    nodes, put = tree.nodes, tree.put
+    while nodes[1] < _NONE:
+        i = nodes[1] & mask
         gone = end[i]
         end[i] = stop = end[gone]
-        tree.put(gone, _LARGE)
+        if gone < n - 1:
+            put(gone, _NONE)
         if stop < n:
             before[stop] = i
-            tree.put(i, get(piece[i:end[stop]], _LARGE))
+            rank = get(piece[i:end[stop]])
+            put(i, _NONE if rank is None else rank << shift | i)
         else:
-            tree.put(i, _LARGE)
+            put(i, _NONE)
         j = before[i]
         if j >= 0:
-            tree.put(j, get(piece[j:stop], _LARGE))
+            rank = get(piece[j:stop])
+            put(j, _NONE if rank is None else rank << shift | j)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:end[i]]])
@@ -89,12 +92,15 @@ class Codec:
     merged once per worker.
     """
 
-    KEPT, LONGEST = 400_000, 48
+    KEPT, LONGEST = 250_000, 48
 
     def __init__(self, path, pattern):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.parts = {b: a for a, b in self.ranks.items()}
+        self.parts = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for part, i in self.ranks.items():
+            self.parts[i] = part
+        self.pairs = [self.ranks.get(bytes(divmod(i, 256)), _NONE) for i in range(1 << 16)]
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")
                                    .replace(r"\s", f"[{SPACE}]"))
         self.pieces = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -108,25 +114,29 @@ class Codec:
         return ids
 
     def match(self, text):
-        """Ids of one match of the pattern."""
+        """Ids of one match of the pattern, as little-endian 32-bit numbers."""
         found = self.known.get(text) or self.older.get(text)
-        return found or self.keep(text, merge_bytes(text.encode(), self.ranks))
+        if found:
+            return found
+        ids = merge_bytes(text.encode(), self.ranks, self.pairs)
+        return self.keep(text, struct.pack(f"<{len(ids)}i", *ids))
 
     def piece(self, text):
         found = self.older.get(text)
         if found is None:
-            matches = self.split.findall(text)
-            found = self.match(text) if len(matches) == 1 else tuple(i for m in matches for i in self.match(m))
+            found = b"".join(map(self.match, self.split.findall(text)))
         return self.keep(text, found)
 
+    def packed(self, text):
+        """Ids of a text as little-endian 32-bit numbers."""
+        known, piece = self.known.get, self.piece
+        return b"".join([known(p) or piece(p) for p in self.pieces.findall(text)])
+
     def encode(self, text):
-        ids = []
-        for piece in self.pieces.findall(text):
-            ids += self.known.get(piece) or self.piece(piece)
-        return ids
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids):
-        """Bytes of a list of ids; an id outside the vocabulary raises KeyError."""
+        """Bytes of a list of ids; an id outside the vocabulary raises IndexError."""
         return b"".join(map(self.parts.__getitem__, ids))
 
 
@@ -143,7 +153,9 @@ def encode(docs, path, pattern, text="text", ids="ids"):
     """
     def run(texts):
         coder = codec(path, pattern)
-        return [[coder.encode(t) if t else [] for t in texts]]
+        packed = [coder.packed(t) if t else b"" for t in texts]
+        ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
     return with_columns(docs, [text], run, f"`{ids}` array<int>")
 
 
@@ -151,8 +163,11 @@ def decode(rows, path, pattern, ids="ids", decoded="decoded"):
     """``rows`` with the column ``decoded`` (binary): the bytes of their ids. Null or no ids give no bytes."""
     def run(lists):
         coder = codec(path, pattern)
-        return [[coder.decode(x) if x else b"" for x in lists]]
-    return with_columns(rows, [ids], run, f"`{decoded}` binary")
+        offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+        null = lists.is_null().to_pylist()
+        return [[b"" if x else coder.decode(values[a:b].tolist())
+                 for x, a, b in zip(null, offsets, offsets[1:])]]
+    return with_columns(rows, [ids], run, f"`{decoded}` binary", raw=True)
 
 
 def digest(rows):

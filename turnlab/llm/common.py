@@ -41,11 +41,11 @@ def small_batches(spark, rows=1000, size="16m"):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def with_columns(df, inputs, compute, added):
+def with_columns(df, inputs, compute, added, raw=False):
     """``df`` with the columns ``added`` (a DDL string), computed batch by batch from the columns ``inputs``.
 
-    ``compute`` takes one Python list per input and returns one list per added column. A column of ``df`` that
-    has the name of an added one is replaced.
+    ``compute`` takes one Python list (with ``raw`` an Arrow array) per input and returns one list or Arrow array per
+    added column. A column of ``df`` that has the name of an added one is replaced.
     """
     small_batches(df.sparkSession)
     new = StructType.fromDDL(added)
@@ -58,8 +58,9 @@ def with_columns(df, inputs, compute, added):
         from pyspark.sql.pandas.types import to_arrow_schema
         types = [f.type for f in to_arrow_schema(new)]
         for batch in batches:
-            lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
-            made = [pa.array(x, t) for x, t in zip(compute(*lists), types, strict=True)]
+            given = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
+            found = compute(*(given if raw else [x.to_pylist() for x in given]))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)]
             old = [batch.column(batch.schema.get_field_index(c)) for c in stay]
             yield pa.RecordBatch.from_arrays(old + made, names=stay + new.names)
 
