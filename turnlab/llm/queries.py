@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, url_filter, warc
+from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, url_filter, vectors, warc
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -45,6 +45,14 @@ def op6_warc(spark, sf_dir):
 SQL["op6_warc"] = warc.ORACLE
 
 
+@query
+def op7_vector_dedup(spark, sf_dir):
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op7_vector_dedup"] = vectors.ORACLE
+
+
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.digest(simhash.components(read_table(spark, sf_dir, "documents")))
