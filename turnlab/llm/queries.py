@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, url_filter, vectors, warc
+from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, url_filter, vectors, warc, wrapper
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -23,6 +23,11 @@ def op1_token_files(spark, sf_dir):
     return token_files.digest(token_files.read(spark, folder, as_bytes=True))
 
 
+@query
+def op2_wrapper_induction(spark, sf_dir):
+    return wrapper.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_byte_bpe(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
