@@ -199,6 +199,7 @@ def components(docs, doc_id="doc_id", text="text", words=3, reach=2):
     merged = joined.join(least, "component").select(F.col("fp").alias("of"), "least")
     known = classes.join(merged, classes.fp == merged.of, "left").select(
         F.col("fp").alias("of"), F.coalesce("least", "first").alias("component_id"))
+    known = cut(known, "component-ids")  # so that both sides of the next join come from a shuffle, which can be split
     return rows.join(known, rows.fp == known.of).select("doc_id", "fp", "component_id")
 
 
