@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from turnlab.operators import build, matching
 from turnlab.operators import tables as tab
-from turnlab.operators.ordering import exact_quantiles, row_index
+from turnlab.operators.ordering import add_range, exact_quantiles, number_within, row_index
 
 
 def test_merge_turns_keeps_order_and_repeats(spark):
@@ -54,15 +54,20 @@ def test_conversation_outcome(spark, labels, want):
 
 
 @pytest.mark.parametrize("block", [1, 3, 1 << 20])
-def test_sequence_parts_and_context(spark, block):
+def test_sequence_and_context(spark, block):
     data = [(i, 1, c, f" s{i} " if i != 2 else "  ") for i, c in enumerate(["ap", None, "pa", "o"])]
     t = spark.createDataFrame(data, "idx long, dialogue_id long, da_label string, sentence string")
-    parts = sorted(build.da_sequence(t, block=block).collect(), key=lambda r: r["part"])
-    assert sum((r["da_sequence"] for r in parts), []) == ["ap", "", "pa", "o"]
-    pieces = sorted(build.dialogue_context(t, block=block).collect(), key=lambda r: r["part"])
-    assert "\n".join(r["context"] for r in pieces) == "s0\ns1\ns3"
-    full = build.attach_context(t, block=block).orderBy("idx").collect()
-    assert [r["context"] for r in full] == ["s0\ns1\ns3"] * 4
+    for shift in (0, (1 << 20) - 2):
+        moved = t.withColumn("idx", F.col("idx") + shift)
+        assert [r["da_sequence"] for r in build.da_sequence(moved, block=block).collect()] == [["ap", "", "pa", "o"]]
+        assert [r["context"] for r in build.dialogue_context(moved, block=block).collect()] == ["s0\ns1\ns3"]
+        prompts = build.conversation_prompts(moved, "Which?", speaker="da_label", block=block)
+        assert [tuple(r) for r in prompts.collect()] == [
+            (1, "1 (ap):  s0 \n2 ():  s1 \n3 (pa):   \n4 (o):  s3 \nWhich?", [i + shift for i in range(4)])]
+        rows = build.replies_per_row(prompts.withColumn("reply", F.lit("1, 0,1"))).orderBy("idx").collect()
+        assert [(r["idx"] - shift, r["answer"]) for r in rows] == [(0, "1"), (1, "0"), (2, "1"), (3, None)]
+    with pytest.raises(Exception, match="prompt too long"):
+        build.conversation_prompts(t, "Which?", speaker="da_label", most=10).collect()
     prompt = build.build_prompt(t, "Say {sentence} as {da_label}.").orderBy("idx").collect()[1]["prompt"]
     assert prompt == "Say  s1  as ."
 
@@ -92,6 +97,25 @@ def test_row_index_and_quantiles(spark, rows):
             assert q[g, p] == pytest.approx(want)
 
 
+def test_ranges_grow_with_the_session(spark):
+    df = spark.range(3000).select((F.col("id") * 37 % 3000).alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            sizes = [r["count"] for r in add_range(df, "v").groupBy("_range").count().collect()]
+            assert n - 1 <= len(sizes) <= n and max(sizes) < 2 * 3000 / n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbers_within_groups(spark):
+    data = [(g, m, x) for x, (g, m) in enumerate([(3, 1), (1, 2), (1, 1), (2, 9), (3, 0), (1, 2)])]
+    df = spark.createDataFrame(data, "g long, m long, x long")
+    got = {r["x"]: r["row_index"] for r in number_within(df, "g", ["m", "x"]).collect()}
+    assert got == {r[2]: i for i, r in enumerate(sorted(data))}
+
+
 def test_cascade_match(spark):
     left = spark.createDataFrame([
         (0, "hi", 1, "er", 1), (1, "new", 1, "er", 1), (2, "odd", 2, "ee-x", 5), (3, "none", 9, "er", 9), (4, None, 1, "er", 1)],

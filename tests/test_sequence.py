@@ -167,16 +167,19 @@ def test_row_in_the_turn_of_an_end_is_not_between(spark, rows):
     assert rows(seq.transitions_with_context(df)) == []
 
 
-def test_running_values_cross_blocks(spark, rows):
-    data = [(i, i % 3, (i * 7) % 5) for i in range(60)]
-    df = spark.createDataFrame(data, "idx long, k long, v long").repartition(4)
-    got = rows(blocks.running(df, {"total": ("sum", F.col("v")), "top": ("max", F.col("v")),
-                                   "low": ("min", F.col("v"))}, ["k"], ["idx"], "idx", 4))
-    want = []
-    for i, k, v in data:
-        seen = [x[2] for x in data if x[1] == k and x[0] <= i]
-        want.append((i, k, v, sum(seen), max(seen), min(seen)))
-    assert got == want
+def test_only_long_dialogues_are_cut(spark):
+    """A hundred interleaved dialogues hand nothing on; a long one is cut into blocks of bounded size."""
+    df = spark.range(5000).select(F.col("id").alias("idx"), (F.col("id") % 100).alias("dialogue_id"), F.lit(1).alias("v"))
+    plain = blocks.with_block(df, "dialogue_id", "idx", 50)
+    assert plain.where(blocks.CUT).count() == 0 and plain.where(f"{blocks.BLOCK} != 0").count() == 0
+    assert blocks.last_rows(plain, ["v"], "dialogue_id", ["idx"]).count() == 0
+    hot = df.withColumn("dialogue_id", F.when(F.col("idx") % 3 == 0, F.lit(-1)).otherwise(F.col("dialogue_id")))
+    cut = blocks.with_block(hot, "dialogue_id", "idx", 50)
+    sizes = cut.groupBy("dialogue_id", blocks.BLOCK).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 51
+    assert {r[0] for r in cut.where(blocks.CUT).select("dialogue_id").distinct().collect()} == {-1}
+    handed = blocks.last_rows(cut, ["v"], "dialogue_id", ["idx"]).count()
+    assert handed == sizes.where("dialogue_id = -1").count() - 1
 
 
 def test_no_task_gets_a_whole_dialogue(spark):

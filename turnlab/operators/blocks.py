@@ -1,23 +1,24 @@
 """Ordered work along a dialogue without ever giving one task a whole dialogue.
 
-A dialogue may hold a large part of all rows, so no window here is partitioned by the dialogue
-alone. Rows are cut into blocks of a fixed number of turns (or file positions) and windows run
-inside ``(dialogue, block)``. What must cross the border of a block travels in one of three ways:
+A dialogue may hold a large part of all rows. A dialogue of at most ``ROWS_PER_BLOCK`` rows is one block, number 0;
+a longer one is cut by position into blocks of about that many rows, and windows run inside
+``(dialogue, block)``. What must cross the border of a block travels in one of three ways:
 
 * ``with_halo``      - bounded look-back or look-ahead: the few rows near a border are copied;
 * ``previous_row``   - unbounded look-back: the last row of every block is summarised and handed on;
 * ``per_dialogue``   - whole-dialogue aggregates: combined from one summary row per block.
 
-An ordinary dialogue fits one block, so the hand-over tables are empty or tiny for it.
+Only dialogues that are cut have anything to hand on. Results are the same for every block size.
 """
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TURNS_PER_BLOCK = 1 << 13
-POSITIONS_PER_BLOCK = 1 << 20
+TURNS_PER_BLOCK = 1 << 13   # of the halo, whose blocks are stretches of turns
+ROWS_PER_BLOCK = 1 << 20
 
 BLOCK = "_block"
+CUT = "_cut"
 HOME = "_home"
 
 
@@ -26,12 +27,25 @@ def block_of(position, size):
     return F.floor(position / F.lit(size)).cast("long")
 
 
-def with_block(t, position, size):
-    return t.withColumn(BLOCK, block_of(position, size))
+def with_block(t, dialogue, position, size=ROWS_PER_BLOCK):
+    """Add the row's block and whether its dialogue is cut; a table that has both stays as it is.
+
+    First position, last position and number of rows of a dialogue are combined before the shuffle; what is joined has
+    a row for each dialogue of more than ``size`` rows, so at most rows / ``size`` rows.
+    """
+    if BLOCK in t.columns:
+        return t
+    at = F.col(position)
+    spans = t.groupBy(dialogue).agg(F.count(at).alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_end"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_end") - F.col("_first") + 1) * F.lit(float(size)) / F.col("_n")))
+    long = spans.where(F.col("_n") > size).select(dialogue, "_first", width.alias("_width"))
+    block = F.floor((at - F.col("_first")) / F.col("_width")).cast("long")
+    return t.join(long, dialogue, "left").select(
+        *t.columns, F.coalesce(block, F.lit(0)).alias(BLOCK), F.col("_width").isNotNull().alias(CUT))
 
 
 def with_halo(t, turn, back=0, ahead=0, size=TURNS_PER_BLOCK):
-    """Copy rows to every block whose rows may look at them.
+    """Copy rows to every block of ``size`` turns whose rows may look at them.
 
     A row looks at most ``back`` turns behind and ``ahead`` turns before itself. ``_home`` tells the
     row from its copies.
@@ -43,25 +57,28 @@ def with_halo(t, turn, back=0, ahead=0, size=TURNS_PER_BLOCK):
             .withColumn(HOME, F.col(BLOCK) == block_of(turn, size)))
 
 
-def previous_row(t, values, dialogue, order, position, size, prefix="prev_"):
-    """Add ``prefix + value`` of the previous row of the dialogue.
-
-    ``order`` lists the sort columns (together unique in a dialogue); ``position`` is the first of
-    them and places the row in a block. The extra ``has_previous`` column is false on the first row.
-    """
-    rows = with_block(t, position, size)
-    w = W.partitionBy(dialogue, BLOCK).orderBy(*order)
-    here = rows.select("*", F.lag(F.struct(*values)).over(w).alias("_here"))
-
+def last_rows(rows, values, dialogue, order):
+    """(dialogue, block, _handed): what the last row of the block before says, for dialogues that are cut."""
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    ends = rows.groupBy(dialogue, BLOCK).agg(
+    ends = rows.where(CUT).groupBy(dialogue, BLOCK).agg(
         *[F.max_by(v, rank).alias(f"_end_{v}") for v in values])
-    handed = ends.select(
+    return ends.select(
         F.col(dialogue),
         F.lead(BLOCK).over(W.partitionBy(dialogue).orderBy(BLOCK)).alias(BLOCK),
         F.struct(*[F.col(f"_end_{v}").alias(v) for v in values]).alias("_handed"),
     ).where(F.col(BLOCK).isNotNull())
 
+
+def previous_row(t, values, dialogue, order, position, size=ROWS_PER_BLOCK, prefix="prev_"):
+    """Add ``prefix + value`` of the previous row of the dialogue.
+
+    ``order`` lists the sort columns (together unique in a dialogue); ``position`` is the first of
+    them and places the row in a block. The extra ``has_previous`` column is false on the first row.
+    """
+    rows = with_block(t, dialogue, position, size)
+    w = W.partitionBy(dialogue, BLOCK).orderBy(*order)
+    here = rows.select("*", F.lag(F.struct(*values)).over(w).alias("_here"))
+    handed = last_rows(rows, values, dialogue, order)
     prior = F.coalesce(F.col("_here"), F.col("_handed"))
     return (here.join(handed, [dialogue, BLOCK], "left")
             .select(*t.columns, prior.isNotNull().alias("has_previous"),
@@ -71,43 +88,17 @@ def previous_row(t, values, dialogue, order, position, size, prefix="prev_"):
 _COMBINE = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
-def per_dialogue(t, aggregates, dialogue, position, size):
+def per_dialogue(t, aggregates, dialogue, position, size=ROWS_PER_BLOCK):
     """Add whole-dialogue aggregates to every row.
 
     ``aggregates`` maps a new column to ``(kind, expression)`` with kind min, max or sum. Each block
     is aggregated first (with map-side combine), the block results are combined per dialogue and
     joined back on (dialogue, block), so that no join or window key is larger than a block.
     """
-    rows = with_block(t, position, size)
+    rows = with_block(t, dialogue, position, size)
     blocks = rows.groupBy(dialogue, BLOCK).agg(
         *[_COMBINE[kind](expr).alias(name) for name, (kind, expr) in aggregates.items()])
     whole = W.partitionBy(dialogue)
     totals = blocks.select(dialogue, BLOCK, *[
         _COMBINE[kind](name).over(whole).alias(name) for name, (kind, _) in aggregates.items()])
     return rows.join(totals, [dialogue, BLOCK], "left").select(*t.columns, *aggregates)
-
-
-_JOIN = {
-    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-    "max": F.greatest,
-    "min": F.least,
-}
-
-
-def running(t, aggregates, keys, order, position, size):
-    """Add aggregates over all rows of the same keys up to and including this one, in ``order``."""
-    rows = with_block(t, position, size)
-    inside = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    here = rows.select("*", *[_COMBINE[kind](expr).over(inside).alias(f"_in_{name}")
-                              for name, (kind, expr) in aggregates.items()])
-    blocks = rows.groupBy(*keys, BLOCK).agg(
-        *[_COMBINE[kind](expr).alias(name) for name, (kind, expr) in aggregates.items()])
-    first = F.row_number().over(W.partitionBy(*keys).orderBy(BLOCK))
-    handed = blocks.select(*keys, BLOCK, first.alias("_nth"), *[
-        _COMBINE[kind](name).over(before).alias(f"_off_{name}")
-        for name, (kind, _) in aggregates.items()]).where("_nth > 1").drop("_nth")
-    joined = here.join(handed, [*keys, BLOCK], "left")
-    return joined.select(*t.columns, *[
-        _JOIN[kind](F.col(f"_in_{name}"), F.col(f"_off_{name}")).alias(name)
-        for name, (kind, _) in aggregates.items()])

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from turnlab.functions.clean import round_exact
 from turnlab.functions.labels import parse_list
-from turnlab.operators.blocks import (
-    BLOCK, POSITIONS_PER_BLOCK, block_of, with_block,
-)
+from turnlab.operators.blocks import BLOCK, CUT, ROWS_PER_BLOCK, with_block
 from turnlab.operators.ordering import row_index
 
+
 def rows_n():
     return F.count(F.lit(1))
 
@@ -50,28 +49,28 @@ def _texts(order, text):
 
 
 def merge_runs(u, conversation, speaker, order, text, flag=None, label=None,
-               block=POSITIONS_PER_BLOCK):
+               block=ROWS_PER_BLOCK):
     """Join consecutive utterances of one speaker in a conversation.
 
     ``flag`` takes the run's largest value, ``label`` the run's sorted distinct labels. A run is
     named by the file position of its first utterance.
 
-    Runs are built inside blocks first. A block's first run is then put together with the run it
-    continues, which is found in a table of one row per block.
+    Runs are built inside blocks first. Where a conversation is cut, a block's first run is then put together with the
+    run it continues, which is found in a table of one row per block.
     """
     inside = W.partitionBy(conversation, BLOCK).orderBy(order)
     before = F.lag(F.struct(speaker)).over(inside)
     change = before.isNull() | ~before[speaker].eqNullSafe(F.col(speaker))
-    started = with_block(u, order, block).withColumn("_start", F.when(change, F.col(order)))
+    started = with_block(u, conversation, order, block).withColumn("_start", F.when(change, F.col(order)))
     named = started.withColumn("_run", F.max("_start").over(
         inside.rowsBetween(W.unboundedPreceding, 0)))
-    parts = named.groupBy(conversation, BLOCK, "_run").agg(
+    parts = named.groupBy(conversation, BLOCK, CUT, "_run").agg(
         F.min(speaker).alias(speaker), _texts(order, text).alias(text), rows_n().alias("utterances"),
         *([F.max(flag).alias(flag)] if flag else []),
         *([F.collect_set(label).alias(label)] if label else []))
 
     along = W.partitionBy(conversation).orderBy(BLOCK)
-    ends = parts.groupBy(conversation, BLOCK).agg(
+    ends = parts.where(CUT).groupBy(conversation, BLOCK).agg(
         F.min("_run").alias("_first"), F.max("_run").alias("_last"),
         F.min_by(speaker, "_run").alias("_opens"), F.max_by(speaker, "_run").alias("_closes"))
     continues = (F.lag(BLOCK).over(along).isNotNull()
@@ -95,41 +94,45 @@ def merge_runs(u, conversation, speaker, order, text, flag=None, label=None,
     return merged.withColumnRenamed("_name", order)
 
 
-def number_turns(runs, conversation, speaker, order, block=POSITIONS_PER_BLOCK):
+def number_turns(runs, conversation, speaker, order, block=ROWS_PER_BLOCK):
     """Turn number of a run: the largest number of runs any speaker has had so far, minus one.
 
-    Counted inside blocks; each block is handed the speakers' earlier counts and the peak so far.
+    Counted inside blocks. A block of a conversation that is cut begins with a few rows that stand for what lies
+    before it: the earlier runs of each of its speakers, and the peak so far.
     """
     who = F.coalesce(F.col(speaker).cast("string"), F.lit("")).alias("_who")
-    rows = with_block(runs, order, block).select("*", who)
-    counts = rows.groupBy(conversation, BLOCK, "_who").agg(rows_n().alias("_n"))
+    rows = with_block(runs, conversation, order, block).select("*", who, F.lit(1).cast("long").alias("_n"))
+    counts = rows.where(CUT).groupBy(conversation, BLOCK, "_who").agg(rows_n().alias("_n"))
     earlier = W.partitionBy(conversation, "_who").orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     offset = counts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    blocks = offset.groupBy(conversation, BLOCK).agg(
-        F.map_from_entries(F.collect_list(F.struct("_who", "_off"))).alias("_offs"),
-        F.max(F.col("_off") + F.col("_n")).alias("_peak"))
     so_far = W.partitionBy(conversation).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    handed = blocks.withColumn("_peak", F.max("_peak").over(so_far)).where("_peak is not null")
+    peaks = (offset.groupBy(conversation, BLOCK).agg(F.max(F.col("_off") + F.col("_n")).alias("_peak"))
+             .withColumn("_n", F.max("_peak").over(so_far)).where("_n IS NOT NULL"))
+    handed = offset.where("_off > 0").select(conversation, BLOCK, "_who", F.col("_off").alias("_n")).union(
+        peaks.select(conversation, BLOCK, F.lit(None).cast("string").alias("_who"), "_n"))
 
-    own = W.partitionBy(conversation, BLOCK, "_who").orderBy(order)
-    inside = W.partitionBy(conversation, BLOCK).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    placed = (rows.repartition(conversation, BLOCK)
-              .withColumn("_in", F.row_number().over(own).cast("long"))
-              .join(handed, [conversation, BLOCK], "left"))
-    nth = F.col("_in") + F.coalesce(F.col("_offs")[F.col("_who")], F.lit(0))
-    peak = F.greatest(F.max("_nth").over(inside), F.col("_peak"))
-    return placed.withColumn("_nth", nth).select(*runs.columns, (peak - 1).alias("turn"))
+    # one exchange by (conversation, block) serves both windows
+    placed = (rows.select("*", F.lit(True).alias("_own")).unionByName(handed, allowMissingColumns=True)
+              .repartition(conversation, BLOCK))
+    first = F.col(order).asc_nulls_first()
+    own = W.partitionBy(conversation, BLOCK, "_who").orderBy(first).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(conversation, BLOCK).orderBy(first).rowsBetween(W.unboundedPreceding, 0)
+    return (placed.withColumn("_nth", F.sum("_n").over(own)).withColumn("turn", F.max("_nth").over(inside) - 1)
+            .where("_own").select(*runs.columns, "turn"))
 
 
-def da_sequence(t, da="da_label", order="idx", block=POSITIONS_PER_BLOCK):
-    """Acts of every conversation in file order.
+def _listed(t, value, dialogue, order, block):
+    """(dialogue, _list): a value of all rows of a dialogue in order; pieces are sorted block by block, then joined."""
+    rows = with_block(t.select(dialogue, order, value.alias("_v")), dialogue, order, block)
+    pieces = rows.groupBy(dialogue, BLOCK).agg(F.transform(_in_order(order, "_v"), lambda r: r["_v"]).alias("_p"))
+    whole = F.flatten(F.transform(_in_order(BLOCK, "_p"), lambda r: r["_p"]))
+    return pieces.groupBy(dialogue).agg(whole.alias("_list"))
 
-    A conversation that spans more than one block has one row per block, numbered by ``part``.
-    """
-    rows = t.select("dialogue_id", order, F.coalesce(F.col(da), F.lit("")).alias("_d"),
-                    block_of(order, block).alias("part"))
-    return rows.groupBy("dialogue_id", "part").agg(
-        F.transform(_in_order(order, "_d"), lambda r: r["_d"]).alias("da_sequence"))
+
+def da_sequence(t, da="da_label", order="idx", block=ROWS_PER_BLOCK):
+    """Acts of every conversation in file order, one row each; a missing act is an empty text."""
+    listed = _listed(t, F.coalesce(F.col(da), F.lit("")), "dialogue_id", order, block)
+    return listed.select("dialogue_id", F.col("_list").alias("da_sequence"))
 
 
 def conversation_outcome(t, pr="pr_label"):
@@ -151,30 +154,41 @@ def conversation_outcome(t, pr="pr_label"):
     return seen.select("dialogue_id", outcome.alias("outcome"), "utterance_count", "unique_labels")
 
 
-def dialogue_context(t, text="sentence", order="idx", block=POSITIONS_PER_BLOCK):
-    """All non-empty sentences of a dialogue, one per line, in file order.
-
-    A dialogue that spans more than one block has one row per block, numbered by ``part``.
-    """
+def dialogue_context(t, text="sentence", order="idx", block=ROWS_PER_BLOCK):
+    """All non-empty sentences of a dialogue, one per line, in file order; one row per dialogue."""
     spoken = t.where(F.trim(F.col(text)) != "")
-    line = F.trim(F.col(text)).alias("_t")
-    return spoken.groupBy("dialogue_id", block_of(order, block).alias("part")).agg(
-        F.array_join(F.transform(_in_order(order, line), lambda r: r["_t"]), "\n").alias("context"))
+    listed = _listed(spoken, F.trim(F.col(text)), "dialogue_id", order, block)
+    return listed.select("dialogue_id", F.array_join("_list", "\n").alias("context"))
+
+
+MOST_PROMPT_CHARS = 1 << 28
 
 
-def attach_context(t, text="sentence", order="idx", block=POSITIONS_PER_BLOCK):
-    """Add the dialogue's whole context to each of its rows; the join key is (dialogue, block).
+def conversation_prompts(t, ask, text="sentence", speaker="role", order="idx", most=MOST_PROMPT_CHARS,
+                         block=ROWS_PER_BLOCK):
+    """One prompt per dialogue: its utterances, numbered from 1 in file order, and what is asked of each.
 
-    A prompt with its context is one text cell, so this is for dialogues whose text fits one.
+    Also the list ``places`` of the utterances' file positions, for ``replies_per_row``. Output grows with the
+    input, where a prompt for each row with the whole context would grow with its square. A prompt of more than
+    ``most`` characters raises; nothing is cut.
     """
-    parts = dialogue_context(t, text, order, block)
-    context = parts.groupBy("dialogue_id").agg(
-        F.array_join(F.transform(_in_order("part", "context"), lambda r: r["context"]), "\n")
-        .alias("context"))
-    rows = with_block(t, order, block)
-    blocks = rows.groupBy("dialogue_id", BLOCK).agg(rows_n().alias("_n")).select("dialogue_id", BLOCK)
-    return (rows.join(blocks.join(context, "dialogue_id", "left"), ["dialogue_id", BLOCK], "left")
-            .withColumn("context", F.coalesce("context", F.lit(""))).select(*t.columns, "context"))
+    line = F.struct(F.col(order).alias("at"), F.concat(
+        F.lit(" ("), F.coalesce(F.col(speaker).cast("string"), F.lit("")), F.lit("): "),
+        F.coalesce(F.col(text), F.lit(""))).alias("line"))
+    listed = _listed(t, line, "dialogue_id", order, block)
+    lines = F.transform("_list", lambda r, i: F.concat((i + 1).cast("string"), r["line"]))
+    prompt = F.array_join(F.array_append(lines, F.lit(ask)), "\n")
+    made = listed.select("dialogue_id", prompt.alias("prompt"), F.transform("_list", lambda r: r["at"]).alias("places"))
+    whole = F.when(F.length("prompt") <= most, F.col("prompt")).otherwise(
+        F.raise_error(F.concat(F.lit("prompt too long in dialogue "), F.col("dialogue_id").cast("string"))))
+    return made.withColumn("prompt", whole)
+
+
+def replies_per_row(prompts, reply="reply", separator=",", order="idx"):
+    """(dialogue, position, answer): the n-th answer of a reply list goes to the n-th utterance; missing ones are NULL."""
+    answers = F.split(reply, separator)
+    rows = prompts.select("dialogue_id", answers.alias("_a"), F.posexplode("places").alias("_i", order))
+    return rows.select("dialogue_id", order, F.trim(F.get("_a", F.col("_i"))).alias("answer"))
 
 
 def build_prompt(t, template, name="prompt"):

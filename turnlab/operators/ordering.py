@@ -8,26 +8,46 @@ The approximate quantiles only decide where the cuts lie, every result is exact.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 200
 _RANGE = "_range"
+_DIGESTS = 64   # tasks that share the work of finding the cuts
+
+
+def ranges_of(df):
+    """How many ranges values are cut into: as many as the session has shuffle partitions."""
+    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _cuts(values, col, ranges):
+    """Approximate quantiles in two steps: of each hash part of the values, then of the parts' quantiles."""
     shares = [i / ranges for i in range(1, ranges)]
-    return values.select(F.percentile_approx(col, shares, 100 * ranges)).scalar()
+    part = F.pmod(F.xxhash64(col), F.lit(_DIGESTS))
+    parts = values.groupBy(part.alias("_part")).agg(F.percentile_approx(col, shares, 10 * ranges).alias("_q"))
+    return parts.select(F.explode("_q").alias("_q")).select(F.percentile_approx("_q", shares, 10 * ranges)).scalar()
+
+
+def _below(cuts, x):
+    """How many of the sorted cuts are smaller than x, by halving."""
+    def halve(s, _):
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        smaller = F.get(cuts, middle) < x
+        return F.when(s["lo"] >= s["hi"], s).when(smaller, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))) \
+            .otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve, lambda s: s["lo"])
 
 
-def add_range(df, col, ranges=RANGES, sample=None):
+def add_range(df, col, ranges=None, sample=None):
     """Add the number of the value range a row falls in; equal values share a range.
 
-    ``sample`` is the expression the cuts are taken from, by default the column.
+    ``sample`` is the expression the cuts are taken from, by default the column. The cuts only balance the ranges.
     """
-    placed = df.withColumn("_cuts", _cuts(df, col if sample is None else sample, ranges))
-    cuts = F.coalesce(F.col("_cuts"), F.array().cast("array<double>"))
-    return placed.withColumn(_RANGE, F.size(F.filter(cuts, lambda c: c < F.col(col)))).drop("_cuts")
+    sample = F.col(col) if sample is None else sample
+    placed = df.withColumn("_cuts", _cuts(df, sample, ranges or ranges_of(df)))
+    cuts = F.coalesce(F.col("_cuts"), F.array())
+    return placed.withColumn(_RANGE, F.when(F.col(col).isNull(), 0).otherwise(_below(cuts, F.col(col)))).drop("_cuts")
 
 
-def cumulate(counts, x, measures, by=(), ranges=RANGES):
+def cumulate(counts, x, measures, by=(), ranges=None):
     """Add ``below_<m>`` for every measure: its total over the smaller values of the group.
 
     ``counts`` has one row per group and value. ``total_<m>`` is the group's total.
@@ -52,7 +72,7 @@ def cumulate(counts, x, measures, by=(), ranges=RANGES):
         *[f"total_{m}" for m in measures])
 
 
-def exact_quantiles(df, x, probabilities, by=(), ranges=RANGES):
+def exact_quantiles(df, x, probabilities, by=(), ranges=None):
     """Exact quantiles (linear interpolation), one row per group and probability."""
     counts = (df.where(F.col(x).isNotNull()).groupBy(*by, x)
               .agg(F.count(F.lit(1)).alias("_n")))
@@ -70,7 +90,7 @@ def exact_quantiles(df, x, probabilities, by=(), ranges=RANGES):
         (low + weight * (high - low)).alias("value"), F.max("total__n").alias("n"))
 
 
-def row_index(df, order, name="row_index", ranges=RANGES):
+def row_index(df, order, name="row_index", ranges=None):
     """Number the rows 0..n-1 in the order of a unique numeric column."""
     placed = add_range(df, order, ranges)
     inside = F.row_number().over(W.partitionBy(_RANGE).orderBy(order)).cast("long")
@@ -79,3 +99,15 @@ def row_index(df, order, name="row_index", ranges=RANGES):
     offsets = totals.select(_RANGE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     return (placed.withColumn("_in", inside).join(offsets, _RANGE, "left")
             .select(*df.columns, (F.col("_in") - 1 + F.col("_off")).alias(name)))
+
+
+def number_within(df, major, minor, name="row_index"):
+    """Number the rows 0..n-1 in the order of a numeric column and, within its values, of further columns.
+
+    The rows of one value of ``major`` are sorted in one task, so each value should have a bounded number of them.
+    """
+    counts = df.groupBy(major).agg(F.count(F.lit(1)).alias("_n"))
+    below = cumulate(counts, major, ["_n"]).select(major, F.col("below__n").alias("_below"))
+    inside = F.row_number().over(W.partitionBy(major).orderBy(*minor))
+    return df.withColumn("_in", inside).join(below, major).select(
+        *df.columns, (F.col("_in") - 1 + F.col("_below")).cast("long").alias(name))

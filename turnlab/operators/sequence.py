@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlab.functions.labels import split_labels
 from turnlab.operators.blocks import (
-    BLOCK, HOME, POSITIONS_PER_BLOCK, TURNS_PER_BLOCK, per_dialogue, previous_row, with_halo,
+    BLOCK, CUT, HOME, ROWS_PER_BLOCK, TURNS_PER_BLOCK, per_dialogue, previous_row, with_block, with_halo,
 )
 from turnlab.operators.tables import one_row
 from turnlab.vocab import VALID_PR, WITH_EVENT, WITHOUT_EVENT
@@ -22,19 +22,19 @@ def valid_pr(t, pr=PR):
     return t.where(F.col(pr).isin(VALID_PR))
 
 
-def prev_label(t, columns=(EML,), block=POSITIONS_PER_BLOCK):
+def prev_label(t, columns=(EML,), block=ROWS_PER_BLOCK):
     """Labels of the previous row in file order, whoever spoke; rows without them are dropped."""
     prior = previous_row(t, list(columns), DIALOGUE, [IDX], IDX, block)
     return prior.drop("has_previous").na.drop(subset=["prev_" + c for c in columns])
 
 
-def first_event_turn(t, block=TURNS_PER_BLOCK):
+def first_event_turn(t, block=ROWS_PER_BLOCK):
     """Add the first turn with EML in the dialogue, NULL when there is none."""
     first = F.when(F.col(EML) == 1, F.col(TURN))
     return per_dialogue(t, {"first_event_turn": ("min", first)}, DIALOGUE, TURN, block)
 
 
-def label_timing(t, block=TURNS_PER_BLOCK):
+def label_timing(t, block=ROWS_PER_BLOCK):
     """Outcome rows before or after the dialogue's first EML turn.
 
     Rows in that very turn are left out; a dialogue without EML counts as before.
@@ -47,7 +47,7 @@ def label_timing(t, block=TURNS_PER_BLOCK):
             .withColumn("timing", timing).where(F.col("timing").isNotNull()))
 
 
-def has_event(t, block=TURNS_PER_BLOCK):
+def has_event(t, block=ROWS_PER_BLOCK):
     """Add With_EML / Without_EML of the whole dialogue."""
     seen = F.coalesce((F.col(EML) == 1).cast("int"), F.lit(0))
     marked = per_dialogue(t, {"_seen": ("max", seen)}, DIALOGUE, TURN, block)
@@ -55,7 +55,7 @@ def has_event(t, block=TURNS_PER_BLOCK):
     return marked.withColumn("event_group", group).drop("_seen")
 
 
-def qualify(t, min_pr=0, min_events=0, block=TURNS_PER_BLOCK):
+def qualify(t, min_pr=0, min_events=0, block=ROWS_PER_BLOCK):
     """Rows of the dialogues with at least so many valid outcomes and so many EML rows."""
     counts = {
         "_pr": ("sum", F.col(PR).isin(VALID_PR).cast("long")),
@@ -70,9 +70,10 @@ def _arrow(before, after):
     return F.concat(F.col(before), F.lit("→"), F.col(after))
 
 
-def transitions(t, block=TURNS_PER_BLOCK):
+def transitions(t, block=ROWS_PER_BLOCK):
     """Consecutive valid outcomes of a dialogue by turn, across roles and at any distance."""
-    rows = valid_pr(has_event(t, block)).select(DIALOGUE, TURN, IDX, PR, "event_group")
+    marked = has_event(with_block(t, DIALOGUE, TURN, block), block)
+    rows = valid_pr(marked).select(DIALOGUE, TURN, IDX, PR, "event_group", BLOCK, CUT)
     pairs = previous_row(rows, [TURN, PR], DIALOGUE, [TURN, IDX], TURN, block)
     return pairs.where("has_previous").select(
         DIALOGUE, "event_group",

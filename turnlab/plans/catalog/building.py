@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from turnlab.functions import labels as lab
 from turnlab.operators import build, matching
 from turnlab.operators import tables as tab
-from turnlab.operators.ordering import row_index
+from turnlab.operators.ordering import number_within
 from turnlab.plans import stand_ins
 from turnlab.plans.catalog.registry import on_all, on_table, on_turns, on_utterances
 from turnlab.plans.stand_ins import TURNS_SQL
@@ -86,10 +86,10 @@ def pipe_turn_lines(u):
 
 
 @on_turns("act_sequences", """
-SELECT dialogue_id, 0::BIGINT AS part, string_agg(coalesce(da_label, ''), ';' ORDER BY idx) AS da_sequence
+SELECT dialogue_id, string_agg(coalesce(da_label, ''), ';' ORDER BY idx) AS da_sequence
 FROM turns GROUP BY 1""")
 def act_sequences(t):
-    return build.da_sequence(t).select("dialogue_id", "part", F.array_join("da_sequence", ";").alias("da_sequence"))
+    return build.da_sequence(t).select("dialogue_id", F.array_join("da_sequence", ";").alias("da_sequence"))
 
 
 OUTCOMES = """
@@ -138,21 +138,35 @@ CONTEXT = "(SELECT conv_id, string_agg(spoken, chr(10) ORDER BY turn) AS context
 
 
 @on_table("dialogue_context", "conversations", f"""
-WITH {SPOKEN} SELECT conv_id AS dialogue_id, 0::BIGINT AS part, md5(context) AS digest, length(context) AS n_chars FROM {CONTEXT}""")
+WITH {SPOKEN} SELECT conv_id AS dialogue_id, md5(context) AS digest, length(context) AS n_chars FROM {CONTEXT}""")
 def dialogue_context(c):
     return build.dialogue_context(spoken(c)).select(
-        "dialogue_id", "part", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+        "dialogue_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
+
+
+ASK = "Answer 0 or 1 for each utterance, separated by commas."
+
+
+def fake_reply(places):
+    """What stands in for a language model's answers: 1 for every utterance at an even position."""
+    return F.array_join(F.transform(places, lambda p: ((p + 1) % 2).cast("string")), ", ")
 
 
 @on_table("context_prompts", "conversations", f"""
-WITH {SPOKEN} SELECT conv_id AS dialogue_id, turn AS idx,
-  md5('Context: ' || context || ' Utterance (' || role || '): ' || text || ' Answer 0 or 1.') AS digest
-FROM s JOIN {CONTEXT} USING (conv_id)""")
+WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ' (' || role || '): ' || text AS line
+           FROM conversations)
+SELECT conv_id AS dialogue_id, md5(string_agg(line, chr(10) ORDER BY turn) || chr(10) || '{ASK}') AS digest,
+       count(*) AS utterances FROM p GROUP BY 1""")
 def context_prompts(c):
-    rows = build.attach_context(spoken(c))
-    prompts = build.build_prompt(
-        rows, "Context: {context} Utterance ({role}): {sentence} Answer 0 or 1.")
-    return prompts.select("dialogue_id", "idx", F.md5("prompt").alias("digest"))
+    return build.conversation_prompts(spoken(c), ASK).select(
+        "dialogue_id", F.md5("prompt").alias("digest"), F.size("places").cast("long").alias("utterances"))
+
+
+@on_table("context_replies", "conversations", """
+SELECT conv_id AS dialogue_id, turn AS idx, CAST((turn + 1) % 2 AS VARCHAR) AS answer FROM conversations""")
+def context_replies(c):
+    prompts = build.conversation_prompts(spoken(c), ASK)
+    return build.replies_per_row(prompts.withColumn("reply", fake_reply(F.col("places"))))
 
 
 @on_turns("complete_turns", """
@@ -165,11 +179,11 @@ def complete_turns(t):
 @on_turns("sampled_turns", """
 WITH c AS (SELECT dialogue_id, turn FROM turns GROUP BY 1, 2 HAVING count(DISTINCT role) = 2),
 d AS (SELECT * FROM c ORDER BY md5(concat_ws(':', dialogue_id, turn, 42)), dialogue_id, turn LIMIT 100)
-SELECT idx, dialogue_id, turn, role, sentence, row_number() OVER (ORDER BY idx) - 1 AS row_index
+SELECT idx, dialogue_id, turn, role, sentence, row_number() OVER (ORDER BY dialogue_id, turn, role, idx) - 1 AS row_index
 FROM turns JOIN d USING (dialogue_id, turn)""")
 def sampled_turns(t):
     drawn = build.sample_turns(t, 100).select("idx", "dialogue_id", "turn", "role", "sentence")
-    return row_index(drawn, "idx").orderBy("dialogue_id", "turn", "role", "idx")
+    return number_within(drawn, "dialogue_id", ["turn", "role", "idx"]).orderBy("row_index")
 
 
 @on_turns("corpus_profile", """
