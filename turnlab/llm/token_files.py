@@ -25,7 +25,10 @@ MAGIC = b"TLTOK1\0\0"
 END = 2
 FILE_BYTES = 32 << 20    # of packed tokens wanted in a file
 BLOCK_TOKENS = 1 << 20   # after which a block ends; a longer document is a block of its own
-_KEPT, _LONGEST = 300_000, 48
+_KEPT, _LONGEST = 500_000, 64  # pieces in a table, and characters of a piece that is kept
+_TOGETHER = 2_000        # new words encoded in one call
+_GROUP = 2 << 20         # characters looked up at once
+_BEHIND = ".,;:!?|"
 
 #: The lengths of the four numbers behind each control byte, and the mask of a length.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -58,7 +61,9 @@ class Encoder:
     """The tokenizer of a file, over pieces between spaces and line ends; ids come as little-endian bytes.
 
     Neither normalisation nor splitting of these tokenizers looks across such a place, so the pieces' ids make the
-    text's. Pieces are kept in two tables of bounded size. Special tokens in a text are ordinary text.
+    text's. Pieces are kept in two tables of bounded size. A piece that is a word with punctuation behind it is put
+    together from both, and new words are encoded many at a time: each ends with a token that is marked so.
+    Special tokens in a text are ordinary text.
     """
 
     def __init__(self, path):
@@ -66,26 +71,66 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size = max(self.tokenizer.get_vocab().values()) + 1
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known, self.older = {"": b""}, {}
 
-    def piece(self, text):
-        found = self.older.get(text)
-        if found is None:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        if len(text) <= _LONGEST:
-            if len(self.known) >= _KEPT:
-                self.known, self.older = {"": b""}, self.known
-            self.known[text] = found
-        return found
+    def ids(self, text):
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
 
     def encode(self, text):
-        out = []
-        for part in text.replace("\n", " ").split(" "):
-            found = self.known.get(part)
-            out.append(self.piece(part) if found is None else found)
-        return b"".join(out)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts):
+        """The ids of some texts, as bytes each."""
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) >= _KEPT:
+            self.known, self.older = {"": b""}, self.known
+        new = set().union(*pieces).difference(self.known)
+        self.learn(new)
+        find = self.known.__getitem__
+        out = [b"".join(map(find, p)) for p in pieces]
+        for piece in new:
+            if len(piece) > _LONGEST:
+                del self.known[piece]
+        return out
+
+    def learn(self, pieces):
+        """Put new pieces into the table."""
+        known, older, parts, words = self.known, self.older, {}, set()
+        for piece in pieces:
+            found = older.get(piece)
+            if found is not None:
+                known[piece] = found
+                continue
+            core = piece.rstrip(_BEHIND)
+            if len(piece) <= _LONGEST and core.isalpha() and core.isascii():  # lower case is the same before and after cutting
+                word = core.lower()
+                parts[piece] = (word, piece[len(core):])
+                if word not in known:
+                    words.add(word)
+            else:
+                known[piece] = self.ids(piece).tobytes()
+        self.learn_words(sorted(words))
+        for piece, (word, behind) in parts.items():
+            if behind not in known:
+                known[behind] = self.ids(behind).tobytes()
+            known[piece] = known[word] + known[behind]
+
+    def learn_words(self, words):
+        for i in range(0, len(words), _TOGETHER):
+            part = words[i:i + _TOGETHER]
+            ids = self.ids(" ".join(part))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, width = ids.tobytes(), self.type.itemsize
+                at = [0, *(stops * width).tolist()]
+                self.known.update(zip(part, [raw[x:y] for x, y in zip(at, at[1:])]))
+            else:  # this tokenizer marks no ends
+                self.known.update((w, self.ids(w).tobytes()) for w in part)
 
 
 @functools.lru_cache(maxsize=2)
@@ -98,8 +143,14 @@ def encode(docs, path, doc_id="doc_id", text="text", end=END):
     appended. A null or empty text has the end alone."""
     def run(texts):
         coder = encoder(path)
-        last = np.array([end], coder.type).tobytes()
-        return [[(coder.encode(t) if t else b"") + last for t in texts]]
+        last, out, part, size = np.array([end], coder.type).tobytes(), [], [], 0
+        for i, t in enumerate(texts):
+            part.append(t or "")
+            size += len(part[-1])
+            if size > _GROUP or i == len(texts) - 1:
+                out += [ids + last for ids in coder.encode_many(part)]
+                part, size = [], 0
+        return [out]
     return with_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["text"], run,
                         "ids binary").select("doc_id", "ids")
 
