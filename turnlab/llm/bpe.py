@@ -92,7 +92,7 @@ class Codec:
     merged once per worker.
     """
 
-    KEPT, LONGEST = 250_000, 48
+    KEPT, LONGEST, GROUP = 600_000, 48, 2 << 20
 
     def __init__(self, path, pattern):
         with open(path, "rb") as lines:
@@ -106,31 +106,34 @@ class Codec:
         self.pieces = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.known, self.older = {}, {}
 
-    def keep(self, text, ids):
-        if len(text) <= self.LONGEST:
-            if len(self.known) >= self.KEPT:
-                self.known, self.older = {}, self.known
-            self.known[text] = ids
-        return ids
-
     def match(self, text):
         """Ids of one match of the pattern, as little-endian 32-bit numbers."""
         found = self.known.get(text) or self.older.get(text)
-        if found:
-            return found
-        ids = merge_bytes(text.encode(), self.ranks, self.pairs)
-        return self.keep(text, struct.pack(f"<{len(ids)}i", *ids))
-
-    def piece(self, text):
-        found = self.older.get(text)
-        if found is None:
-            found = b"".join(map(self.match, self.split.findall(text)))
-        return self.keep(text, found)
+        if not found:
+            ids = merge_bytes(text.encode(), self.ranks, self.pairs)
+            found = struct.pack(f"<{len(ids)}i", *ids)
+        if len(text) <= self.LONGEST:
+            self.known[text] = found
+        return found
+
+    def packed_many(self, texts):
+        """Ids of some texts, each as little-endian 32-bit numbers."""
+        if len(self.known) >= self.KEPT:
+            self.known, self.older = {}, self.known
+        known, older, split, match = self.known, self.older, self.split.findall, self.match
+        pieces = [self.pieces.findall(t) for t in texts]
+        new = set().union(*pieces).difference(known)
+        for piece in new:
+            known[piece] = older.get(piece) or b"".join(map(match, split(piece)))
+        find = known.__getitem__
+        out = [b"".join(map(find, p)) for p in pieces]
+        for piece in new:
+            if len(piece) > self.LONGEST:
+                del known[piece]
+        return out
 
     def packed(self, text):
-        """Ids of a text as little-endian 32-bit numbers."""
-        known, piece = self.known.get, self.piece
-        return b"".join([known(p) or piece(p) for p in self.pieces.findall(text)])
+        return self.packed_many([text])[0]
 
     def encode(self, text):
         return np.frombuffer(self.packed(text), "<i4").tolist()
@@ -153,7 +156,13 @@ def encode(docs, path, pattern, text="text", ids="ids"):
     """
     def run(texts):
         coder = codec(path, pattern)
-        packed = [coder.packed(t) if t else b"" for t in texts]
+        packed, part, size = [], [], 0
+        for i, t in enumerate(texts):
+            part.append(t or "")
+            size += len(part[-1])
+            if size > coder.GROUP or i == len(texts) - 1:
+                packed += coder.packed_many(part)
+                part, size = [], 0
         ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
     return with_columns(docs, [text], run, f"`{ids}` array<int>")
