@@ -37,6 +37,8 @@ def test_byte_bpe_is_that_of_the_library(spark):
     got = sorted(((r.doc_id, r.text, list(r.ids), bytes(r.decoded)) for r in found.collect()), key=str)
     want = [(d, t, library.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows]
     assert got == sorted(want, key=str)
+    both = bpe.round_trip(docs, BYTE_RANKS, PATTERN).select("doc_id", "text", "ids", "decoded").collect()
+    assert sorted(((r.doc_id, r.text, list(r.ids), bytes(r.decoded)) for r in both), key=str) == got
     first = bpe.digest(found).where("doc_id = 5").first()
     ids = library.encode_ordinary(texts[5])
     assert (first.n_tokens, first.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())

@@ -92,7 +92,7 @@ class Codec:
     merged once per worker.
     """
 
-    KEPT, LONGEST, GROUP = 600_000, 48, 2 << 20
+    KEPT, LONGEST, GROUP = 200_000, 48, 1 << 20
 
     def __init__(self, path, pattern):
         with open(path, "rb") as lines:
@@ -155,28 +155,45 @@ def encode(docs, path, pattern, text="text", ids="ids"):
     named as ``ids`` is replaced. ``path`` must be readable on every machine; only names travel with a task.
     """
     def run(texts):
-        coder = codec(path, pattern)
-        packed, part, size = [], [], 0
-        for i, t in enumerate(texts):
-            part.append(t or "")
-            size += len(part[-1])
-            if size > coder.GROUP or i == len(texts) - 1:
-                packed += coder.packed_many(part)
-                part, size = [], 0
-        ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
+        return [_as_lists(_packed(codec(path, pattern), texts))]
     return with_columns(docs, [text], run, f"`{ids}` array<int>")
 
 
+def _packed(coder, texts):
+    """Ids of texts as bytes, a bounded group of texts at a time."""
+    packed, part, size = [], [], 0
+    for i, t in enumerate(texts):
+        part.append(t or "")
+        size += len(part[-1])
+        if size > coder.GROUP or i == len(texts) - 1:
+            packed += coder.packed_many(part)
+            part, size = [], 0
+    return packed
+
+
+def _as_lists(packed):
+    ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def _decoded(coder, lists):
+    offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+    return [b"" if x else coder.decode(values[a:b].tolist())
+            for x, a, b in zip(lists.is_null().to_pylist(), offsets, offsets[1:])]
+
+
 def decode(rows, path, pattern, ids="ids", decoded="decoded"):
     """``rows`` with the column ``decoded`` (binary): the bytes of their ids. Null or no ids give no bytes."""
-    def run(lists):
+    return with_columns(rows, [ids], lambda lists: [_decoded(codec(path, pattern), lists)], f"`{decoded}` binary", raw=True)
+
+
+def round_trip(docs, path, pattern, text="text", ids="ids", decoded="decoded"):
+    """``docs`` with both columns of ``encode`` and ``decode``, in one pass over the texts."""
+    def run(texts):
         coder = codec(path, pattern)
-        offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
-        null = lists.is_null().to_pylist()
-        return [[b"" if x else coder.decode(values[a:b].tolist())
-                 for x, a, b in zip(null, offsets, offsets[1:])]]
-    return with_columns(rows, [ids], run, f"`{decoded}` binary", raw=True)
+        lists = _as_lists(_packed(coder, texts))
+        return [lists, _decoded(coder, lists)]
+    return with_columns(docs, [text], run, f"`{ids}` array<int>, `{decoded}` binary")
 
 
 def digest(rows):

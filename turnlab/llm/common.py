@@ -35,7 +35,7 @@ def cut(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark, rows=1000, size="16m"):
+def small_batches(spark, rows=500, size="8m"):
     """Bounds what a Python worker holds at once, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -63,6 +63,7 @@ def with_columns(df, inputs, compute, added, raw=False):
             made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)]
             old = [batch.column(batch.schema.get_field_index(c)) for c in stay]
             yield pa.RecordBatch.from_arrays(old + made, names=stay + new.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return kept.mapInArrow(run, schema)
 

@@ -31,8 +31,7 @@ def op2_wrapper_induction(spark, sf_dir):
 @query
 def op3_byte_bpe(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
-    return bpe.digest(bpe.decode(ids, BYTE_RANKS, public_tokenizers.PATTERN))
+    return bpe.digest(bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text"))
 
 
 @query
