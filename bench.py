@@ -24,7 +24,7 @@ HEADLINE = [
     "act_frequency", "merged_turns", "numbered_speaker_runs", "conversation_outcomes",
     "cascade_matched_labels", "rater_majority", "act_list_quality", "outcome_quality",
     "word_frequency_by_language", "context_prompts", "sequence_features", "stratified_split_sizes",
-    "outcome_rules",
+    "outcome_rules", "tfidf_weights", "eml_model_quality",
 ]
 
 

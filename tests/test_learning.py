@@ -26,6 +26,21 @@ def test_split_is_exact_and_stable(conversations, rows):
         assert sizes[label, "test"] == int(n * 0.2 + 0.5)
 
 
+def test_split_narrows_its_ranges(spark, monkeypatch, rows):
+    df = spark.range(900).select(F.col("id").alias("idx"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"))
+    want = rows(splits.stratified_split(df, "y", "idx"), "idx", "split")
+    monkeypatch.setattr(splits, "RANGE_BITS", 2)
+    assert rows(splits.stratified_split(df, "y", "idx"), "idx", "split") == want
+
+
+def test_random_split_and_bound(spark):
+    df = spark.range(4000).withColumnRenamed("id", "idx")
+    sizes = dict(map(tuple, splits.random_split(df, "idx").groupBy("split").count().collect()))
+    assert sizes["train"] + sizes["test"] == 4000 and 2650 < sizes["train"] < 2950
+    one, two = ({r[0] for r in splits.bounded(df.repartition(n), "idx", 50).collect()} for n in (1, 6))
+    assert one == two and len(one) == 50
+
+
 def test_ordered_split(conversations):
     got = splits.ordered_split(conversations.repartition(5)).groupBy("split").agg(F.min("idx"), F.max("idx")).collect()
     assert {tuple(r) for r in got} == {("train", 0, 143), ("test", 144, 179)}
@@ -63,11 +78,32 @@ def test_text_features(conversations):
     assert set(model.stages[4].vocabulary) == {"thing"} | {f"word{i}" for i in range(4)} | {f"word{i} thing" for i in range(4)}
 
 
+def test_weights_table_is_the_stages(conversations):
+    stages = Pipeline(stages=features.tfidf_stages()).fit(conversations)
+    words = stages.stages[4].vocabulary
+    want = {(r["idx"], words[i]): v for r in stages.transform(conversations).collect()
+            for i, v in zip(r["text_features"].indices, r["text_features"].values)}
+    got = {(r["idx"], r["term"]): r["weight"] for r in features.tfidf_weights(conversations, "idx").collect()}
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: v for k, v in got.items() if k in want}
+    assert all(v == 0 for k, v in got.items() if k not in want)
+
+
+def test_mode_of_a_tie_is_the_least(spark):
+    t = spark.createDataFrame([(None, None, "b", "ap"), ("x", 1, "a", None), ("y", 0, None, "pa")],
+                              "sentence string, eml_label int, pr_label string, da_label string")
+    got = features.prepare_rows(t, categories=["pr_label"]).collect()
+    assert [(r["sentence"], r["eml_label"], r["pr_label"]) for r in got] == [("", 0, "b"), ("x", 1, "a"), ("y", 0, "a")]
+
+
+def test_each_act(spark):
+    t = spark.createDataFrame([(1, 5, "b,a"), (1, 3, "c"), (1, 4, None)], "dialogue_id long, idx long, da_label string")
+    assert [r["act"] for r in features.each_act(t).orderBy("at").collect()] == ["c", "b", "a"]
+
+
 def test_models_fit_and_rank(conversations, spark):
     t = conversations.withColumn("eml_label", (F.col("pr_label") == "Compliance").cast("int"))
     model = models.fit_eml_model(t, trees=2, depth=3)
-    rows = features.prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
-    scored = model.transform(rows)
+    scored = model.transform(models.eml_rows(t))
     assert scored.where("prediction = label").count() == t.count()
     top = models.feature_importance(spark, model.stages[-1], scored, top=3).first()
     assert top["rank"] == 1 and top["feature"].startswith("pr_onehot")

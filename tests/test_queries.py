@@ -16,12 +16,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
+def sf_dir_of(name):
+    return MODEL_SF_DIR if name.endswith(("_quality", "_importance")) else SF_DIR
+
+
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for name in TABLES:
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
-    return con
+    found = {}
+    for folder in {SF_DIR, MODEL_SF_DIR}:
+        found[folder] = duckdb.connect()
+        for name in TABLES:
+            found[folder].sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return found
 
 
 def plain(value):
@@ -36,8 +42,8 @@ def ordered(rows):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF_DIR)
-    relation = duck.sql(SQL[name])
+    df = QUERIES[name](spark, sf_dir_of(name))
+    relation = duck[sf_dir_of(name)].sql(SQL[name])
     assert sorted(df.columns) == sorted(relation.columns)
     assert not any("HUGE" in str(t) or "DECIMAL" in str(t) for t in relation.types)
     cols = sorted(df.columns)

@@ -9,13 +9,16 @@ def test_csv_round_trip_with_encodings(spark, tmp_path):
     path = tmp_path / "turns.csv"
     path.write_bytes('idx,speaker,text\n1,a,"caf\xe9, two\nlines"\n2,b,x\n'.encode("latin-1"))
     schema = StructType.fromDDL("seq long, speaker string, text string")
-    df = readers.read_csv(spark, str(path), schema, encoding="ISO-8859-1")
+    df = readers.read_csv(spark, str(path), schema, encoding="ISO-8859-1", multi_line=True)
     assert [tuple(r) for r in df.orderBy("seq").collect()] == [(1, "a", "café, two\nlines"), (2, "b", "x")]
-    assert readers.read_csv_fallback(spark, str(path), schema).collect() == df.collect()
+    assert readers.read_csv_fallback(spark, str(path), schema, multi_line=True).collect() == df.collect()
+    valid = tmp_path / "valid.csv"
+    valid.write_bytes("idx,speaker,text\n1,a,caf\u00e9 \ufffd\n".encode())
+    assert readers.read_csv_fallback(spark, str(valid), schema).first()["text"] == "caf\u00e9 \ufffd"
     text = readers.read_csv(spark, str(path), schema, "ISO-8859-1", as_text=True)
     assert {t for _, t in text.dtypes} == {"string"}
     writers.write_csv(df, str(tmp_path / "out"))
-    assert readers.read_csv(spark, str(tmp_path / "out"), df.schema).count() == 2
+    assert readers.read_csv(spark, str(tmp_path / "out"), df.schema, multi_line=True).count() == 2
 
 
 def test_turn_table_in_parquet(spark, tmp_path):

@@ -79,11 +79,16 @@ def test_mann_whitney_against_ranks(spark):
 def test_logit_is_the_log_odds_ratio(spark):
     cells = {("ap", "Compliance"): 30, ("ap", "Resistance"): 10, ("pa", "Compliance"): 8, ("pa", "Resistance"): 12}
     df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "act string, out string")
-    assert stats.category_values(df, "act") == (["ap", "pa"], "ap")
-    with pytest.raises(ValueError):
-        stats.category_values(df, "act", most=1)
+    closed = {r["term"]: r for r in stats.category_logit(df, "out", "Compliance", "act").collect()}
     table = {r["term"]: r for r in stats.logit_table(df, "out", "Compliance", "act", ["ap", "pa"], "ap").collect()}
     assert table["Intercept"]["coefficient"] == pytest.approx(math.log(3), abs=1e-6)
+    for term, row in table.items():  # the closed form is the fit
+        for c in ("coefficient", "std_error", "p_value", "odds_ratio", "pseudo_r2", "lr_p_value"):
+            assert closed[term][c] == pytest.approx(row[c], abs=1e-5), (term, c)
+        assert closed[term]["mark"] == row["mark"]
+    one_sided = df.union(spark.createDataFrame([("sn", "Compliance")] * 3, df.schema))
+    odd = {r["term"]: r for r in stats.category_logit(one_sided, "out", "Compliance", "act").collect()}
+    assert odd["sn"]["coefficient"] is None and odd["pa"]["coefficient"] == pytest.approx(closed["pa"]["coefficient"])
     assert table["pa"]["odds_ratio"] == pytest.approx((8 / 12) / 3, abs=1e-6)
     assert table["pa"]["std_error"] == pytest.approx(math.sqrt(1 / 30 + 1 / 10 + 1 / 8 + 1 / 12), abs=1e-5)
     z = math.log((8 / 12) / 3) / math.sqrt(1 / 30 + 1 / 10 + 1 / 8 + 1 / 12)
@@ -96,6 +101,14 @@ def test_logit_is_the_log_odds_ratio(spark):
     assert [(r["term"], r["effect"]) for r in effect] == [("pa", "lowers")]
 
 
+def test_category_vif_is_that_of_the_dummies(spark):
+    acts = ["ap"] * 9 + ["pa"] * 5 + ["sn"] * 3
+    df = spark.createDataFrame([(a, float(a == "pa"), float(a == "sn")) for a in acts], "act string, pa double, sn double")
+    want = {"DA_" + r["variable"]: r["vif"] for r in stats.vif(df, ["pa", "sn"]).collect()}
+    got = {r["variable"]: r["vif"] for r in stats.category_vif(df, "act").collect()}
+    assert got == pytest.approx(want)
+
+
 def test_vif(spark):
     data = [(float(i), float(i % 7), 2.0 * i + (i % 3)) for i in range(60)]
     got = {r["variable"]: r["vif"] for r in stats.vif(spark.createDataFrame(data, "a double, b double, c double"), ["a", "b", "c"]).collect()}

@@ -6,13 +6,22 @@ from pyspark.ml.feature import (
 )
 from pyspark.sql import functions as F
 
-from turnlab.functions.labels import da_binary
+from turnlab.functions.labels import da_binary, split_labels
+
 
 def rows_n():
     return F.count(F.lit(1))
+
+
 TOP_ACTS = 15
 
 
+def each_act(t, da="da_label", order="idx"):
+    """One row per act of every list, in the order of the rows and their lists: dialogue, ``at`` and ``act``."""
+    return t.select("dialogue_id", order, F.posexplode(split_labels(da)).alias("_nth", "act")).select(
+        "dialogue_id", F.struct(order, "_nth").alias("at"), "act")
+
+
 def common_acts(t, da="da_label", n=TOP_ACTS):
     """The n commonest acts; at most n values come to the driver."""
     top = (t.where(F.col(da).isNotNull()).groupBy(da).agg(rows_n().alias("c"))
@@ -66,16 +75,37 @@ def tfidf_stages(text="sentence", out="text_features", vocabulary=5000):
     ]
 
 
+def tfidf_weights(t, key, text="sentence", stop_words=()):
+    """(key, term, weight): the weights of ``tfidf_stages`` without a bound on the vocabulary, as a table.
+
+    Terms are words of two characters or more and pairs of neighbouring ones, in lower case; weights have length one.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1),
+                     lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(
+        " ", F.element_at("_w", i), F.element_at("_w", i + 1)))
+    listed = t.select(key, words.alias("_w")).select(key, F.explode(F.concat(
+        "_w", F.when(F.size("_w") > 1, pairs).otherwise(F.array()))).alias("term"))
+    counts = listed.groupBy(key, "term").agg(rows_n().alias("_tf"))
+    known = counts.groupBy("term").agg(rows_n().alias("_df"))
+    n = t.select(rows_n()).scalar()
+    raw = counts.join(known, "term").select(
+        key, "term", (F.col("_tf") * F.ln((n + 1) / (F.col("_df") + 1))).alias("_x"))
+    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_l"))
+    return raw.join(length, key).select(key, "term", F.try_divide("_x", "_l").alias("weight"))
+
+
 def label_index_stage(col, out):
     """Alphabetical class numbers."""
     return StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc")
 
 
 def prepare_rows(t, numbers=("eml_label",), text="sentence", categories=()):
-    """Model input rows: missing text '', missing numbers 0, missing category the commonest one."""
+    """Model input rows: missing text '', missing numbers 0, missing category the commonest one (the least of
+    equally common ones)."""
     out = t.na.fill("", subset=[text]).na.fill(0, subset=list(numbers))
     for c in categories:
-        mode = t.where(F.col(c).isNotNull()).select(F.mode(c)).scalar()
+        mode = t.where(F.col(c).isNotNull()).select(F.mode(c, True)).scalar()
         out = out.withColumn(c, F.coalesce(F.col(c), mode))
     return out.select("*", *da_binary("da_label"))
 

@@ -1,66 +1,92 @@
 """Classifiers on labels and text, importances and association rules."""
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from turnlab.learning.features import assembler, label_index_stage, prepare_rows, tfidf_stages
-from turnlab.learning.splits import add_class_weight
+from turnlab.learning.splits import add_class_weight, bounded
 from turnlab.vocab import DA_CODES, VALID_PR
 
 DA_COLUMNS = ["da_" + c for c in DA_CODES]
 
 
+def rows_n():
+    return F.count(F.lit(1))
+
+
 def _boosted(label, trees, depth, rate, seed=42):
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth,
                          stepSize=rate, seed=seed)
 
 
-def fit_pr_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000):
+MOST_ROWS = 100_000     # labelled rows that a fit reads; the rest is only scored
+
+
+def _text_model(rows, stages, estimator):
+    """Features are computed once and kept for the iterations of the fit."""
+    shared = Pipeline(stages=stages).fit(rows)
+    table = shared.transform(rows).select("features", "label").persist()
+    fitted = estimator.fit(table)
+    table.unpersist()
+    return PipelineModel(shared.stages + [fitted])
+
+
+def fit_pr_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx"):
     """Outcome from text, EML and acts: one boosted classifier per outcome class."""
-    rows = prepare_rows(t.where("pr_label is not null"))
+    rows = prepare_rows(bounded(t.where("pr_label is not null"), key, most))
     stages = tfidf_stages(vocabulary=vocabulary) + [
         label_index_stage("pr_label", "label"),
-        assembler(["text_features", "eml_label", *DA_COLUMNS]),
-        OneVsRest(classifier=_boosted("label", trees, depth, rate), labelCol="label",
-                  featuresCol="features", parallelism=3),
+        assembler(["text_features", "eml_label"]),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    return _text_model(rows, stages, OneVsRest(
+        classifier=_boosted("label", trees, depth, rate), labelCol="label", featuresCol="features", parallelism=3))
 
 
-def fit_eml_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000):
-    """EML from text, outcome and acts."""
-    rows = prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
-    stages = tfidf_stages(vocabulary=vocabulary) + [
-        StringIndexer(inputCol="pr_label", outputCol="_pr", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
-        OneHotEncoder(inputCol="_pr", outputCol="pr_onehot", dropLast=False),
-        assembler(["text_features", "pr_onehot", *DA_COLUMNS]),
-        _boosted("label", trees, depth, rate),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+def _outcome_onehot():
+    return [StringIndexer(inputCol="pr_label", outputCol="_pr", stringOrderType="alphabetAsc", handleInvalid="keep"),
+            OneHotEncoder(inputCol="_pr", outputCol="pr_onehot", dropLast=False)]
+
+
+def fit_eml_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx"):
+    """EML from text, outcome and acts; the table must be prepared with ``eml_rows``."""
+    rows = bounded(eml_rows(t), key, most)
+    stages = tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [assembler(["text_features", "pr_onehot"])]
+    return _text_model(rows, stages, _boosted("label", trees, depth, rate))
 
 
-def fit_da_models(t, codes=tuple(DA_CODES), trees=150, depth=6, rate=0.1, vocabulary=5000):
-    """One boosted classifier per act over a shared feature table; a dict of models by act."""
-    rows = prepare_rows(t.where("da_label is not null"), categories=["pr_label"])
-    shared = Pipeline(stages=tfidf_stages(vocabulary=vocabulary) + [
-        StringIndexer(inputCol="pr_label", outputCol="_pr", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
-        OneHotEncoder(inputCol="_pr", outputCol="pr_onehot", dropLast=False),
-        assembler(["text_features", "eml_label", "pr_onehot"]),
-    ]).fit(rows)
+def eml_rows(t):
+    return prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
+
+
+def fit_da_models(t, codes=tuple(DA_CODES), trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx"):
+    """One boosted classifier per act over a shared feature table; a dict of models by act. An act that occurs never or
+    always in the rows of the fit is left out."""
+    rows = prepare_rows(bounded(t.where("da_label is not null"), key, most), categories=["pr_label"])
+    shared = Pipeline(stages=tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [
+        assembler(["text_features", "eml_label", "pr_onehot"])]).fit(rows)
     table = shared.transform(rows).select("features", *DA_COLUMNS).persist()
+    seen = table.agg(*[F.avg(c).alias(c) for c in DA_COLUMNS]).first()
     models = {}
     for code in codes:
-        data = table.withColumn("label", F.col("da_" + code).cast("double"))
-        models[code] = _boosted("label", trees, depth, rate).fit(data)
+        if 0 < (seen["da_" + code] or 0) < 1:
+            data = table.withColumn("label", F.col("da_" + code).cast("double"))
+            models[code] = _boosted("label", trees, depth, rate).fit(data)
     table.unpersist()
     return shared, models
 
 
+def held_out_quality(scored, gold, pred):
+    """One row per gold class of a test part: its rows, and whether the accuracy over all of them beats always
+    answering the commonest class."""
+    whole = scored.agg(F.struct(F.avg((F.col(gold) == F.col(pred)).cast("double")).alias("hit"), rows_n().alias("n"))).scalar()
+    most = scored.groupBy(gold).agg(rows_n().alias("n")).agg(F.max("n")).scalar()
+    return scored.groupBy(F.col(gold).alias("gold")).agg(rows_n().alias("n")).withColumn(
+        "beats_majority", whole["hit"] * whole["n"] > most)
+
+
 def fit_outcome_forest(features, label="outcome", trees=100, depth=10, seed=42, least=10):
     """Class-balanced random forest on conversation features; needs enough conversations."""
     n = features.where(F.col(label).isNotNull()).count()

@@ -24,6 +24,13 @@ def mapping_table(df, col, mapping):
         "label", "outcome", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
+def mapping_classes(spark, mapping):
+    """Every class of a dictionary with its labels in dictionary order and their number."""
+    entries = literal_table(spark, "at", "label", "outcome", rows=[(i, *e) for i, e in enumerate(mapping.items())])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("at", "label"))), lambda r: r["label"])
+    return entries.groupBy("outcome").agg(listed.alias("labels"), F.count(F.lit(1)).alias("n"))
+
+
 def label_index(df, col, name="code", inverse="decoded"):
     """Alphabetical class number of a label column and the label it stands for."""
     from pyspark.ml.feature import IndexToString, StringIndexer

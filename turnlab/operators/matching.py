@@ -10,14 +10,23 @@ def duplicate_keys(df, keys=KEYS):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def join_labels(t, *label_tables, keys=KEYS):
-    """Left-join label tables onto the turns; each must have the key at most once.
+def one_per_key(labels, keys=KEYS, order=None):
+    """A label table with one row per key: the first in ``order``, or where none is given the least values."""
+    values = [c for c in labels.columns if c not in keys and c != order]
+    row = F.struct(*values)
+    first = F.min_by(row, order) if order else F.min(row)
+    return labels.groupBy(*keys).agg(first.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in values])
+
+
+def join_labels(t, *label_tables, keys=KEYS, order=None):
+    """Left-join label tables onto the turns. Every label table is reduced to one row per key first, so the turns
+    stay as many as they are; ``duplicate_keys`` tells which keys were repeated.
 
     All joins share one key, so the turn table is shuffled once.
     """
     out = t
     for labels in label_tables:
-        out = out.join(labels, list(keys), "left")
+        out = out.join(one_per_key(labels, keys, order), list(keys), "left")
     return out
 
 

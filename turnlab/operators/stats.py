@@ -153,20 +153,59 @@ def mann_whitney(df, group, x, a, b, p_value=True):
     return out
 
 
-def category_values(df, col, most=1000):
-    """The sorted values of a label column and the commonest one (label order on ties).
-
-    One row per value comes to the driver; a column with more than ``most`` values is refused.
+def _by_category(df, label, positive, category):
+    """(category, n, c, r): rows of a category, and those with and without the positive label; and the reference
+    category, the commonest one (label order on ties), as a struct Column."""
+    rows = df.where(F.col(label).isNotNull() & F.col(category).isNotNull())
+    k = rows.groupBy(F.col(category).alias("term")).agg(
+        rows_n().cast("double").alias("n"), F.count_if(F.col(label) == positive).cast("double").alias("c"))
+    k = k.withColumn("r", F.col("n") - F.col("c"))
+    reference = k.agg(F.min_by(F.struct("term", "n", "c", "r"), F.struct(-F.col("n"), "term"))).scalar()
+    return k, reference
+
+
+def category_logit(df, label, positive, category):
+    """Logistic regression of ``label == positive`` on one category, in its closed form.
+
+    The same table as ``logit_table``: coefficients are differences of log odds to the reference category, so one
+    grouped table and one reference row do. A category with one outcome only has no finite coefficient: NULL.
     """
-    counts = (df.where(F.col(col).isNotNull()).groupBy(col).agg(rows_n().alias("n"))
-              .limit(most + 1).collect())
-    if len(counts) > most:
-        raise ValueError(f"{col} has more than {most} values")
-    return sorted(r[0] for r in counts), min(counts, key=lambda r: (-r[1], r[0]))[0]
+    k, ref = _by_category(df, label, positive, category)
+    part = lambda x, n: F.coalesce(x * F.ln(F.try_divide(x, n)), F.lit(0.0))
+    sums = k.agg(F.struct(
+        F.sum(part(F.col("c"), F.col("n")) + part(F.col("r"), F.col("n"))).alias("fit"),
+        (part(F.sum("c"), F.sum("n")) + part(F.sum("r"), F.sum("n"))).alias("none"),
+        (rows_n() - 1).alias("terms"))).scalar()
+    odds = lambda x: F.when((x["c"] > 0) & (x["r"] > 0), F.ln(x["c"] / x["r"]))
+    noise = lambda x: F.try_divide(F.lit(1.0), x["c"]) + F.try_divide(F.lit(1.0), x["r"])
+    own = F.struct("c", "r")
+    is_ref = F.col("term") == F.col("_ref")["term"]
+    rows = k.withColumn("_ref", ref).withColumn("_sums", sums).select(
+        F.when(is_ref, "Intercept").otherwise(F.col("term")).alias("term"),
+        F.when(is_ref, odds(own)).otherwise(odds(own) - odds(F.col("_ref"))).alias("coefficient"),
+        F.sqrt(F.when(is_ref, noise(own)).otherwise(noise(own) + noise(F.col("_ref")))).alias("std_error"), "_sums")
+    gain = 2 * (F.col("_sums")["fit"] - F.col("_sums")["none"])
+    return (rows.withColumn("p_value", normal_two_sided(F.col("coefficient") / F.col("std_error")))
+            .withColumn("odds_ratio", F.exp("coefficient")).withColumn("mark", sig_mark("p_value"))
+            .withColumn("pseudo_r2", 1 - F.try_divide(F.col("_sums")["fit"], F.col("_sums")["none"]))
+            .withColumn("lr_p_value", chi2_sf(gain, F.col("_sums")["terms"])).drop("_sums"))
+
+
+def category_vif(df, category):
+    """Variance inflation factors of a category's dummies, in closed form: a dummy regressed on the others is constant
+    on its own and the reference group."""
+    k, ref = _by_category(df, category, None, category)
+    total = k.agg(F.sum("n")).scalar()
+    rows = k.withColumn("_ref", ref).withColumn("_total", total).where(F.col("term") != F.col("_ref")["term"])
+    n, m = F.col("n"), F.col("_ref")["n"]
+    return rows.select(F.concat(F.lit("DA_"), "term").alias("variable"),
+                       ((1 - n / F.col("_total")) * (n + m) / m).alias("vif"))
 
 
 def logit_table(df, label, positive, category, values, reference):
-    """Logistic regression of ``label == positive`` on category dummies.
+    """Logistic regression of ``label == positive`` on dummies of given category values, by iterated fitting.
+
+    For one category alone ``category_logit`` needs no fit and no list of values.
 
     One row per term (the intercept under its own name) with coefficient, standard error, p value,
     odds ratio and mark, plus the fit's pseudo R-squared and likelihood-ratio statistic. Rows with

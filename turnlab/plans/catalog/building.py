@@ -8,7 +8,7 @@ from turnlab.operators import tables as tab
 from turnlab.operators.ordering import number_within
 from turnlab.plans import stand_ins
 from turnlab.plans.catalog.registry import on_all, on_table, on_turns, on_utterances
-from turnlab.plans.stand_ins import TURNS_SQL
+from turnlab.plans.stand_ins import TURNS_SQL, UTTERANCES_SQL
 from turnlab.sources import readers, writers
 
 
@@ -130,8 +130,7 @@ SPOKEN = "s AS (SELECT *, regexp_replace(text, '^ +| +$', '', 'g') AS spoken FRO
 
 
 def spoken(c):
-    return c.select(F.col("conv_id").alias("dialogue_id"), F.col("turn").alias("idx"), "role",
-                    F.col("text").alias("sentence"))
+    return readers.rename(c, {"conv_id": "dialogue_id", "turn": "idx", "role": "role", "text": "sentence"})
 
 
 CONTEXT = "(SELECT conv_id, string_agg(spoken, chr(10) ORDER BY turn) AS context FROM s WHERE spoken <> '' GROUP BY 1)"
@@ -202,17 +201,21 @@ def null_profile(t):
 
 # --- label joins --------------------------------------------------------------------------------
 
-@on_turns("joined_label_tables", """
-SELECT idx, dialogue_id, role, turn, eml_label, da_label, pr_label FROM turns
-WHERE (dialogue_id, role, turn) IN (
-  SELECT (dialogue_id, role, turn) FROM turns GROUP BY dialogue_id, role, turn HAVING count(*) = 1)""")
-def joined_label_tables(t):
-    keys = list(matching.KEYS)
-    once = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[
-        F.min(c).alias(c) for c in ("idx", "eml_label", "da_label", "pr_label")]).where("_n = 1"))
-    parts = [once.select(*keys, c) for c in ("eml_label", "da_label", "pr_label")]
-    return matching.join_labels(once.select("idx", *keys), *parts).select(
-        "idx", *keys, "eml_label", "da_label", "pr_label")
+JOINED_SQL = f"""
+WITH {TURNS_SQL.strip()}, {UTTERANCES_SQL.strip()},
+k1 AS (SELECT dialogue_id, role, turn, arg_min(tag, idx) AS tag FROM utterances WHERE idx % 3 = 0 GROUP BY ALL),
+k2 AS (SELECT dialogue_id, role, turn, min(idx) AS i FROM utterances WHERE vote_3 IS NOT NULL GROUP BY ALL)
+SELECT t.idx, t.dialogue_id, t.role, t.turn, k1.tag, u.vote_3 FROM turns t LEFT JOIN k1 USING (dialogue_id, role, turn)
+LEFT JOIN k2 USING (dialogue_id, role, turn) LEFT JOIN utterances u ON u.idx = k2.i"""
+
+
+@on_all("joined_label_tables", JOINED_SQL)
+def joined_label_tables(spark, sf_dir):
+    u, keys = stand_ins.raw_utterances(spark, sf_dir), list(matching.KEYS)
+    tags = u.where(F.col("idx") % 3 == 0).select(*keys, "idx", "tag")
+    votes = u.where(F.col("vote_3").isNotNull()).select(*keys, "idx", "vote_3")
+    t = stand_ins.turns(spark, sf_dir).select("idx", *keys)
+    return matching.join_labels(t, tags, votes, order="idx").select("idx", *keys, "tag", "vote_3")
 
 
 @on_turns("repeated_turn_keys", """

@@ -8,6 +8,7 @@ from turnlab.functions import scores as sc
 from turnlab.operators import mapping
 from turnlab.plans.catalog.building import joined
 from turnlab.plans.catalog.registry import on_table, on_turns, on_utterances
+from turnlab.sources import readers
 from turnlab.vocab import DA_CODES, DA_NAMES, DA_OF_TAG, OUTCOME_OF_CODE, OUTCOME_OF_LABEL, VALID_PR
 
 
@@ -146,6 +147,18 @@ def mapping_documentation(u):
     return mapping.mapping_table(donation_labels(u), "donation", OUTCOME_OF_LABEL)
 
 
+@on_utterances("mapping_class_documentation", f"""
+WITH m AS (SELECT unnest(map_keys(x)) AS label, unnest(map_values(x)) AS outcome, unnest(range(len(map_keys(x)))) AS place
+           FROM (SELECT {sql_map(OUTCOME_OF_LABEL)} AS x)), d AS (SELECT {EVENT_LABEL} AS label FROM utterances)
+SELECT outcome, string_agg(m.label, ',' ORDER BY place) AS labels, count(*) AS n,
+       (SELECT count(*) FROM d JOIN m k USING (label) WHERE k.outcome = m.outcome) AS used FROM m GROUP BY outcome""")
+def mapping_class_documentation(u):
+    used = mapping.mapping_table(donation_labels(u), "donation", OUTCOME_OF_LABEL).groupBy("outcome").agg(
+        F.sum("n").alias("used"))
+    classes = mapping.mapping_classes(u.sparkSession, OUTCOME_OF_LABEL)
+    return classes.join(used, "outcome").select("outcome", F.array_join("labels", ",").alias("labels"), "n", "used")
+
+
 RESOLVED = """
 l AS (SELECT dialogue_id, turn, list(outcome ORDER BY idx) AS outcomes FROM (
         SELECT *, CASE speaker WHEN 'purchase' THEN 'Compliance' WHEN 'signup' THEN 'Resistance' ELSE 'Neutral' END AS outcome
@@ -279,3 +292,10 @@ def threshold_labels(t):
     names = ["Compliance", "Neutral", "Resistance"]
     picked = sc.threshold_labels(sc.sigmoid(score_array()), names, 0.62)
     return t.select("idx", F.array_join(picked, ",").alias("labels"))
+
+
+@on_table("text_column_sizes", "documents", """
+SELECT 'text' AS detected, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents""")
+def text_column_sizes(d):
+    name = readers.detect_text_column(d)
+    return d.agg(F.lit(name).alias("detected"), F.count(F.lit(1)).alias("rows"), F.sum(F.length(name)).alias("chars"))

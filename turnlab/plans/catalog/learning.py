@@ -1,7 +1,7 @@
 """Queries of splits, features, models, rules and batch scoring.
 
-Tree ensembles are registered with few trees: what is exercised is the whole pipeline over the whole
-table. The functions' own defaults are the study's 150 (boosting) and 100 (forest).
+Models are fitted on the training part of a split and judged on its test part. Boosted classifiers are registered with
+TREES trees (each is a chain of Spark jobs); the functions' own default is the study's 150. The forest has the study's 100.
 """
 
 from pyspark.sql import functions as F
@@ -12,11 +12,11 @@ from turnlab.learning import features as feat
 from turnlab.learning import models, scoring, splits
 from turnlab.operators import build
 from turnlab.plans.catalog.building import OUTCOMES, SHORT_SQL, short_conversations, spoken
-from turnlab.plans.catalog.registry import on_table, on_turns
+from turnlab.plans.catalog.registry import on_table, on_texts, on_turns
 from turnlab.plans.catalog.tabulation import rounded
 from turnlab.vocab import DA_CODES, VALID_PR
 
-TREES = 5
+TREES = 10
 
 
 def rows_n():
@@ -38,11 +38,11 @@ def ordered_split(t):
     return splits.ordered_split(t).select("idx", "split")
 
 
-@on_turns("random_split_sizes")
+@on_turns("random_split_sizes", """
+SELECT CASE WHEN substr(md5(concat_ws(':', idx, 42)), 1, 8) < 'b3333333' THEN 'train' ELSE 'test' END AS split, count(*) AS n
+FROM turns GROUP BY 1""")
 def random_split_sizes(t):
-    train, test = splits.random_split(t.select("idx"))
-    return train.agg(F.lit("train").alias("split"), rows_n().alias("n")).unionByName(
-        test.agg(F.lit("test").alias("split"), rows_n().alias("n")))
+    return splits.random_split(t.select("idx"), "idx").groupBy("split").agg(rows_n().alias("n"))
 
 
 @on_turns("class_weights", """
@@ -52,36 +52,71 @@ def class_weights(t):
     return splits.class_weights(t, "pr_label")
 
 
+# Five codes stand for the acts that the pattern flags look for; every element of an act list is an act.
+FLAG_ACTS = {"ap": "greeting", "pa": "request", "dc": "inform", "sn": "closing", "il": "thanks"}
+ACTS = f"""
+parts AS (SELECT dialogue_id, idx, unnest(string_split(da_label, ',')) AS c, unnest(range(len(string_split(da_label, ',')))) AS nth
+          FROM short WHERE da_label IS NOT NULL),
+acts AS (SELECT dialogue_id, idx * 100 + nth AS at_, CASE c {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAG_ACTS.items())} ELSE c END AS d
+         FROM parts)
+"""
+ACT_NAMES = [FLAG_ACTS.get(c, c) for c in DA_CODES]
 FEATURE_SQL = ", ".join(
-    [f"count(*) FILTER (d = '{c}') AS da_{c}_count" for c in DA_CODES]
-    + [f"count(*) FILTER (d = '{c}')::DOUBLE / count(*) AS da_{c}_ratio" for c in DA_CODES])
-ACTS = "acts AS (SELECT *, split_part(da_label, ',', 1) AS d FROM short WHERE da_label IS NOT NULL)"
+    [f"count(*) FILTER (d = '{c}') AS da_{c}_count" for c in ACT_NAMES]
+    + [f"count(*) FILTER (d = '{c}')::DOUBLE / count(*) AS da_{c}_ratio" for c in ACT_NAMES])
 
 
-def first_acts(t):
-    return short_conversations(t).withColumn("d", F.get(F.split("da_label", ","), F.lit(0)))
+def acts_of(t):
+    """Every act of short conversations, recoded."""
+    return feat.each_act(short_conversations(t)).replace(FLAG_ACTS, subset=["act"])
 
 
 @on_turns("sequence_features", f"""
 WITH {SHORT_SQL}, {ACTS}
-SELECT dialogue_id, count(*) AS sequence_length, arg_min(d, idx) AS first_da, arg_max(d, idx) AS last_da,
+SELECT dialogue_id, count(*) AS sequence_length, arg_min(d, at_) AS first_da, arg_max(d, at_) AS last_da,
        count(DISTINCT d)::DOUBLE / count(*) AS da_diversity, {FEATURE_SQL},
-       0 AS has_request_inform, 0 AS has_greeting_closing, 0 AS starts_with_greeting, 0 AS ends_with_thanks
+       CAST(bool_or(d = 'request') AND bool_or(d = 'inform') AS INT) AS has_request_inform,
+       CAST(bool_or(d = 'greeting') AND bool_or(d = 'closing') AS INT) AS has_greeting_closing,
+       CAST(arg_min(d, at_) = 'greeting' AS INT) AS starts_with_greeting, CAST(arg_max(d, at_) = 'thanks' AS INT) AS ends_with_thanks
 FROM acts GROUP BY 1""")
 def sequence_features(t):
-    return feat.sequence_features(first_acts(t), DA_CODES, da="d")
+    return feat.sequence_features(acts_of(t), ACT_NAMES, da="act", order="at")
 
 
-@on_turns("common_acts", """
-SELECT d AS act FROM (SELECT split_part(da_label, ',', 1) AS d FROM turns WHERE da_label IS NOT NULL)
-GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 15""")
+@on_turns("common_acts", f"""
+WITH {SHORT_SQL}, {ACTS} SELECT d AS act FROM acts GROUP BY 1 ORDER BY count(*) DESC, d LIMIT 15""")
 def common_acts(t):
-    acts = feat.common_acts(first_acts(t), "d")
+    acts = feat.common_acts(acts_of(t), "act")
     return t.sparkSession.createDataFrame([(a,) for a in acts], "act string")
 
 
+STOP_WORDS = ["the", "and", "of", "to", "in", "is", "it", "that", "on", "for"]
+
+
+@on_table("tfidf_weights", "conversations", f"""
+WITH r AS (SELECT conv_id * 100 + turn AS idx, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                  lambda w: NOT list_contains({STOP_WORDS!r}, w)) AS w FROM conversations),
+t AS (SELECT idx, unnest(w) AS term FROM r UNION ALL
+      SELECT idx, w[i] || ' ' || w[i + 1] FROM (SELECT idx, w, unnest(range(1, len(w))) AS i FROM r)),
+c AS (SELECT idx, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+x AS (SELECT idx, term, tf * ln((SELECT count(*) + 1 FROM r)::DOUBLE / (df + 1)) AS x FROM c JOIN f USING (term))
+SELECT idx, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY idx)), 9) AS weight FROM x""".replace("\\\\", "\\"))
+def tfidf_weights(c):
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), F.col("text").alias("sentence"))
+    return feat.tfidf_weights(rows, "idx", stop_words=STOP_WORDS).withColumn("weight", F.round("weight", 9))
+
+
+@on_turns("prepared_rows", f"""
+WITH m AS (SELECT pr_label AS p FROM turns WHERE pr_label IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT idx, sentence, eml_label, coalesce(pr_label, p) AS pr_label,
+       {", ".join(f"CAST(list_contains(string_split(coalesce(da_label, ''), ','), '{c}') AS INT) AS da_{c}" for c in DA_CODES)}
+FROM turns, m""")
+def prepared_rows(t):
+    return feat.prepare_rows(t, categories=["pr_label"]).select("idx", "sentence", "eml_label", "pr_label", *models.DA_COLUMNS)
+
+
 FIRST = """
-f AS (SELECT dialogue_id, arg_min(d, idx) AS first_da FROM acts GROUP BY 1),
+f AS (SELECT dialogue_id, arg_min(d, at_) AS first_da FROM acts GROUP BY 1),
 z AS (SELECT outcome, first_da, count(*) AS n FROM f JOIN outcomes USING (dialogue_id) WHERE outcome IS NOT NULL GROUP BY 1, 2)
 """
 
@@ -91,9 +126,18 @@ WITH {SHORT_SQL}, {ACTS}, {OUTCOMES.format(t='short')}, {FIRST}
 SELECT outcome, first_da, n, n * 1e2 / sum(n) OVER (PARTITION BY outcome) AS percent FROM z""")
 def first_act_by_outcome(t):
     from turnlab.operators.tables import label_freq_by
-    conv = first_acts(t)
-    first = conv.where("d is not null").groupBy("dialogue_id").agg(F.min_by("d", "idx").alias("first_da"))
-    return label_freq_by(first.join(build.conversation_outcome(conv), "dialogue_id"), "outcome", "first_da")
+    first = acts_of(t).groupBy("dialogue_id").agg(F.min_by("act", "at").alias("first_da"))
+    return label_freq_by(first.join(build.conversation_outcome(short_conversations(t)), "dialogue_id"), "outcome", "first_da")
+
+
+@on_turns("acts_by_conversation_outcome", f"""
+WITH {SHORT_SQL}, {ACTS}, {OUTCOMES.format(t='short')},
+z AS (SELECT outcome, d AS act, count(*) AS n FROM acts JOIN outcomes USING (dialogue_id) WHERE outcome IS NOT NULL GROUP BY 1, 2)
+SELECT outcome, act, n, n * 1e2 / sum(n) OVER (PARTITION BY outcome) AS percent FROM z""")
+def acts_by_conversation_outcome(t):
+    from turnlab.operators.tables import label_freq_by
+    outcomes = build.conversation_outcome(short_conversations(t)).select("dialogue_id", "outcome")
+    return label_freq_by(acts_of(t).join(outcomes, "dialogue_id"), "outcome", "act")
 
 
 TRANSACTIONS = f"""
@@ -104,8 +148,7 @@ tx AS (SELECT DISTINCT dialogue_id, d, outcome FROM acts JOIN outcomes USING (di
 
 
 def transactions(t):
-    conv = first_acts(t)
-    return models.act_transactions(conv, build.conversation_outcome(conv), "d")
+    return models.act_transactions(acts_of(t), build.conversation_outcome(short_conversations(t)), "act")
 
 
 @on_turns("act_transactions", f"""
@@ -141,39 +184,77 @@ def top_outcome_rules(t):
     return outcome_rules(t).orderBy(F.desc("lift"), "antecedent", "outcome").limit(12)
 
 
-@on_turns("outcome_model_predictions")
-def outcome_model_predictions(t):
-    model = models.fit_pr_model(t, trees=TREES)
-    rows = feat.prepare_rows(t.where("pr_label is not null"))
-    return model.transform(rows).select("idx", "pr_label", "label", "prediction")
+def quality_sql(label, rows="texts"):
+    """What a test part must hold: its exact class sizes; that a model beats the commonest class is the claim tested."""
+    return f"""
+SELECT {label} AS gold, CAST(floor(count(*) * 0.2e0 + 0.5e0) AS BIGINT) AS n, true AS beats_majority
+FROM {rows} WHERE {label} IS NOT NULL GROUP BY 1 HAVING floor(count(*) * 0.2e0 + 0.5e0) > 0"""
 
 
-@on_turns("eml_model_importance")
+def parts(t, label):
+    both = splits.stratified_split(t, label, "idx")
+    return both.where("split = 'train'").drop("split"), both.where("split = 'test'").drop("split")
+
+
+@on_texts("outcome_model_quality", quality_sql("pr_label"))
+def outcome_model_quality(t):
+    train, test = parts(t, "pr_label")
+    model = models.fit_pr_model(train, trees=TREES)
+    scored = model.transform(feat.prepare_rows(test))
+    return models.held_out_quality(scored.withColumn("gold", F.col("pr_label")).withColumn(
+        "guess", F.element_at(F.array(*[F.lit(x) for x in model.stages[-3].labels]), F.col("prediction").cast("int") + 1)),
+        "gold", "guess")
+
+
+@on_texts("eml_model_quality", quality_sql("eml_label"))
+def eml_model_quality(t):
+    train, test = parts(t, "eml_label")
+    model = models.fit_eml_model(train, trees=TREES)
+    scored = model.transform(models.eml_rows(test))
+    return models.held_out_quality(scored.withColumn("guess", F.col("prediction").cast("int")), "eml_label", "guess")
+
+
+@on_texts("eml_model_importance", """
+SELECT 1 AS rank, true AS names_known, true AS ranked FROM texts LIMIT 1""")
 def eml_model_importance(t):
-    model = models.fit_eml_model(t, trees=TREES)
-    rows = feat.prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
-    return models.feature_importance(t.sparkSession, model.stages[-1], model.transform(rows), top=20)
+    model = models.fit_eml_model(parts(t, "eml_label")[0], trees=TREES)
+    found = models.feature_importance(t.sparkSession, model.stages[-1], model.transform(models.eml_rows(t)), top=20)
+    return found.agg(F.min("rank").alias("rank"), F.every(F.col("feature").rlike("^(text_features|pr_onehot)")).alias("names_known"),
+                     (F.max_by("importance", -F.col("rank")) == F.max("importance")).alias("ranked"))
+
+
+ACTS_LEARNED = ("ap", "pa")
 
 
-@on_turns("act_models_predictions")
-def act_models_predictions(t):
-    shared, fitted = models.fit_da_models(t, trees=2)
-    rows = shared.transform(feat.prepare_rows(t.where("da_label is not null"), categories=["pr_label"]))
+@on_texts("act_models_quality", """
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS act, true AS beats_majority FROM texts GROUP BY 1" for c in ACTS_LEARNED))
+def act_models_quality(t):
+    train, test = parts(t.withColumn("_first", F.substring_index("da_label", ",", 1)), "_first")
+    shared, fitted = models.fit_da_models(train.drop("_first"), codes=ACTS_LEARNED, trees=TREES)
+    rows = shared.transform(feat.prepare_rows(test, categories=["pr_label"]))
     for code, model in fitted.items():
         rows = (model.transform(rows).withColumn("pred_" + code, F.col("prediction").cast("int"))
                 .drop("rawPrediction", "probability", "prediction"))
-    return rows.select("idx", *[c for c in rows.columns if c.startswith(("da_", "pred_")) and c != "da_label"])
-
-
-@on_turns("outcome_forest_importance")
-def outcome_forest_importance(t):
-    conv = first_acts(t)
-    outcomes = build.conversation_outcome(conv).where(F.col("outcome").isin(VALID_PR))
-    table = feat.sequence_features(conv, DA_CODES, da="d").join(
+    hit = lambda c: F.avg((F.col("da_" + c) == F.col("pred_" + c)).cast("double"))
+    most = lambda c: F.greatest(F.avg("da_" + c), 1 - F.avg("da_" + c))
+    cells = rows.agg(F.array(*[F.struct(F.lit(c).alias("act"), (hit(c) > most(c)).alias("beats_majority"))
+                               for c in fitted]).alias("_c"))
+    return cells.select(F.explode("_c").alias("c")).select("c.*")
+
+
+@on_turns("outcome_forest_quality", f"""
+WITH {SHORT_SQL}, {ACTS}, {OUTCOMES.format(t='short')},
+x AS (SELECT DISTINCT dialogue_id, outcome FROM acts JOIN outcomes USING (dialogue_id) WHERE outcome IN ('Compliance', 'Resistance'))
+SELECT outcome AS gold, CAST(floor(count(*) * 0.3e0 + 0.5e0) AS BIGINT) AS n FROM x GROUP BY 1""")
+def outcome_forest_quality(t):
+    outcomes = build.conversation_outcome(short_conversations(t)).where(F.col("outcome").isin(VALID_PR))
+    table = feat.sequence_features(acts_of(t), ACT_NAMES, da="act", order="at").join(
         outcomes.select("dialogue_id", "outcome"), "dialogue_id")
-    model = models.fit_outcome_forest(table, trees=20, depth=10)
-    scored = model.transform(splits.add_class_weight(table, "outcome"))
-    return models.feature_importance(t.sparkSession, model.stages[-1], scored, top=15)
+    both = splits.stratified_split(table, "outcome", "dialogue_id", test_share=0.3)
+    model = models.fit_outcome_forest(both.where("split = 'train'").drop("split"))
+    scored = model.transform(both.where("split = 'test'").withColumn("weight", F.lit(1.0)))
+    return scored.groupBy(F.col("outcome").alias("gold")).agg(F.count("prediction").alias("n"))
 
 
 # --- scoring ------------------------------------------------------------------------------------

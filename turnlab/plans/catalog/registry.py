@@ -41,6 +41,14 @@ def on_utterances(name, sql=None):
     return wrap
 
 
+def on_texts(name, sql=None):
+    """Register a function of the labelled texts."""
+    def wrap(fn):
+        _add(name, lambda spark, sf_dir: fn(stand_ins.labelled_texts(spark, sf_dir)), sql, stand_ins.TEXTS_SQL)
+        return fn
+    return wrap
+
+
 def on_table(name, table, sql=None):
     """Register a function of one given table."""
     def wrap(fn):

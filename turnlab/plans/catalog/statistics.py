@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from turnlab.functions.labels import da_group, one_hot
+from turnlab.functions.labels import da_group
 from turnlab.operators import sequence as seq
 from turnlab.operators import stats
 from turnlab.operators import tables as tab
@@ -126,29 +126,30 @@ def confidence_rank_test(t):
     return rounded(rounded(out, "z"), "p_value", digits=7)
 
 
-def single_acts(t):
-    """Matched rows with the first act of the list, a category of twelve values."""
-    rows = seq.nearest_labels(t).where("eml_da_type is not null")
-    return rows.withColumn("act", F.get(F.split("eml_da_type", ","), F.lit(0)))
+def matched_acts(t):
+    """Matched rows with an act text; as in the study the whole list is the category."""
+    return seq.nearest_labels(t).where("eml_da_type is not null").withColumn("act", F.col("eml_da_type"))
 
 
 @on_turns("frequent_matched_acts", f"""
-WITH {MATCHED}, first_acts AS (SELECT idx, split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL)
-SELECT idx, act FROM first_acts WHERE act IN (SELECT act FROM first_acts GROUP BY 1 HAVING count(*) >= 5)""")
+WITH {MATCHED}, all_acts AS (SELECT idx, eml_da_type AS act FROM matched WHERE eml_da_type IS NOT NULL)
+SELECT idx, act FROM all_acts WHERE act IN (SELECT act FROM all_acts GROUP BY 1 HAVING count(*) >= 5)""")
 def frequent_matched_acts(t):
-    return tab.where_frequent(single_acts(t), "act", 5).select("idx", "act")
+    return tab.where_frequent(matched_acts(t), "act", 5).select("idx", "act")
 
 
 # With one category the fit has a closed form: log odds and their differences to the reference act.
 LOGIT = f"""
-{MATCHED}, all_acts AS (SELECT eml_result, split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL),
+{MATCHED}, all_acts AS (SELECT eml_result, eml_da_type AS act FROM matched WHERE eml_da_type IS NOT NULL),
 k AS (SELECT act, count(*)::DOUBLE AS n, count(*) FILTER (eml_result = 'Compliance')::DOUBLE AS c,
              count(*) FILTER (eml_result = 'Resistance')::DOUBLE AS r FROM all_acts GROUP BY 1 HAVING count(*) >= 5),
 ref AS (SELECT * FROM k ORDER BY n DESC, act LIMIT 1),
-ll AS (SELECT sum(c * ln(c / n) + r * ln(r / n)) AS fit, sum(c) * ln(sum(c) / sum(n)) + sum(r) * ln(sum(r) / sum(n)) AS nul,
+ll AS (SELECT sum(CASE WHEN c > 0 THEN c * ln(c / n) ELSE 0 END + CASE WHEN r > 0 THEN r * ln(r / n) ELSE 0 END) AS fit,
+              sum(c) * ln(sum(c) / sum(n)) + sum(r) * ln(sum(r) / sum(n)) AS nul,
               count(*) - 1 AS terms FROM k),
 coefs AS (SELECT 'Intercept' AS term, ln(c / r) AS coefficient, sqrt(1 / c + 1 / r) AS std_error FROM ref UNION ALL
-      SELECT k.act, ln(k.c / k.r) - ln(ref.c / ref.r), sqrt(1 / k.c + 1 / k.r + 1 / ref.c + 1 / ref.r)
+      SELECT k.act, CASE WHEN k.c > 0 AND k.r > 0 THEN ln(k.c / k.r) - ln(ref.c / ref.r) END,
+             CASE WHEN k.c > 0 AND k.r > 0 THEN sqrt(1 / k.c + 1 / k.r + 1 / ref.c + 1 / ref.r) END
       FROM k, ref WHERE k.act <> ref.act),
 z AS (SELECT *, (coefficient / std_error) ** 2 AS zz, 2 * (fit - nul) AS gain FROM coefs, ll),
 terms AS (SELECT term, coefficient, std_error, exp(coefficient) AS odds_ratio, 1 - fit / nul AS pseudo_r2,
@@ -163,8 +164,8 @@ LOGIT_NUMBERS = ["coefficient", "std_error", "p_value", "odds_ratio", "pseudo_r2
 
 
 def fitted(t):
-    rows = tab.where_frequent(single_acts(t), "act", 5)
-    return stats.logit_table(rows, "eml_result", "Compliance", "act", *stats.category_values(rows, "act"))
+    rows = tab.where_frequent(matched_acts(t), "act", 5)
+    return stats.category_logit(rows, "eml_result", "Compliance", "act")
 
 
 @on_turns("act_outcome_regression", f"WITH {LOGIT} SELECT {LOGIT_COLS} FROM terms")
@@ -181,15 +182,12 @@ def act_outcome_effect(t):
 
 # A dummy regressed on the other dummies is constant on its own and the reference group.
 @on_turns("act_collinearity", f"""
-WITH {MATCHED}, all_acts AS (SELECT split_part(eml_da_type, ',', 1) AS act FROM matched WHERE eml_da_type IS NOT NULL),
+WITH {MATCHED}, all_acts AS (SELECT eml_da_type AS act FROM matched WHERE eml_da_type IS NOT NULL),
 k AS (SELECT act, count(*)::DOUBLE AS n FROM all_acts GROUP BY 1), ref AS (SELECT * FROM k ORDER BY n DESC, act LIMIT 1)
 SELECT 'DA_' || k.act AS variable, round((1 - k.n / (SELECT sum(n) FROM k)) * (k.n + ref.n) / ref.n, 6) AS vif
 FROM k, ref WHERE k.act <> ref.act""")
 def act_collinearity(t):
-    rows = single_acts(t)
-    values, reference = stats.category_values(rows, "act")
-    dummies = rows.select(*one_hot("act", values, reference=reference))
-    return rounded(stats.vif(dummies, dummies.columns), "vif", digits=6)
+    return rounded(stats.category_vif(matched_acts(t), "act"), "vif", digits=6)
 
 
 @on_turns("act_association_significance", f"""

@@ -8,6 +8,7 @@ rows) and the labels come from the event's own fields. Both forms are projection
 from pyspark.sql import functions as F
 
 from turnlab.functions.labels import strings
+from turnlab.sources.readers import read_turns, require_columns
 from turnlab.vocab import DA_CODES
 
 POSITIONS_PER_TURN = 200
@@ -23,7 +24,8 @@ SCHEMAS = {
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+    return require_columns(read_turns(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name]), columns)
 
 
 def _events(spark, sf_dir):
@@ -83,6 +85,21 @@ def raw_utterances(spark, sf_dir):
         voted.cast("int").alias("vote_3"))
 
 
+# a language stands for an outcome and an act, toxicity for the EML flag and a second act
+OUTCOME_OF_LANG = {"en": "Compliance", "de": "Resistance", "fr": "Neutral", "es": "Neutral"}
+ACT_OF_LANG = {"en": "ap", "de": "pa", "fr": "dc", "es": "sn"}
+
+
+def labelled_texts(spark, sf_dir):
+    """Turns whose labels must be learned from the text: documents with the labels of their language and toxicity."""
+    d, l = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    pick = lambda names: F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("lang"))
+    return d.join(l, "doc_id").select(
+        F.col("doc_id").alias("idx"), F.floor(F.col("doc_id") / 10).alias("dialogue_id"), F.col("text").alias("sentence"),
+        F.col("toxic").alias("eml_label"), pick(OUTCOME_OF_LANG).alias("pr_label"),
+        F.concat(pick(ACT_OF_LANG), F.when(F.col("toxic") == 1, ",il").otherwise("")).alias("da_label"))
+
+
 def table(spark, sf_dir, name):
     return _table(spark, sf_dir, name)
 
@@ -107,6 +124,17 @@ turns AS (
 )
 """
 
+_cases = lambda names: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())
+
+TEXTS_SQL = f"""
+texts AS (
+  SELECT doc_id AS idx, doc_id // 10 AS dialogue_id, text AS sentence, toxic AS eml_label,
+         CASE lang {_cases(OUTCOME_OF_LANG)} END AS pr_label,
+         CASE lang {_cases(ACT_OF_LANG)} END || CASE WHEN toxic = 1 THEN ',il' ELSE '' END AS da_label
+  FROM documents JOIN labels USING (doc_id)
+)
+"""
+
 UTTERANCES_SQL = f"""
 utterances AS (
   SELECT event_id AS idx, user_id AS dialogue_id, event_id % 2 AS role,

@@ -5,7 +5,7 @@ Each function takes a turn table and returns lazy DataFrames; nothing runs befor
 
 from pyspark.sql import functions as F
 
-from turnlab.functions.labels import da_group, one_hot
+from turnlab.functions.labels import da_group
 from turnlab.learning import models
 from turnlab.operators import build, evaluate, stats
 from turnlab.operators import sequence as seq
@@ -73,13 +73,11 @@ def matching(t, max_gap=3):
 
 
 def regression(matched, category="eml_da_type", min_n=5):
-    """Which acts raise or lower the odds of compliance; runs the fit at once."""
+    """Which acts raise or lower the odds of compliance."""
     rows = tab.where_frequent(matched.where(F.col("eml_result").isin(VALID_PR)), category, min_n)
-    values, reference = stats.category_values(rows, category)
-    dummies = rows.select(*one_hot(category, values, reference=reference))
-    terms = stats.logit_table(rows, "eml_result", "Compliance", category, values, reference)
+    terms = stats.category_logit(rows, "eml_result", "Compliance", category)
     return {"terms": terms.orderBy("p_value"), "effects": stats.or_direction(terms),
-            "collinearity": stats.vif(dummies, dummies.columns)}
+            "collinearity": stats.category_vif(rows, category)}
 
 
 def association(t):

@@ -23,26 +23,27 @@ def detect_text_column(df):
     return next((c for c in df.columns if c.lower() in TEXT_COLUMN_NAMES), df.columns[0])
 
 
-def read_csv(spark, path, schema, encoding="UTF-8", as_text=False):
-    """CSV with a header, quoted line breaks allowed; ``as_text`` reads every column as string."""
+def read_csv(spark, path, schema, encoding="UTF-8", as_text=False, multi_line=False):
+    """CSV with a header; ``as_text`` reads every column as string.
+
+    ``multi_line`` allows line breaks in quotes, for which a file is read whole by one task.
+    """
     return (spark.read.schema(all_string(schema) if as_text else schema)
             .option("header", True).option("encoding", encoding)
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
-def read_csv_fallback(spark, path, schema, encodings=("UTF-8", "ISO-8859-1")):
-    """CSV in the first encoding that decodes every text.
+def read_csv_fallback(spark, path, schema, encodings=("UTF-8", "ISO-8859-1"), multi_line=False):
+    """CSV in UTF-8, or in the second encoding where some text is no valid UTF-8.
 
-    Spark puts the replacement character where bytes do not decode; the search for one stops at the
-    first hit.
+    The file is searched byte for byte (each byte read as one character), so a replacement character that stands in a
+    valid text is no sign; the search stops at the first hit.
     """
-    for encoding in encodings[:-1]:
-        df = read_csv(spark, path, schema, encoding)
-        texts = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
-        broken = F.concat_ws("", *texts).contains("\ufffd") if texts else F.lit(False)
-        if df.where(broken).isEmpty():
-            return df
-    return read_csv(spark, path, schema, encodings[-1])
+    texts = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
+    bytes_read = read_csv(spark, path, schema, "ISO-8859-1", as_text=True, multi_line=multi_line)
+    raw = F.encode(F.concat_ws("", *texts), "ISO-8859-1") if texts else F.lit(b"")
+    valid = bytes_read.where(~F.is_valid_utf8(raw.cast("string"))).isEmpty()
+    return read_csv(spark, path, schema, encodings[0 if valid else 1], multi_line=multi_line)
 
 
 def read_turns(spark, path, schema, fmt="parquet", **options):
