@@ -10,7 +10,6 @@ several tables counts in the first of them only.
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -65,56 +64,82 @@ def _sign(bits, tables):
     return run
 
 
-def _compare(cosine):
-    """Over rows sorted by group: the links of each class in the group, and links (a, b) that join them."""
-    def flush(part):
-        x = np.stack(part["x"].to_numpy()).astype(np.float64)
-        signs = np.stack(part["signs"].to_numpy())
-        cid, side = part["cid"].to_numpy(), part["side"].to_numpy()
-        copies, table = part["copies"].to_numpy(), int(part["tbl"].iloc[0])
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        one = side == 0
-        other = one if part["i"].iloc[0] == part["j"].iloc[0] else ~one
-        near = x[one] @ x[other].T >= cosine
-        if other is one:
-            np.fill_diagonal(near, False)
-        for t in range(table):  # met before
-            near &= signs[one, t][:, None] != signs[other, t][None, :]
-        counts = np.zeros(len(part), np.int64)
-        counts[one] += near @ copies[other]
-        if other is not one:
-            counts[other] += near.T @ copies[one]
-        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        at = np.flatnonzero(counts)
-        out = [(int(cid[i]), int(counts[i]), int(cid[i])) for i in at]
-        if len(rows):
-            a, b, near = cid[one][rows], cid[other][columns], near[np.ix_(rows, columns)]
-            top = a.copy()
-            while True:  # the least class that each reaches within the group
-                below = np.minimum(b, np.where(near, top[:, None], np.iinfo(np.int64).max).min(axis=0))
-                new = np.minimum(top, np.where(near, below[None, :], np.iinfo(np.int64).max).min(axis=1))
-                if (new == top).all():
-                    break
-                top = new
-            out += [(int(p), 0, int(q)) for p, q in {*zip(a.tolist(), top.tolist()), *zip(b.tolist(), below.tolist())}
-                    if p != q]
+_KEYS, _WHOLE = ("bucket", "i", "j"), ("cid", "side", "copies", "tbl")
+
+
+def _arrays(batch):
+    """A batch as arrays by name; ``x`` as vectors of length one (all of a group have one dimension)."""
+    at = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+    out = {c: at[c].to_numpy(zero_copy_only=False) for c in (*_KEYS, *_WHOLE)}
+    out["signs"] = np.stack(at["signs"].to_numpy(zero_copy_only=False)) if len(batch) else np.empty((0, 0), np.int64)
+    x = np.empty(len(batch), object)
+    for rows, matrix in _stacked(at["x"]):
+        matrix /= np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+        for row, vector in zip(rows.tolist(), matrix):
+            x[row] = vector
+    return out | {"x": x}
+
+
+def _group_links(part, a, b, cosine):
+    """Rows (class, links, to) of one group, the rows a to b of ``part``: how many vectors each class links to
+    (``to`` itself), and links that join what the group links."""
+    x, signs = np.stack(part["x"][a:b]), part["signs"][a:b]
+    cid, copies, table = part["cid"][a:b], part["copies"][a:b], int(part["tbl"][a])
+    one = part["side"][a:b] == 0
+    within = part["i"][a] == part["j"][a]
+    other = one if within else ~one
+    near = x[one] @ x[other].T >= cosine
+    if within:
+        np.fill_diagonal(near, False)
+    if not near.any():
+        return []
+    for t in range(table):  # met before
+        near &= signs[one, t][:, None] != signs[other, t][None, :]
+    counts = np.zeros(b - a, np.int64)
+    counts[one] += near @ copies[other]
+    if not within:
+        counts[other] += near.T @ copies[one]
+    out = [(int(cid[i]), int(counts[i]), int(cid[i])) for i in np.flatnonzero(counts)]
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
         return out
+    p, q, near = cid[one][rows], cid[other][columns], near[np.ix_(rows, columns)]
+    top, most = p.copy(), np.iinfo(np.int64).max
+    while True:  # the least class that each reaches within the group
+        below = np.minimum(q, np.where(near, top[:, None], most).min(axis=0))
+        new = np.minimum(top, np.where(near, below[None, :], most).min(axis=1))
+        if (new == top).all():
+            break
+        top = new
+    pairs = {*zip(p.tolist(), top.tolist()), *zip(q.tolist(), below.tolist())}
+    return out + [(m, 0, n) for m, n in pairs if m != n]
+
+
+def _compare(cosine):
+    """Over rows sorted by group; a group that goes on in the next batch is held."""
+    def as_batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))],
+                                          names=["cid", "links", "to"])
 
     def run(batches):
         held = None
-        for part in batches:
-            part = part if held is None else pd.concat([held, part], ignore_index=True)
-            keys = part[["bucket", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            starts = [0, *cuts.tolist()]
+        for batch in batches:
+            part = _arrays(batch)
+            if held is not None:
+                part = {c: np.concatenate([held[c], part[c]]) for c in part} if len(batch) else held
+            n = len(part["cid"])
+            changes = np.zeros(max(0, n - 1), bool)
+            for key in _KEYS:
+                changes |= part[key][1:] != part[key][:-1]
+            starts = [0, *(np.flatnonzero(changes) + 1).tolist()]
             out = []
-            for a, b in zip(starts, cuts.tolist()):
+            for a, b in zip(starts, starts[1:]):
                 if b - a > 1:
-                    out += flush(part.iloc[a:b])
-            held = part.iloc[starts[-1]:]
-            yield pd.DataFrame(out, columns=["cid", "links", "to"])
-        if held is not None and len(held) > 1:
-            yield pd.DataFrame(flush(held), columns=["cid", "links", "to"])
+                    out += _group_links(part, a, b, cosine)
+            held = {c: v[starts[-1]:] for c, v in part.items()}
+            yield as_batch(out)
+        if held is not None and len(held["cid"]) > 1:
+            yield as_batch(_group_links(held, 0, len(held["cid"]), cosine))
     return run
 
 
@@ -151,7 +176,7 @@ def near_duplicates(rows, vec_id="vec_id", embedding="embedding", label="label",
         (F.col("own") > F.col("other")).cast("int").alias("side"))
     full = paired.join(signed.select("cid", "copies", "x", "signs"), "cid")
     dealt = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "cid")
-    compared = cut(dealt.select("bucket", "i", "j", "cid", "tbl", "side", "copies", "x", "signs").mapInPandas(
+    compared = cut(dealt.select("bucket", "i", "j", "cid", "tbl", "side", "copies", "x", "signs").mapInArrow(
         _compare(cosine), "cid long, links long, to long"), "compared")
     labels = cut(connected_components(compared.where("cid != to").select(F.col("cid").alias("a"),
                                                                         F.col("to").alias("b"))), "labels")
