@@ -6,13 +6,10 @@ from pyspark.ml.feature import (
 )
 from pyspark.sql import functions as F
 
+from turnlab.functions.counts import rows_n
 from turnlab.functions.labels import da_binary, split_labels
 
 
-def rows_n():
-    return F.count(F.lit(1))
-
-
 TOP_ACTS = 15
 
 

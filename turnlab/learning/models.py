@@ -6,6 +6,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
+from turnlab.functions.counts import rows_n
 from turnlab.learning.features import assembler, label_index_stage, prepare_rows, tfidf_stages
 from turnlab.learning.splits import add_class_weight, bounded
 from turnlab.vocab import DA_CODES, VALID_PR
@@ -13,10 +14,6 @@ from turnlab.vocab import DA_CODES, VALID_PR
 DA_COLUMNS = ["da_" + c for c in DA_CODES]
 
 
-def rows_n():
-    return F.count(F.lit(1))
-
-
 def _boosted(label, trees, depth, rate, seed=42):
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth,
                          stepSize=rate, seed=seed)
@@ -34,12 +31,13 @@ def _text_model(rows, stages, estimator):
     return PipelineModel(shared.stages + [fitted])
 
 
-def fit_pr_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx"):
-    """Outcome from text, EML and acts: one boosted classifier per outcome class."""
+def fit_pr_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
+                 inputs=("text_features", "eml_label", *DA_COLUMNS)):
+    """Outcome from text, EML and acts (or fewer ``inputs``): one boosted classifier per outcome class."""
     rows = prepare_rows(bounded(t.where("pr_label is not null"), key, most))
     stages = tfidf_stages(vocabulary=vocabulary) + [
         label_index_stage("pr_label", "label"),
-        assembler(["text_features", "eml_label"]),
+        assembler(inputs),
     ]
     return _text_model(rows, stages, OneVsRest(
         classifier=_boosted("label", trees, depth, rate), labelCol="label", featuresCol="features", parallelism=3))
@@ -50,10 +48,11 @@ def _outcome_onehot():
             OneHotEncoder(inputCol="_pr", outputCol="pr_onehot", dropLast=False)]
 
 
-def fit_eml_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx"):
-    """EML from text, outcome and acts; the table must be prepared with ``eml_rows``."""
+def fit_eml_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
+                  inputs=("text_features", "pr_onehot", *DA_COLUMNS)):
+    """EML from text, outcome and acts; the table to be scored must be prepared with ``eml_rows``."""
     rows = bounded(eml_rows(t), key, most)
-    stages = tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [assembler(["text_features", "pr_onehot"])]
+    stages = tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [assembler(inputs)]
     return _text_model(rows, stages, _boosted("label", trees, depth, rate))
 
 
@@ -61,12 +60,13 @@ def eml_rows(t):
     return prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
 
 
-def fit_da_models(t, codes=tuple(DA_CODES), trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx"):
+def fit_da_models(t, codes=tuple(DA_CODES), trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
+                  inputs=("text_features", "eml_label", "pr_onehot")):
     """One boosted classifier per act over a shared feature table; a dict of models by act. An act that occurs never or
     always in the rows of the fit is left out."""
     rows = prepare_rows(bounded(t.where("da_label is not null"), key, most), categories=["pr_label"])
     shared = Pipeline(stages=tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [
-        assembler(["text_features", "eml_label", "pr_onehot"])]).fit(rows)
+        assembler(inputs)]).fit(rows)
     table = shared.transform(rows).select("features", *DA_COLUMNS).persist()
     seen = table.agg(*[F.avg(c).alias(c) for c in DA_COLUMNS]).first()
     models = {}

@@ -6,15 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlab.functions.clean import round_exact
+from turnlab.functions.counts import rows_n
 from turnlab.functions.labels import parse_list
 from turnlab.operators.blocks import BLOCK, CUT, ROWS_PER_BLOCK, with_block
 from turnlab.operators.ordering import row_index
 
 
-def rows_n():
-    return F.count(F.lit(1))
-
-
 def _in_order(order, *cols):
     """The rows of a group as an array of structs in file order; groups here are single turns."""
     return F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), *cols)))

@@ -5,12 +5,10 @@ Everything is derived from counts per (gold, predicted) pair or from one row of
 
 from pyspark.sql import functions as F
 
+from turnlab.functions.counts import rows_n
 from turnlab.functions.labels import strings
 from turnlab.operators.tables import literal_table
 
-def rows_n():
-    return F.count(F.lit(1))
-
 
 def _ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))

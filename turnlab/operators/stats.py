@@ -9,12 +9,10 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnlab.functions.counts import rows_n
 from turnlab.operators.ordering import cumulate
 from turnlab.functions.labels import one_hot
 
-def rows_n():
-    return F.count(F.lit(1))
-
 
 def erfc(z):
     """Complementary error function of a non-negative Column, for the few rows of a finished test.

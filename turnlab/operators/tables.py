@@ -11,13 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlab.functions.clean import bare_words, is_content_word, label_eq
+from turnlab.functions.counts import rows_n
 from turnlab.functions.labels import split_labels
 from turnlab.operators.ordering import exact_quantiles
 from turnlab.vocab import TRANSITIONS, VALID_PR, WITH_EVENT, WITHOUT_EVENT
 
-def rows_n():
-    return F.count(F.lit(1))
-
 
 def _over(keys):
     return W.partitionBy(*(list(keys) or [F.lit(0)]))

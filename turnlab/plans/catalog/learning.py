@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlab.functions import labels as lab
 from turnlab.functions import scores as sc
+from turnlab.functions.counts import rows_n
 from turnlab.learning import features as feat
 from turnlab.learning import models, scoring, splits
 from turnlab.operators import build
@@ -17,10 +18,7 @@ from turnlab.plans.catalog.tabulation import rounded
 from turnlab.vocab import DA_CODES, VALID_PR
 
 TREES = 10
-
-
-def rows_n():
-    return F.count(F.lit(1))
+TEXT_ONLY = ("text_features",)  # the stand-in's other labels come from the same source as the one to be learned
 
 
 @on_turns("stratified_split_sizes", """
@@ -199,7 +197,7 @@ def parts(t, label):
 @on_texts("outcome_model_quality", quality_sql("pr_label"))
 def outcome_model_quality(t):
     train, test = parts(t, "pr_label")
-    model = models.fit_pr_model(train, trees=TREES)
+    model = models.fit_pr_model(train, trees=TREES, inputs=TEXT_ONLY)
     scored = model.transform(feat.prepare_rows(test))
     return models.held_out_quality(scored.withColumn("gold", F.col("pr_label")).withColumn(
         "guess", F.element_at(F.array(*[F.lit(x) for x in model.stages[-3].labels]), F.col("prediction").cast("int") + 1)),
@@ -209,7 +207,7 @@ def outcome_model_quality(t):
 @on_texts("eml_model_quality", quality_sql("eml_label"))
 def eml_model_quality(t):
     train, test = parts(t, "eml_label")
-    model = models.fit_eml_model(train, trees=TREES)
+    model = models.fit_eml_model(train, trees=TREES, inputs=TEXT_ONLY)
     scored = model.transform(models.eml_rows(test))
     return models.held_out_quality(scored.withColumn("guess", F.col("prediction").cast("int")), "eml_label", "guess")
 
@@ -231,7 +229,7 @@ ACTS_LEARNED = ("ap", "pa")
     f"SELECT '{c}' AS act, true AS beats_majority FROM texts GROUP BY 1" for c in ACTS_LEARNED))
 def act_models_quality(t):
     train, test = parts(t.withColumn("_first", F.substring_index("da_label", ",", 1)), "_first")
-    shared, fitted = models.fit_da_models(train.drop("_first"), codes=ACTS_LEARNED, trees=TREES)
+    shared, fitted = models.fit_da_models(train.drop("_first"), codes=ACTS_LEARNED, trees=TREES, inputs=TEXT_ONLY)
     rows = shared.transform(feat.prepare_rows(test, categories=["pr_label"]))
     for code, model in fitted.items():
         rows = (model.transform(rows).withColumn("pred_" + code, F.col("prediction").cast("int"))
