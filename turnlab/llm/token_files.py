@@ -25,7 +25,7 @@ MAGIC = b"TLTOK1\0\0"
 END = 2
 FILE_BYTES = 32 << 20    # of packed tokens wanted in a file
 BLOCK_TOKENS = 1 << 20   # after which a block ends; a longer document is a block of its own
-_KEPT, _LONGEST = 500_000, 64  # pieces in a table, and characters of a piece that is kept
+_KEPT, _LONGEST = 800_000, 64  # pieces in a table, and characters of a piece that is kept
 _TOGETHER = 2_000        # new words encoded in one call
 _GROUP = 2 << 20         # characters looked up at once
 _BEHIND = ".,;:!?|"
@@ -107,8 +107,9 @@ class Encoder:
                 known[piece] = found
                 continue
             core = piece.rstrip(_BEHIND)
-            if len(piece) <= _LONGEST and core.isalpha() and core.isascii():  # lower case is the same before and after cutting
-                word = core.lower()
+            low = core.lower()
+            if len(piece) <= _LONGEST and core.isalpha() and low.isalpha():  # letters alone are one run for any tokenizer
+                word = low if core.isascii() else core
                 parts[piece] = (word, piece[len(core):])
                 if word not in known:
                     words.add(word)
@@ -190,17 +191,9 @@ def write(docs, to, path, doc_id="doc_id", text="text", end=END):
     size = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0
     files = max(1, -(-size * 2 // (3 * FILE_BYTES)))
 
-    def packed(batches):
-        ranked, kind = np.frombuffer(tables.value[1], "<u4"), encoder(path).type
-        for batch in batches:
-            out = [(ids := np.frombuffer(x.as_py(), kind), *pack(ranked[ids])) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x[0]) for x in out], pa.int64()),
-                 pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
-                names=["doc_id", "n", "control", "data"])
-
     def put(batches):
         system, folder = local_path(to)
+        ranked, kind = np.frombuffer(tables.value[1], "<u4"), encoder(path).type
         part, name, stream = TaskContext.get().partitionId(), None, None
         docs_n = tokens_n = 0
         block, held = [], 0
@@ -210,22 +203,21 @@ def write(docs, to, path, doc_id="doc_id", text="text", end=END):
                 system.create_dir(folder, recursive=True)
                 stream = system.open_output_stream(f"{folder}/{name}")
                 stream.write(MAGIC + np.array([len(order)], "<u4").tobytes() + tables.value[0])
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if block and held + row[1] > BLOCK_TOKENS:
+            for doc, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(raw, kind)
+                if block and held + len(ids) > BLOCK_TOKENS:
                     _write_block(stream, block)
                     block, held = [], 0
-                block.append(row)
-                held += row[1]
+                block.append((doc, len(ids), *pack(ranked[ids])))
+                held += len(ids)
                 docs_n += 1
-                tokens_n += row[1]
+                tokens_n += len(ids)
         if stream is not None:
             _write_block(stream, block)
             stream.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": docs_n, "n_tokens": tokens_n}])
 
-    rows = encoded.mapInArrow(packed, f"doc_id {dict(encoded.dtypes)['doc_id']}, n long, control binary, data binary")
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "n", "control", "data",
-                       F.xxhash64("control", "data").alias("tie"))
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", F.xxhash64("ids").alias("tie"))
     dealt = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     (dealt.mapInArrow(put, "part long, name string, n_docs long, n_tokens long")
      .write.parquet(f"{to}/manifest"))
