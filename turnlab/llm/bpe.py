@@ -92,7 +92,7 @@ class Codec:
     merged once per worker.
     """
 
-    KEPT, LONGEST, GROUP = 200_000, 48, 1 << 20
+    KEPT, LONGEST, GROUP = 400_000, 48, 1 << 20
 
     def __init__(self, path, pattern):
         with open(path, "rb") as lines:
