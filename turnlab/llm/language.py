@@ -17,6 +17,7 @@ PER_LANGUAGE = 400      # labelled rows of each language that a fit reads: the o
 DIMENSIONS = 1 << 12
 UNKNOWN = "und"
 _PART = 1 << 22         # bytes counted at once
+_SALTS = 64
 
 #: Families of closely related languages; any other language is a family of its own.
 FAMILIES = {
@@ -135,9 +136,11 @@ def fit(docs, doc_id="doc_id", text="text", lang="lang", per_language=PER_LANGUA
     small_batches(spark)
     rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = cut(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-                 .select("id", "lang").distinct(), "sampled")
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS))  # a language of a third of all rows is first cut down in parts
+    for key in ([F.col("lang"), salt], [F.col("lang")]):
+        order = Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id")
+        rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang")
+    chosen = cut(rows.distinct(), "sampled")
     languages = [r["lang"] for r in chosen.select("lang").distinct().collect()]  # the set of labels
     jobs = machines(languages)
     if not jobs:

@@ -59,6 +59,7 @@ def judged(rows, rules):
     fitting = (rows.select("__host").distinct().select("__host", F.explode(domains).alias("host")).join(rules, "host")
                .groupBy(F.col("__host").alias("__of")).agg(F.reverse(F.array_sort(F.collect_list(
                    F.struct(F.length("rule").alias("size"), "rule", "path", "verdict")))).alias("__rules")))
+    fitting = cut(fitting, "host-rules")  # so that its size is known when it is joined
     first = F.get(F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["path"])), F.lit(0))
     return (rows.join(fitting, F.col("__host") == F.col("__of"), "left").withColumn("__first", first)
             .withColumn("rule", F.col("__first.rule")).withColumn("ruled", F.col("__first.verdict"))
