@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -36,11 +37,15 @@ PLACEHOLDERS = {"changeme", "change_me", "password", "passwd", "secret", "token"
                 "your_token", "example", "unknown", "default", "disabled", "enabled"}
 
 # name = literal, name: literal, "name": literal, export NAME=literal, name := literal, <name>literal</name>
+# Names, blanks and literals have no greatest length: a literal goes to its closing quote or to the end of its run of
+# allowed characters. A name starts after a quote or at a left boundary (digits, dots and dashes in front of it are
+# passed over) and runs give nothing back, so the search stays linear.
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=q)[ \t]{0,8}(?::=|=>|[:=](?![:=]))[ \t]{0,8}"""
-    r"""(?:"(?P<double>[^"\n]{0,400})"|'(?P<single>[^'\n]{0,400})'|(?P<ref>\$\{?[A-Za-z_][A-Za-z0-9_]{0,80}\}?)"""
-    r"""|(?P<bare>[A-Za-z0-9+/_.=\-!@$%^&*?~]{1,400}))""")
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})>(?P<value>[^<>\s]{1,400})</(?P=name)>")
+    r"""(?P<q>["']|(?<![A-Za-z0-9_.\-]))[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"""
+    r"""[ \t]*+(?::=|=>|[:=](?![:=]))[ \t]*+"""
+    r"""(?:"(?P<double>[^"\n]*+)"|'(?P<single>[^'\n]*+)'|(?P<ref>\$\{?[A-Za-z_][A-Za-z0-9_]*+\}?)"""
+    r"""|(?P<bare>[A-Za-z0-9+/_.=\-!@$%^&*?~]++))""")
+_TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)>(?P<value>[^<>\s]++)</(?P=name)>")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -62,7 +67,7 @@ def literal_score(value):
     if any(c.isspace() for c in value):
         return 0
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    counts = [value.count(c) / len(value) for c in set(value)]
+    counts = [n / len(value) for n in Counter(value).values()]
     entropy = -sum(p * math.log2(p) for p in counts)
     return (classes >= 2) + (entropy >= 3) + (len(value) >= 16 and entropy >= 3.5)
 
