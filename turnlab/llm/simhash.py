@@ -192,8 +192,13 @@ def components(docs, doc_id="doc_id", text="text", words=3, reach=2):
     """
     rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
                             words=words).select("doc_id", "fp"), "fingerprints")
+    return labelled(rows, lambda classes: links(classes, reach))
+
+
+def labelled(rows, link):
+    """(doc_id, fp, component_id) of ``rows`` (doc_id, fp), linked by ``link`` of the table of distinct fp."""
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = cut(connected_components(links(classes, reach)), "labels")
+    labels = cut(connected_components(link(classes)), "labels")
     joined = classes.join(labels, classes.fp == labels.node).select("fp", "first", "component")
     least = joined.groupBy("component").agg(F.min("first").alias("least"))
     merged = joined.join(least, "component").select(F.col("fp").alias("of"), "least")
@@ -210,12 +215,17 @@ def deduplicate(docs, doc_id="doc_id", text="text", words=3, reach=2):
     one row stays.
     """
     found = components(docs, doc_id, text, words, reach)
+    return smallest_rows(docs, found, lambda rows, name: fingerprints(rows, text, words, name), doc_id, text)
+
+
+def smallest_rows(docs, found, named, doc_id="doc_id", text="text"):
+    """``deduplicate`` for components ``found``; ``named`` adds their fp to rows under a given name."""
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = cut(stay.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).count(), "kept")
     once = ids.groupBy("__id").agg(F.sum("count").alias("__times"))
     same = F.col(doc_id).eqNullSafe(F.col("__id"))
     single = docs.join(once.where("__times = 1"), same, "left_semi")
-    several = fingerprints(docs.join(once.where("__times > 1"), same, "left_semi"), text, words, "__of")
+    several = named(docs.join(once.where("__times > 1"), same, "left_semi"), "__of")
     several = several.join(ids, same & (F.col("__of") == F.col("__fp")), "left_semi")
     one = several.groupBy(doc_id, "__of").agg(
         F.min_by(F.struct(*docs.columns), F.struct(text, F.xxhash64(text))).alias("__row"))
