@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from turnlab.llm import bpe, decontaminate, language, secrets, simhash, token_files, url_filter, vectors, warc, wrapper
+from turnlab.llm import (bpe, clustering, decontaminate, importance, language, secrets, simhash, token_files,
+                         url_filter, vectors, warc, wrapper)
 from turnlab.llm.common import read_table
 
 QUERIES, SQL = {}, {}
@@ -83,3 +84,20 @@ def op10_url_filter(spark, sf_dir):
 
 
 SQL["op10_url_filter"] = url_filter.ORACLE
+
+
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    return clustering.digest(clustering.cluster(read_table(spark, sf_dir, "embeddings")))
+
+
+SQL["op12_centroid_clusters"] = clustering.ORACLE
+
+
+@query
+def op13_importance(spark, sf_dir):
+    docs, target = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return importance.digest(importance.resample(docs, target))
+
+
+SQL["op13_importance"] = importance.ORACLE
