@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from turnlab.llm import (bpe, clustering, decontaminate, importance, language, secrets, simhash, token_files,
+from turnlab.llm import (bpe, clustering, decontaminate, importance, language, licenses, secrets, simhash, token_files,
                          url_filter, vectors, warc, wrapper)
 from turnlab.llm.common import read_table
 
@@ -86,6 +86,14 @@ def op10_url_filter(spark, sf_dir):
 SQL["op10_url_filter"] = url_filter.ORACLE
 
 
+@query
+def op11_license_scan(spark, sf_dir):
+    return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
+SQL["op11_license_scan"] = licenses.ORACLE
+
+
 @query
 def op12_centroid_clusters(spark, sf_dir):
     return clustering.digest(clustering.cluster(read_table(spark, sf_dir, "embeddings")))
