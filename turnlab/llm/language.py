@@ -130,7 +130,8 @@ def held_out(doc_id="doc_id"):
 def fit(docs, doc_id="doc_id", text="text", lang="lang", per_language=PER_LANGUAGE):
     """A Model learned from at most ``per_language`` whole texts of each language.
 
-    Sampled are the labelled rows of least hash of the id that are not held out and have letters.
+    Sampled are the labelled rows of least hash of the id that are not held out and have letters. Without any such row
+    the model knows no language and predicts `und` for every text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -188,6 +189,11 @@ def identify(docs, model, text="text", names=("lang_pred", "score")):
 
 
 def known_language(docs, model, text="text"):
-    """The rows of ``docs`` in a learned language; those that are `und` go. Columns stay as they are."""
+    """The rows of ``docs`` in a learned language; those that are `und` go. Columns stay as they are.
+
+    Where nothing was learned, every row with a letter stays.
+    """
+    if not model.languages:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
     found = identify(docs, model, text, ("__lang", "__score"))
     return found.where(F.col("__lang") != UNKNOWN).select(*docs.columns)

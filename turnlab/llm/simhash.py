@@ -220,13 +220,17 @@ def deduplicate(docs, doc_id="doc_id", text="text", words=3, reach=2):
 
 def smallest_rows(docs, found, named, doc_id="doc_id", text="text"):
     """``deduplicate`` for components ``found``; ``named`` adds their fp to rows under a given name."""
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = cut(stay.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).count(), "kept")
-    once = ids.groupBy("__id").agg(F.sum("count").alias("__times"))
+    stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = cut(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times"), F.count_if(stay).alias("__kept"))
+              .where("__kept > 0"), "kept")
     same = F.col(doc_id).eqNullSafe(F.col("__id"))
-    single = docs.join(once.where("__times = 1"), same, "left_semi")
-    several = named(docs.join(once.where("__times > 1"), same, "left_semi"), "__of")
-    several = several.join(ids, same & (F.col("__of") == F.col("__fp")), "left_semi")
+    single = docs.join(ids.where("__times = 1"), same, "left_semi")
+    # Rows of a repeated id may lie in several components, so they are picked by their text's fp too.
+    often = ids.where("__times > 1")
+    kept = found.where(stay).join(often.select("__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = cut(kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct(), "kept-texts")
+    several = named(docs.join(often, same, "left_semi"), "__of")
+    several = several.join(kept, same & (F.col("__of") == F.col("__fp")), "left_semi")
     one = several.groupBy(doc_id, "__of").agg(
         F.min_by(F.struct(*docs.columns), F.struct(text, F.xxhash64(text))).alias("__row"))
     return single.unionByName(one.select("__row.*"))
