@@ -1,12 +1,13 @@
 """Classifiers on labels and text, importances and association rules."""
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from turnlab.functions.counts import rows_n
+from turnlab.learning import boosting
 from turnlab.learning.features import assembler, label_index_stage, prepare_rows, tfidf_stages
 from turnlab.learning.splits import add_class_weight, bounded
 from turnlab.vocab import DA_CODES, VALID_PR
@@ -14,33 +15,54 @@ from turnlab.vocab import DA_CODES, VALID_PR
 DA_COLUMNS = ["da_" + c for c in DA_CODES]
 
 
-def _boosted(label, trees, depth, rate, seed=42):
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth,
-                         stepSize=rate, seed=seed)
+MOST_ROWS = 100_000     # labelled rows that a fit reads; the rest is only scored
 
 
-MOST_ROWS = 100_000     # labelled rows that a fit reads; the rest is only scored
+class BoostedModel:
+    """Feature stages and a boosted model; ``outputs`` names its classes or flags."""
+
+    def __init__(self, pipeline, booster, outputs):
+        self.pipeline, self.booster, self.outputs = pipeline, booster, list(outputs)
+        self.stages = [*pipeline.stages, booster]
+
+    def features(self, rows):
+        return self.pipeline.transform(rows)
+
+    def transform(self, rows):
+        """``rows`` with ``features``, ``probabilities`` (one per output) and ``prediction``: for classes the number of the most
+        probable one (the first of equals), for one flag 0.0 or 1.0, for several flags an array of 0 and 1."""
+        scored = boosting.transform(self.features(rows), self.booster)
+        p = F.col("probabilities")
+        if self.booster.loss == "softmax":
+            guess = (F.array_position(p, F.array_max(p)) - 1).cast("double")
+        elif len(self.outputs) == 1:
+            guess = (p[0] > 0.5).cast("double")
+        else:
+            guess = F.transform(p, lambda x: (x > 0.5).cast("int"))
+        return scored.withColumn("prediction", guess)
 
 
-def _text_model(rows, stages, estimator):
-    """Features are computed once and kept for the iterations of the fit."""
+def _text_model(rows, stages, target, outputs, loss, trees, depth, rate):
+    """``rows`` are a bounded sample, kept while its stages are fitted; ``target`` is an array of one number per output."""
     shared = Pipeline(stages=stages).fit(rows)
-    table = shared.transform(rows).select("features", "label").persist()
-    fitted = estimator.fit(table)
-    table.unpersist()
-    return PipelineModel(shared.stages + [fitted])
+    table = shared.transform(rows).select("features", target.cast("array<double>").alias("target"))
+    fitted = BoostedModel(shared, boosting.fit(table, "target", loss, trees, depth, rate), outputs)
+    rows.unpersist()
+    return fitted
+
+
+def _flags(columns):
+    return F.array(*[F.col(c).cast("double") for c in columns])
 
 
 def fit_pr_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
                  inputs=("text_features", "eml_label", *DA_COLUMNS)):
-    """Outcome from text, EML and acts (or fewer ``inputs``): one boosted classifier per outcome class."""
-    rows = prepare_rows(bounded(t.where("pr_label is not null"), key, most))
-    stages = tfidf_stages(vocabulary=vocabulary) + [
-        label_index_stage("pr_label", "label"),
-        assembler(inputs),
-    ]
-    return _text_model(rows, stages, OneVsRest(
-        classifier=_boosted("label", trees, depth, rate), labelCol="label", featuresCol="features", parallelism=3))
+    """Outcome from text, EML and acts (or fewer ``inputs``): one boosted model of all outcome classes (soft-max)."""
+    rows = prepare_rows(bounded(t.where("pr_label is not null"), key, most)).persist()
+    classes = sorted(r[0] for r in rows.select("pr_label").distinct().collect())
+    target = F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: (c == F.col("pr_label")).cast("double"))
+    return _text_model(rows, tfidf_stages(vocabulary=vocabulary) + [assembler(inputs)], target, classes, "softmax",
+                       trees, depth, rate)
 
 
 def _outcome_onehot():
@@ -51,31 +73,60 @@ def _outcome_onehot():
 def fit_eml_model(t, trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
                   inputs=("text_features", "pr_onehot", *DA_COLUMNS)):
     """EML from text, outcome and acts; the table to be scored must be prepared with ``eml_rows``."""
-    rows = bounded(eml_rows(t), key, most)
+    rows = eml_rows(bounded(t, key, most)).persist()
     stages = tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [assembler(inputs)]
-    return _text_model(rows, stages, _boosted("label", trees, depth, rate))
+    return _text_model(rows, stages, _flags(["label"]), ["eml_label"], "logistic", trees, depth, rate)
 
 
 def eml_rows(t):
     return prepare_rows(t, categories=["pr_label"]).withColumn("label", F.col("eml_label").cast("double"))
 
 
-def fit_da_models(t, codes=tuple(DA_CODES), trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
-                  inputs=("text_features", "eml_label", "pr_onehot")):
-    """One boosted classifier per act over a shared feature table; a dict of models by act. An act that occurs never or
-    always in the rows of the fit is left out."""
-    rows = prepare_rows(bounded(t.where("da_label is not null"), key, most), categories=["pr_label"])
-    shared = Pipeline(stages=tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [
-        assembler(inputs)]).fit(rows)
-    table = shared.transform(rows).select("features", *DA_COLUMNS).persist()
-    seen = table.agg(*[F.avg(c).alias(c) for c in DA_COLUMNS]).first()
-    models = {}
-    for code in codes:
-        if 0 < (seen["da_" + code] or 0) < 1:
-            data = table.withColumn("label", F.col("da_" + code).cast("double"))
-            models[code] = _boosted("label", trees, depth, rate).fit(data)
-    table.unpersist()
-    return shared, models
+def fit_da_model(t, codes=tuple(DA_CODES), trees=150, depth=6, rate=0.1, vocabulary=5000, most=MOST_ROWS, key="idx",
+                 inputs=("text_features", "eml_label", "pr_onehot")):
+    """All acts by one boosted model with a flag for each act that some, but not all, rows of the fit have."""
+    rows = prepare_rows(bounded(t.where("da_label is not null"), key, most), categories=["pr_label"]).persist()
+    seen = rows.agg(*[F.avg("da_" + c).alias(c) for c in codes]).first()
+    told = [c for c in codes if 0 < (seen[c] or 0) < 1]
+    stages = tfidf_stages(vocabulary=vocabulary) + _outcome_onehot() + [assembler(inputs)]
+    return _text_model(rows, stages, _flags(["da_" + c for c in told]), told, "logistic", trees, depth, rate)
+
+
+def act_quality(scored, acts):
+    """(act, n, n_true, accuracy, beats_majority) of rows scored by ``fit_da_model``, one row per act of the model."""
+    each = [F.struct(F.lit(c).alias("act"), F.col("da_" + c).alias("gold"), F.col("prediction")[i].alias("guess"))
+            for i, c in enumerate(acts)]
+    long = scored.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    accuracy = F.avg((F.col("gold") == F.col("guess")).cast("double"))
+    share = F.avg(F.col("gold").cast("double"))
+    return long.groupBy("act").agg(rows_n().alias("n"), F.sum("gold").cast("long").alias("n_true"), accuracy.alias("accuracy"),
+                                   (accuracy > F.greatest(share, 1 - share)).alias("beats_majority"))
+
+
+def permuted_importance(model, rows, gold, key="idx", top=None):
+    """Ranked (rank, feature, importance): the share of hits that ``rows``, a part kept from the fit, lose when one feature is
+    dealt anew among them; features that the trees don't use lose none and are left out.
+
+    Names are those of the assembled inputs; a text feature is named by its term.
+    """
+    table = model.features(rows)
+    found = boosting.permutation_importance(table, model.booster, gold, key)
+    names = feature_names(model.pipeline.stages, table)
+    found = found.toPandas()  # at most one row per feature of the bounded vocabulary
+    ranked = sorted(((names.get(int(f), f"f{f}"), float(v)) for f, v in zip(found["feature"], found["importance"])),
+                    key=lambda r: (-r[1], r[0]))
+    rows = [(i + 1, *r) for i, r in enumerate(ranked[:top] if top else ranked)]
+    return table.sparkSession.createDataFrame(rows, "rank int, feature string, importance double")
+
+
+def feature_names(stages, transformed, column="features"):
+    """Names of an assembled vector's places; text features are called text_features=term."""
+    groups = transformed.schema[column].metadata.get("ml_attr", {}).get("attrs", {})
+    names = {a["idx"]: a.get("name", str(a["idx"])) for g in groups.values() for a in g}
+    terms = next((s.vocabulary for s in stages if hasattr(s, "vocabulary")), [])
+    of_text = lambda n: n.rpartition("_")[2] if n.startswith("text_features_") else None
+    return {i: f"text_features={terms[int(of_text(n))]}" if of_text(n) and int(of_text(n)) < len(terms) else n
+            for i, n in names.items()}
 
 
 def held_out_quality(scored, gold, pred):

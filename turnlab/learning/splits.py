@@ -3,39 +3,23 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlab.operators.ordering import row_index
+from turnlab.operators.ordering import last_of_least, least_rows, row_index
 
-RANGE_BITS, STEPS = 12, 3   # each step narrows the range of a cut by a factor of 4096
+RANGE_BITS = 20     # of the hash, for the one histogram that finds the cuts
 
 
 def stratified_split(df, label, key, test_share=0.2, seed=42):
     """Add ``split`` (train/test) with the exact share of every class in the test part.
 
-    The test rows of a class are those with the smallest hashes of their key. The cut is found by counting hash ranges,
-    then ranges of the range it falls in, and so on; only what is left of it (a class' rows over
-    4096 to the power STEPS) is ranked. The table itself is not shuffled; what is looked up per row is one cut per class.
+    The test rows of a class are those with the smallest hashes of their key. The cut is found by one histogram of hash
+    ranges; only the rows of the range it falls in are ranked. The table itself is not shuffled; what is looked
+    up per row is one cut per class.
     """
-    rows = df.where(F.col(label).isNotNull()).select(
-        F.col(label).alias("_y"), F.xxhash64(key, F.lit(seed)).alias("_h"), F.col(key).alias("_key"))
-    totals = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("_total"))
-    cuts = totals.select("_y", F.floor(F.col("_total") * test_share + 0.5).alias("_rank"))
-    left = rows
-    for step in range(1, STEPS + 1):
-        at = F.shiftright("_h", 64 - RANGE_BITS * step)
-        counts = left.groupBy("_y", at.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
-        up_to = W.partitionBy("_y").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
-        placed = counts.withColumn("_upto", F.sum("_n").over(up_to)).join(cuts, "_y")
-        below = F.col("_upto") - F.col("_n")
-        cuts = placed.where((below < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(
-            "_y", (F.col("_rank") - below).alias("_rank"), "_range")
-        left = left.join(cuts.select(F.col("_y").alias("_of"), "_range"),
-                         (F.col("_y") == F.col("_of")) & (at == F.col("_range"))).drop("_of", "_range")
-        cuts = cuts.drop("_range")
-    in_range = W.partitionBy("_y").orderBy("_h", "_key")
-    last = (left.withColumn("_r", F.row_number().over(in_range)).join(cuts, "_y").where(F.col("_r") == F.col("_rank"))
-            .select("_y", F.struct("_h", "_key").alias("_last")))
-    lookup = last.agg(F.map_from_entries(F.collect_list(F.struct("_y", "_last")))).scalar()
-    mine = F.struct(F.xxhash64(key, F.lit(seed)).alias("_h"), F.col(key).alias("_key"))
+    hashed = F.xxhash64(key, F.lit(seed))
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_y"), hashed.alias("_h"), F.col(key).alias("_key"))
+    rows = rows.withColumn("_b", F.shiftright("_h", 64 - RANGE_BITS))
+    lookup = last_of_least(rows, lambda n: F.floor(n * test_share + 0.5))
+    mine = F.struct(hashed.alias("_h"), F.col(key).alias("_key"))
     is_test = F.coalesce(mine <= F.element_at(lookup, F.col(label)), F.lit(False))
     return df.where(F.col(label).isNotNull()).withColumn(
         "split", F.when(is_test, "test").otherwise("train"))
@@ -59,7 +43,7 @@ def random_split(df, key, train_share=0.7, seed=42):
 def bounded(df, key, most, seed=42):
     """At most ``most`` rows, those of the smallest digest of their key: the bound of a fit's labelled rows."""
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(f"fit{seed}")))
-    return df.orderBy(digest, key).limit(most)
+    return least_rows(df, digest, key, most)
 
 
 def class_weights(df, label):

@@ -9,7 +9,7 @@ from turnlab.functions.clean import round_exact
 from turnlab.functions.counts import rows_n
 from turnlab.functions.labels import parse_list
 from turnlab.operators.blocks import BLOCK, CUT, ROWS_PER_BLOCK, with_block
-from turnlab.operators.ordering import row_index
+from turnlab.operators.ordering import least_rows, row_index
 
 
 def _in_order(order, *cols):
@@ -210,7 +210,7 @@ def sample_turns(t, n, seed=42):
     whole = complete_turns(t)
     keys = whole.groupBy("dialogue_id", "turn").agg(rows_n().alias("_n")).drop("_n")
     digest = F.md5(F.concat_ws(":", "dialogue_id", "turn", F.lit(seed)))
-    drawn = keys.orderBy(digest, "dialogue_id", "turn").limit(n)
+    drawn = least_rows(keys.withColumn("_of", F.struct("dialogue_id", "turn")), digest, "_of", n).drop("_of")
     return whole.join(drawn, ["dialogue_id", "turn"], "left_semi")
 
 

@@ -111,3 +111,31 @@ def number_within(df, major, minor, name="row_index"):
     inside = F.row_number().over(W.partitionBy(major).orderBy(*minor))
     return df.withColumn("_in", inside).join(below, major).select(
         *df.columns, (F.col("_in") - 1 + F.col("_below")).cast("long").alias(name))
+
+
+def last_of_least(rows, wanted, by="_y", bucket="_b", order=("_h", "_key")):
+    """A map from each value of ``by`` to the struct ``order`` of the last of its ``wanted(total)`` least rows, as a scalar.
+
+    ``bucket`` is a number of about 20 bits that grows with ``order``. Rows are counted by bucket first (combined before
+    the shuffle), and only those of the bucket that the cut falls in are put in order: no task gets the least rows of
+    every partition.
+    """
+    each = W.partitionBy(by)
+    counts = rows.groupBy(by, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.select(
+        by, bucket, "_n", F.sum("_n").over(each.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)).alias("_upto"),
+        wanted(F.sum("_n").over(each)).alias("_rank"))
+    below = F.col("_upto") - F.col("_n")
+    hit = placed.where((below < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))).select(
+        by, bucket, (F.col("_rank") - below).alias("_left"))
+    open_ = rows.join(hit, [by, bucket])  # one bucket of each value
+    last = open_.withColumn("_r", F.row_number().over(each.orderBy(*order))).where(F.col("_r") == F.col("_left"))
+    return last.agg(F.map_from_entries(F.collect_list(F.struct(by, F.struct(*order).alias("_last"))))).scalar()
+
+
+def least_rows(df, digest, key, most):
+    """The ``most`` rows of least hexadecimal ``digest``, then least key (of equal ones, any)."""
+    rows = df.select(F.lit(0).alias("_y"), digest.alias("_h"), F.col(key).alias("_key"))
+    rows = rows.withColumn("_b", F.conv(F.substring("_h", 1, 5), 16, 10).cast("int"))
+    last = F.element_at(last_of_least(rows, lambda n: F.least(n, F.lit(most))), F.lit(0))
+    return df.where(F.struct(digest.alias("_h"), F.col(key).alias("_key")) <= last).limit(most)

@@ -1,7 +1,7 @@
 """Queries of splits, features, models, rules and batch scoring.
 
-Models are fitted on the training part of a split and judged on its test part. Boosted classifiers are registered with
-TREES trees (each is a chain of Spark jobs); the functions' own default is the study's 150. The forest has the study's 100.
+Models are fitted on the training part of a split and judged on its test part, with the study's numbers of trees (150
+of a boosted model, 100 of a forest).
 """
 
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from turnlab.plans.catalog.registry import on_table, on_texts, on_turns
 from turnlab.plans.catalog.tabulation import rounded
 from turnlab.vocab import DA_CODES, VALID_PR
 
-TREES = 10
 TEXT_ONLY = ("text_features",)  # the stand-in's other labels come from the same source as the one to be learned
 
 
@@ -197,17 +196,16 @@ def parts(t, label):
 @on_texts("outcome_model_quality", quality_sql("pr_label"))
 def outcome_model_quality(t):
     train, test = parts(t, "pr_label")
-    model = models.fit_pr_model(train, trees=TREES, inputs=TEXT_ONLY)
-    scored = model.transform(feat.prepare_rows(test))
-    return models.held_out_quality(scored.withColumn("gold", F.col("pr_label")).withColumn(
-        "guess", F.element_at(F.array(*[F.lit(x) for x in model.stages[-3].labels]), F.col("prediction").cast("int") + 1)),
-        "gold", "guess")
+    model = models.fit_pr_model(train, inputs=TEXT_ONLY)
+    scored = model.transform(feat.prepare_rows(test)).withColumn(
+        "guess", F.element_at(F.array(*[F.lit(x) for x in model.outputs]), F.col("prediction").cast("int") + 1))
+    return models.held_out_quality(scored.withColumn("gold", F.col("pr_label")), "gold", "guess")
 
 
 @on_texts("eml_model_quality", quality_sql("eml_label"))
 def eml_model_quality(t):
     train, test = parts(t, "eml_label")
-    model = models.fit_eml_model(train, trees=TREES, inputs=TEXT_ONLY)
+    model = models.fit_eml_model(train, inputs=TEXT_ONLY)
     scored = model.transform(models.eml_rows(test))
     return models.held_out_quality(scored.withColumn("guess", F.col("prediction").cast("int")), "eml_label", "guess")
 
@@ -215,30 +213,47 @@ def eml_model_quality(t):
 @on_texts("eml_model_importance", """
 SELECT 1 AS rank, true AS names_known, true AS ranked FROM texts LIMIT 1""")
 def eml_model_importance(t):
-    model = models.fit_eml_model(parts(t, "eml_label")[0], trees=TREES)
-    found = models.feature_importance(t.sparkSession, model.stages[-1], model.transform(models.eml_rows(t)), top=20)
+    found = eml_importance_table(t)
     return found.agg(F.min("rank").alias("rank"), F.every(F.col("feature").rlike("^(text_features|pr_onehot)")).alias("names_known"),
                      (F.max_by("importance", -F.col("rank")) == F.max("importance")).alias("ranked"))
 
 
-ACTS_LEARNED = ("ap", "pa")
+@on_texts("eml_importance_table", None)
+def eml_importance_table(t):
+    """The 20 inputs whose values matter most to the EML model on rows kept from its fit, of those that matter."""
+    train, test = parts(t, "eml_label")
+    model = models.fit_eml_model(train)
+    return models.permuted_importance(model, models.eml_rows(test), "label", top=20).where("importance > 0")
 
 
 @on_texts("act_models_quality", """
-""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS act, true AS beats_majority FROM texts GROUP BY 1" for c in ACTS_LEARNED))
+WITH c AS (SELECT string_split(da_label, ',')[1] AS f, count(*) AS k FROM texts WHERE da_label IS NOT NULL GROUP BY 1),
+a AS (SELECT DISTINCT unnest(string_split(da_label, ',')) AS act FROM texts WHERE da_label IS NOT NULL)
+SELECT act, (SELECT CAST(sum(floor(k * 0.2e0 + 0.5e0)) AS BIGINT) FROM c) AS n, true AS beats_majority FROM a""")
 def act_models_quality(t):
     train, test = parts(t.withColumn("_first", F.substring_index("da_label", ",", 1)), "_first")
-    shared, fitted = models.fit_da_models(train.drop("_first"), codes=ACTS_LEARNED, trees=TREES, inputs=TEXT_ONLY)
-    rows = shared.transform(feat.prepare_rows(test, categories=["pr_label"]))
-    for code, model in fitted.items():
-        rows = (model.transform(rows).withColumn("pred_" + code, F.col("prediction").cast("int"))
-                .drop("rawPrediction", "probability", "prediction"))
-    hit = lambda c: F.avg((F.col("da_" + c) == F.col("pred_" + c)).cast("double"))
-    most = lambda c: F.greatest(F.avg("da_" + c), 1 - F.avg("da_" + c))
-    cells = rows.agg(F.array(*[F.struct(F.lit(c).alias("act"), (hit(c) > most(c)).alias("beats_majority"))
-                               for c in fitted]).alias("_c"))
-    return cells.select(F.explode("_c").alias("c")).select("c.*")
+    model = models.fit_da_model(train.drop("_first"), inputs=TEXT_ONLY)
+    scored = model.transform(feat.prepare_rows(test, categories=["pr_label"]))
+    return models.act_quality(scored, model.outputs).select("act", "n", "beats_majority")
+
+
+@on_texts("act_model_report", None)
+def act_model_report(t):
+    """Rows, positives, accuracy and whether it beats the commonest answer, of each act on the rows kept from the fit; all inputs."""
+    train, test = parts(t.withColumn("_first", F.substring_index("da_label", ",", 1)), "_first")
+    model = models.fit_da_model(train.drop("_first"))
+    return models.act_quality(model.transform(feat.prepare_rows(test, categories=["pr_label"])), model.outputs)
+
+
+@on_texts("outcome_predictions", None)
+def outcome_predictions(t):
+    """Every row kept from the fit of the outcome model: what it is, what it is taken for, and how surely."""
+    train, test = parts(t, "pr_label")
+    model = models.fit_pr_model(train, inputs=TEXT_ONLY)
+    scored = model.transform(feat.prepare_rows(test))
+    guess = F.element_at(F.array(*[F.lit(x) for x in model.outputs]), F.col("prediction").cast("int") + 1)
+    return scored.select("idx", F.col("pr_label").alias("gold"), guess.alias("guess"), (F.col("pr_label") == guess).alias("is_correct"),
+                         F.round(F.array_max("probabilities"), 8).alias("confidence"))
 
 
 @on_turns("outcome_forest_quality", f"""

@@ -85,7 +85,7 @@ def raw_utterances(spark, sf_dir):
         voted.cast("int").alias("vote_3"))
 
 
-# a language stands for an outcome and an act, toxicity for the EML flag and a second act
+# a language stands for an outcome and an act, toxicity for the EML flag, quality for a second act
 OUTCOME_OF_LANG = {"en": "Compliance", "de": "Resistance", "fr": "Neutral", "es": "Neutral"}
 ACT_OF_LANG = {"en": "ap", "de": "pa", "fr": "dc", "es": "sn"}
 
@@ -97,7 +97,7 @@ def labelled_texts(spark, sf_dir):
     return d.join(l, "doc_id").select(
         F.col("doc_id").alias("idx"), F.floor(F.col("doc_id") / 10).alias("dialogue_id"), F.col("text").alias("sentence"),
         F.col("toxic").alias("eml_label"), pick(OUTCOME_OF_LANG).alias("pr_label"),
-        F.concat(pick(ACT_OF_LANG), F.when(F.col("toxic") == 1, ",il").otherwise("")).alias("da_label"))
+        F.concat(pick(ACT_OF_LANG), F.when(F.col("quality") == 1, ",il").otherwise("")).alias("da_label"))
 
 
 def table(spark, sf_dir, name):
@@ -130,7 +130,7 @@ TEXTS_SQL = f"""
 texts AS (
   SELECT doc_id AS idx, doc_id // 10 AS dialogue_id, text AS sentence, toxic AS eml_label,
          CASE lang {_cases(OUTCOME_OF_LANG)} END AS pr_label,
-         CASE lang {_cases(ACT_OF_LANG)} END || CASE WHEN toxic = 1 THEN ',il' ELSE '' END AS da_label
+         CASE lang {_cases(ACT_OF_LANG)} END || CASE WHEN quality = 1 THEN ',il' ELSE '' END AS da_label
   FROM documents JOIN labels USING (doc_id)
 )
 """

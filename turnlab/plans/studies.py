@@ -6,7 +6,7 @@ Each function takes a turn table and returns lazy DataFrames; nothing runs befor
 from pyspark.sql import functions as F
 
 from turnlab.functions.labels import da_group
-from turnlab.learning import models
+from turnlab.learning import features, models
 from turnlab.operators import build, evaluate, stats
 from turnlab.operators import sequence as seq
 from turnlab.operators import tables as tab
@@ -123,15 +123,15 @@ def conversations(t, min_support=0.2, min_confidence=0.6):
     """Outcomes, act frequencies and rules of whole conversations; mines the rules at once."""
     outcomes = build.conversation_outcome(t)
     clear = outcomes.where(F.col("outcome").isin(VALID_PR))
-    acts = t.join(clear.select("dialogue_id", "outcome"), "dialogue_id")
-    first = t.where("da_label is not null").groupBy("dialogue_id").agg(
-        F.min_by("da_label", "idx").alias("first_da"))
-    rules = models.outcome_rules(models.act_transactions(t, outcomes), min_support, min_confidence)
+    each = features.each_act(t)  # one row per act of a list, as in the catalog
+    acts = each.join(clear.select("dialogue_id", "outcome"), "dialogue_id")
+    first = each.groupBy("dialogue_id").agg(F.min_by("act", "at").alias("first_da"))
+    rules = models.outcome_rules(models.act_transactions(each, outcomes, "act"), min_support, min_confidence)
     return {
         "outcomes": outcomes,
         "outcome_distribution": tab.value_dist(outcomes, "outcome"),
         "mean_length": tab.mean_by(outcomes, "outcome", "utterance_count").orderBy(F.desc("mean")),
-        "acts_by_outcome": tab.label_freq_by(acts, "outcome", "da_label"),
+        "acts_by_outcome": tab.label_freq_by(acts, "outcome", "act"),
         "first_acts": tab.label_freq_by(first.join(clear, "dialogue_id"), "outcome", "first_da"),
         "rules": rules.orderBy(F.desc("lift")),
         "top_rules": tab.top_by(rules, "lift", 12, ["antecedent"]),
