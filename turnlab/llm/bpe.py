@@ -94,7 +94,8 @@ class Codec:
 
     KEPT, LONGEST, GROUP = 400_000, 48, 1 << 20
 
-    def __init__(self, path, pattern):
+    def __init__(self, path, pattern, kept=KEPT):
+        self.kept = kept
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.parts = [b""] * (max(self.ranks.values(), default=-1) + 1)
@@ -118,7 +119,7 @@ class Codec:
 
     def packed_many(self, texts):
         """Ids of some texts, each as little-endian 32-bit numbers."""
-        if len(self.known) >= self.KEPT:
+        if len(self.known) >= self.kept:
             self.known, self.older = {}, self.known
         known, older, split, match = self.known, self.older, self.split.findall, self.match
         pieces = [self.pieces.findall(t) for t in texts]
@@ -144,8 +145,8 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path, pattern):
-    return Codec(path, pattern)
+def codec(path, pattern, kept=Codec.KEPT):
+    return Codec(path, pattern, kept)
 
 
 def encode(docs, path, pattern, text="text", ids="ids"):
@@ -187,10 +188,13 @@ def decode(rows, path, pattern, ids="ids", decoded="decoded"):
     return with_columns(rows, [ids], lambda lists: [_decoded(codec(path, pattern), lists)], f"`{decoded}` binary", raw=True)
 
 
-def round_trip(docs, path, pattern, text="text", ids="ids", decoded="decoded"):
-    """``docs`` with both columns of ``encode`` and ``decode``, in one pass over the texts."""
+def round_trip(docs, path, pattern, text="text", ids="ids", decoded="decoded", kept=Codec.KEPT):
+    """``docs`` with both columns of ``encode`` and ``decode``, in one pass over the texts.
+
+    ``kept`` bounds the pieces that a worker remembers: fewer take less memory and more time.
+    """
     def run(texts):
-        coder = codec(path, pattern)
+        coder = codec(path, pattern, kept)
         lists = _as_lists(_packed(coder, texts))
         return [lists, _decoded(coder, lists)]
     return with_columns(docs, [text], run, f"`{ids}` array<int>, `{decoded}` binary")
