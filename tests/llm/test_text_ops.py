@@ -247,3 +247,9 @@ def test_secrets(spark):
     assert clean[2] is None and clean[5].startswith("no secrets") and 'say token = "[SECRET]" é 𝒳 [SECRET] secret' in clean[0]
     assert not any(s in clean[0] for s in ("f3ef", "AKIA", "a.b-c", "Xk9", "Yc3", "hV7k")) and "Yd4" in clean[0]
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_deeply_nested_pages_are_matched():
+    a, b = (wrapper.parse("<div>" * 5000 + f"<p>{x}</p>" + "</div>" * 5000) for x in ("one", "two <b>b</b>"))
+    pairs = wrapper.match_trees(a, b)
+    assert len(pairs) >= 5000 and all(x.label == y.label for x, y in pairs)

@@ -163,28 +163,44 @@ def match_trees(a, b):
         return []
     sizes = {}
 
-    def weight(x, y):
-        """Most nodes that can be matched in two subtrees."""
+    def known(x, y):
+        """Most nodes that can be matched in two subtrees, None where it is not counted yet."""
         if x.label != y.label:
             return 0
-        if x.shape == y.shape:
-            return x.size
-        key = (id(x), id(y))
-        if key not in sizes:
-            sizes[key] = 1 + sum(w for *_, w in children(x, y))
-        return sizes[key]
+        return x.size if x.shape == y.shape else sizes.get((id(x), id(y)))
 
-    def children(x, y):
-        """The best order-keeping pairs (child, child, weight)."""
-        p, q, found = x.kids, y.kids, []
+    def weight(x, y):
+        """``known`` of the pair, its inner pairs counted first (no recursion: pages may nest deeply)."""
+        todo = [(x, y)]
+        while todo:
+            s, t = todo[-1]
+            if known(s, t) is None:
+                p, q = middle(s, t)[1:3]
+                inner = zip(p, q) if len(p) * len(q) > _MATCHED_CELLS else ((c, d) for c in p for d in q)
+                missing = [(c, d) for c, d in inner if known(c, d) is None]
+                if missing:
+                    todo += missing
+                    continue
+                sizes[id(s), id(t)] = 1 + sum(w for *_, w in children(s, t))
+            todo.pop()
+        return known(x, y)
+
+    def middle(x, y):
+        """(pairs of equal first children, what lies between in either list, pairs of equal last children)."""
+        p, q, head, tail = x.kids, y.kids, [], []
         low = 0
         while low < min(len(p), len(q)) and p[low].shape == q[low].shape:
-            found.append((p[low], q[low], p[low].size))
+            head.append((p[low], q[low], p[low].size))
             low += 1
-        p, q, tail = p[low:], q[low:], []
+        p, q = p[low:], q[low:]
         while p and q and p[-1].shape == q[-1].shape:
             tail.append((p[-1], q[-1], p[-1].size))
             p, q = p[:-1], q[:-1]
+        return head, p, q, tail[::-1]
+
+    def children(x, y):
+        """The best order-keeping pairs (child, child, weight)."""
+        found, p, q, tail = middle(x, y)
         if len(p) * len(q) > _MATCHED_CELLS:
             found += [(s, t, weight(s, t)) for s, t in zip(p, q) if s.label == t.label]
         elif p and q:
@@ -202,7 +218,7 @@ def match_trees(a, b):
                     i += 1
                 else:
                     j += 1
-        return found + tail[::-1]
+        return found + tail
 
     pairs, todo = [], [(a, b)]
     while todo:
