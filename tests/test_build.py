@@ -160,3 +160,24 @@ def test_empty_group_keeps_its_rows(spark):
     table = {(r["g"], r["transition"]): (r["n"], r["percent"]) for r in tab.transition_table(x, "g").collect()}
     assert len(table) == 8 and table["With_EML", "Compliance→Compliance"] == (1, 100.0)
     assert table["Without_EML", "Resistance→Resistance"] == (0, 0.0)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 20])
+def test_parts_of_a_dialogue(spark, block):
+    draw = random.Random(5)
+    said = [(d, i, i % 2, "".join(draw.choice("ab c\u00e9\U0001f600") for _ in range(draw.choice([0, 3, 20, 150]))))
+            for d, n in ((1, 1), (2, 40), (3, 7)) for i in range(n)] + [(4, 0, None, None)]
+    t = spark.createDataFrame(said, "dialogue_id long, idx long, role int, sentence string").repartition(3)
+    got = build.prompt_parts(t, "ask", most=64, block=block).orderBy("dialogue_id", "part").collect()
+    assert max(len(r["prompt"]) for r in got) <= 64 and all(r["prompt"].endswith("\nask") for r in got)
+    room = (64 - 4) // 2 - 1
+    for d in (1, 2, 3, 4):
+        mine = [s for s in said if s[0] == d]
+        lines = [f"{k + 1} ({'' if r is None else r}): {x or ''}" for k, (_, _, r, x) in enumerate(mine)]
+        pieces = [x[i:i + room] for x in lines for i in range(0, len(x), room)]
+        parts = [r for r in got if r["dialogue_id"] == d]
+        assert [r["part"] for r in parts] == list(range(len(parts)))
+        assert "\n".join(r["prompt"][:-4] for r in parts) == "\n".join(pieces)
+        assert [p for r in parts for p in r["places"]] == [s[1] for s in mine]
+    long = build.long_form(t, F.col("sentence"), block=block).collect()
+    assert sorted((r["dialogue_id"], r["idx"], r["position"]) for r in long) == sorted((d, i, i) for d, i, *_ in said)

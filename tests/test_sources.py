@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from turnlab import schemas
@@ -21,6 +22,48 @@ def test_csv_round_trip_with_encodings(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "out"), df.schema, multi_line=True).count() == 2
 
 
+def test_csv_folder_of_mixed_encodings(spark, tmp_path, rows):
+    schema = StructType.fromDDL("seq long, text string, more string")
+    lines = {"a.csv": ("utf-8", "1,caf\u00e9,\n2,\ufffd,x"), "b.csv": ("latin-1", "3,caf\u00e9,y\n4,plain,\u00fc"),
+             "c.csv": ("utf-8", "5,\u4e2d,z")}
+    for name, (encoding, text) in lines.items():
+        (tmp_path / name).write_bytes(("seq,text,more\n" + text + "\n").encode(encoding))
+    assert rows(readers.read_csv_fallback(spark, str(tmp_path), schema)) == [
+        (1, "caf\u00e9", None), (2, "\ufffd", "x"), (3, "caf\u00e9", "y"), (4, "plain", "\u00fc"), (5, "\u4e2d", "z")]
+    assert readers.read_csv_fallback(spark, str(tmp_path / "c.csv"), StructType.fromDDL("seq long")).count() == 1
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_line_numbers_of_split_files(spark, tmp_path, rows, size):
+    texts = {f"f{k}.txt": ["x" * (i * 7 % 23) + str(i) if i % 5 else "" for i in range(40 + 30 * k)] for k in range(3)}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        got = readers.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r["source"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in got) == sorted(
+        (name, i, line) for name, lines in texts.items() for i, line in enumerate(lines))
+
+
+def test_failed_bundle_leaves_the_old_one(spark, tmp_path, rows):
+    folder = str(tmp_path / "b")
+    good = spark.createDataFrame([("x", 1)], "label string, n int")
+    writers.write_bundle({"counts": good, "again": good}, folder)
+    bad = good.withColumn("n", F.raise_error(F.lit("no table")).cast("int"))
+    with pytest.raises(Exception, match="no table"):
+        writers.write_bundle({"counts": good.withColumn("n", F.lit(2)), "again": bad}, folder)
+    assert rows(readers.read_bundle(spark, folder, "counts")) == [("x", 1)]
+    writers.write_bundle({"counts": good.withColumn("n", F.lit(3))}, folder, "csv")
+    assert rows(readers.read_bundle(spark, folder, "counts")) == [("x", "3")]
+    with pytest.raises(KeyError, match="again"):
+        readers.read_bundle(spark, folder, "again")
+
+
 def test_turn_table_in_parquet(spark, tmp_path):
     data = [(1, "d", 0, 1, "hi", 1, "Compliance", 0.5, "ap", ["ap"])]
     spark.createDataFrame(data, schemas.TURNS).write.parquet(str(tmp_path / "t"))

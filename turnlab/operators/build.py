@@ -126,6 +126,33 @@ def _listed(t, value, dialogue, order, block):
     return pieces.groupBy(dialogue).agg(whole.alias("_list"))
 
 
+def long_form(t, value, dialogue="dialogue_id", order="idx", size=None, block=ROWS_PER_BLOCK):
+    """(dialogue, order, position, value): values of a dialogue numbered from 0 in order, a row each.
+
+    The form of ``da_sequence`` and ``dialogue_context`` for dialogues of any length. With ``size``, a function of the value
+    and its position, also ``before``: the sum of the sizes of the earlier values. Both are counted inside blocks; a
+    dialogue that is cut takes its offsets from a table of one row per block.
+    """
+    inside = W.partitionBy(dialogue, BLOCK).orderBy(order)
+    rows = with_block(t.select(dialogue, order, value.alias("value")), dialogue, order, block)
+    numbered = rows.withColumn("_nth", F.row_number().over(inside).cast("long") - 1)
+    so_far = W.partitionBy(dialogue).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+
+    def shifted(numbered, total, name, within):
+        blocks = numbered.where(CUT).groupBy(dialogue, BLOCK).agg(total.alias("_total"))
+        offsets = blocks.select(dialogue, BLOCK, F.sum("_total").over(so_far).alias("_off"))
+        at = F.col(within) + F.coalesce(F.col("_off"), F.lit(0).cast("long"))
+        return numbered.join(offsets, [dialogue, BLOCK], "left").withColumn(name, at).drop("_off", within)
+
+    placed = shifted(numbered, rows_n(), "position", "_nth")
+    if size is None:
+        return placed.select(dialogue, order, "position", "value")
+    sized = placed.withColumn("_size", size(F.col("value"), F.col("position")).cast("long"))
+    within = F.coalesce(F.sum("_size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    summed = shifted(sized.withColumn("_in", within), F.sum("_size"), "before", "_in")
+    return summed.select(dialogue, order, "position", "value", "before")
+
+
 def da_sequence(t, da="da_label", order="idx", block=ROWS_PER_BLOCK):
     """Acts of every conversation in file order, one row each; a missing act is an empty text."""
     listed = _listed(t, F.coalesce(F.col(da), F.lit("")), "dialogue_id", order, block)
@@ -181,6 +208,61 @@ def conversation_prompts(t, ask, text="sentence", speaker="role", order="idx", m
     return made.withColumn("prompt", whole)
 
 
+MOST_PART_CHARS = 1 << 16
+
+
+def dialogue_parts(t, line, most=MOST_PART_CHARS, dialogue="dialogue_id", order="idx", block=ROWS_PER_BLOCK):
+    """Lines of a dialogue packed in order into parts of at most ``most`` characters: (dialogue, part, body, places).
+
+    ``line`` is a function of the value column's row position (from 0) and gives the line's text; lines of a part are
+    joined by a line break. A line belongs to the part that its first character falls in when the dialogue's characters are
+    counted off by half of ``most``, so parts are found by sums alone and are at least half full on average. A line of more
+    than half of ``most`` goes on in the next parts: joined without a break, its pieces are the line. ``places`` lists
+    the ``order`` of the lines that begin in the part. Parts are numbered from 0 without gaps. Nothing is dropped, and no
+    cell is longer than a part but for a line itself.
+    """
+    if most < 4:
+        raise ValueError("a part takes at least 4 characters")
+    half = most // 2
+    room = half - 1  # of a piece; its line break is counted with it
+    pieces_of = lambda text: F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(room)))
+    size = lambda v, p: F.length(line(v, p)) + pieces_of(line(v, p))
+    fields = F.struct(*[F.col(c) for c in t.columns])
+    rows = long_form(t, fields, dialogue, order, size, block)
+    whole = line(F.col("value"), F.col("position"))
+    # one pass over a line, where a substring for each piece would read a long line once a piece
+    pieces = F.when(whole == "", F.array(F.lit(""))).otherwise(
+        F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{room}}}"), F.lit(0)))
+    cut = rows.select(dialogue, order, "before", F.posexplode(pieces).alias("_piece", "_text"))
+    start = F.col("before") + F.col("_piece") * half
+    parts = cut.groupBy(dialogue, F.floor(start / half).alias("part")).agg(
+        _in_order(order, "_piece", "_text").alias("_rows"))
+    begins = F.transform(F.filter("_rows", lambda r: r["_piece"] == 0), lambda r: r["_o"])
+    # a piece that continues a line opens its part, so a break between two pieces of one part never falls inside a line
+    return parts.select(dialogue, "part", F.array_join(F.transform("_rows", lambda r: r["_text"]), "\n").alias("body"),
+                        begins.alias("places"))
+
+
+def prompt_parts(t, ask, text="sentence", speaker="role", order="idx", most=MOST_PART_CHARS, block=ROWS_PER_BLOCK):
+    """``conversation_prompts`` in parts: (dialogue, part, prompt, places), each prompt of at most ``most`` characters.
+
+    Utterances keep their numbers in the whole dialogue; what is asked ends every part. ``replies_per_row`` takes the replies
+    of all parts together. A dialogue of any size has its parts; nothing is cut off and nothing raises.
+    """
+    def line(v, position):
+        return F.concat((position + 1).cast("string"), F.lit(" ("), F.coalesce(v[speaker].cast("string"), F.lit("")),
+                        F.lit("): "), F.coalesce(v[text], F.lit("")))
+    spoken = t.select("dialogue_id", *dict.fromkeys([order, speaker, text]))
+    parts = dialogue_parts(spoken, line, most - len(ask) - 1, order=order, block=block)
+    return parts.select("dialogue_id", "part", F.concat("body", F.lit("\n" + ask)).alias("prompt"), "places")
+
+
+def context_parts(t, text="sentence", order="idx", most=MOST_PART_CHARS, block=ROWS_PER_BLOCK):
+    """``dialogue_context`` in parts of at most ``most`` characters: (dialogue, part, body, places)."""
+    spoken = t.where(F.trim(F.col(text)) != "").select("dialogue_id", order, F.trim(F.col(text)).alias(text))
+    return dialogue_parts(spoken, lambda v, p: v[text], most, order=order, block=block)
+
+
 def replies_per_row(prompts, reply="reply", separator=",", order="idx"):
     """(dialogue, position, answer): the n-th answer of a reply list goes to the n-th utterance; missing ones are NULL."""
     answers = F.split(reply, separator)

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from turnlab.plans.catalog import (  # noqa: F401
-    building, evaluation, labelling, learning, relations, statistics, tabulation,
+    building, evaluation, files, labelling, learning, relations, statistics, tabulation,
 )
 from turnlab.plans.catalog.registry import QUERIES, SQL
 

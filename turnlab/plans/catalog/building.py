@@ -168,6 +168,56 @@ def context_replies(c):
     return build.replies_per_row(prompts.withColumn("reply", fake_reply(F.col("places"))))
 
 
+PART_CHARS = 400
+
+
+def part_sql(lines, extra=0):
+    """Parts of the lines of ``lines`` (conv_id, nth, line): pieces of half a part, placed by the characters before them."""
+    half = (PART_CHARS - extra) // 2
+    return f"""
+z AS (SELECT *, greatest(1, ceil(length(line) / {half - 1}.0))::BIGINT AS pieces FROM {lines}),
+b AS (SELECT *, coalesce(sum(length(line) + pieces) OVER (PARTITION BY conv_id ORDER BY nth
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM z),
+e AS (SELECT *, unnest(range(pieces)) AS piece FROM b),
+parts AS (SELECT conv_id, (before + piece * {half}) // {half} AS part,
+                 string_agg(substr(line, (piece * {half - 1} + 1)::BIGINT, {half - 1}), chr(10) ORDER BY nth, piece) AS body,
+                 count(*) FILTER (piece = 0) AS begun FROM e GROUP BY 1, 2)"""
+
+
+ASKED = """l AS (SELECT conv_id, turn AS nth, row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ' (' || role || '): ' || text AS line
+      FROM conversations)"""
+
+
+@on_table("prompt_parts", "conversations", f"""
+WITH {ASKED}, {part_sql('l', len(ASK) + 1)}
+SELECT conv_id AS dialogue_id, part, md5(body || chr(10) || '{ASK}') AS digest, begun FROM parts""")
+def prompt_parts(c):
+    return build.prompt_parts(spoken(c), ASK, most=PART_CHARS).select(
+        "dialogue_id", "part", F.md5("prompt").alias("digest"), F.size("places").cast("long").alias("begun"))
+
+
+@on_table("part_replies", "conversations", """
+SELECT conv_id AS dialogue_id, turn AS idx, CAST((turn + 1) % 2 AS VARCHAR) AS answer FROM conversations""")
+def part_replies(c):
+    prompts = build.prompt_parts(spoken(c), ASK, most=PART_CHARS)
+    return build.replies_per_row(prompts.withColumn("reply", fake_reply(F.col("places"))))
+
+
+@on_table("context_parts", "conversations", f"""
+WITH {SPOKEN}, l AS (SELECT conv_id, turn AS nth, spoken AS line FROM s WHERE spoken <> ''), {part_sql('l')}
+SELECT conv_id AS dialogue_id, part, md5(body) AS digest, length(body) AS n_chars FROM parts""")
+def context_parts(c):
+    return build.context_parts(spoken(c), most=PART_CHARS).select(
+        "dialogue_id", "part", F.md5("body").alias("digest"), F.length("body").cast("long").alias("n_chars"))
+
+
+@on_turns("act_sequence_rows", """
+SELECT dialogue_id, idx, row_number() OVER (PARTITION BY dialogue_id ORDER BY idx) - 1 AS position,
+       coalesce(da_label, '') AS value FROM turns""")
+def act_sequence_rows(t):
+    return build.long_form(t, F.coalesce(F.col("da_label"), F.lit("")))
+
+
 @on_turns("complete_turns", """
 SELECT idx, dialogue_id, turn FROM turns WHERE (dialogue_id, turn) IN (
   SELECT (dialogue_id, turn) FROM turns GROUP BY dialogue_id, turn HAVING count(DISTINCT role) = 2)""")

@@ -36,6 +36,9 @@ MANUAL_SAMPLE = _struct(
     "manipulation_2:int manipulation_3:int persuasion_result_1:int persuasion_result_2:int "
     "persuasion_result_3:int da_label:string")
 
+# one row per table of a report bundle
+MANIFEST = _struct("version:long run:string name:string format:string path:string")
+
 
 def all_string(schema):
     """The same columns, every one read as text."""

@@ -1,8 +1,9 @@
 """Readers with declared schemas."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlab.schemas import all_string
+from turnlab.schemas import MANIFEST, all_string
 from turnlab.vocab import TEXT_COLUMN_NAMES
 
 
@@ -34,16 +35,26 @@ def read_csv(spark, path, schema, encoding="UTF-8", as_text=False, multi_line=Fa
 
 
 def read_csv_fallback(spark, path, schema, encodings=("UTF-8", "ISO-8859-1"), multi_line=False):
-    """CSV in UTF-8, or in the second encoding where some text is no valid UTF-8.
+    """CSV whose files are each in UTF-8, or in the second encoding where some text of the file is no valid UTF-8.
 
-    The file is searched byte for byte (each byte read as one character), so a replacement character that stands in a
-    valid text is no sign; the search stops at the first hit.
+    Read byte for byte (each byte as one character; separators, quotes and breaks are the same bytes in both); texts are
+    decoded afterwards, each by what its own file holds. A replacement character that stands in a valid text is no
+    sign. Whether a file is valid is combined before the shuffle, and only the invalid files are joined to the rows. The
+    first encoding must be UTF-8, the second one in which ASCII characters are their own bytes.
     """
     texts = [f.name for f in schema.fields if f.dataType.typeName() == "string"]
-    bytes_read = read_csv(spark, path, schema, "ISO-8859-1", as_text=True, multi_line=multi_line)
-    raw = F.encode(F.concat_ws("", *texts), "ISO-8859-1") if texts else F.lit(b"")
-    valid = bytes_read.where(~F.is_valid_utf8(raw.cast("string"))).isEmpty()
-    return read_csv(spark, path, schema, encodings[0 if valid else 1], multi_line=multi_line)
+    rows = read_csv(spark, path, schema, "ISO-8859-1", multi_line=multi_line)
+    if not texts:
+        return rows
+    raw = lambda c: F.encode(F.col(c), "ISO-8859-1")
+    named = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    broken = F.lit(False)
+    for c in texts:
+        broken = broken | ~F.coalesce(F.is_valid_utf8(raw(c).cast("string")), F.lit(True))
+    other = named.where(broken).select("_file").distinct().withColumn("_other", F.lit(True))
+    decoded = [F.when(F.col("_other"), F.decode(raw(f.name), encodings[1])).otherwise(raw(f.name).cast("string"))
+               .alias(f.name) if f.name in texts else F.col(f.name) for f in schema.fields]
+    return named.join(other, "_file", "left").select(*decoded)
 
 
 def read_turns(spark, path, schema, fmt="parquet", **options):
@@ -53,11 +64,26 @@ def read_turns(spark, path, schema, fmt="parquet", **options):
     return spark.read.schema(schema).format(fmt).options(**options).load(path)
 
 
-def _pipe_fields(spark, path, at_least):
-    lines = spark.read.text(path).where(F.trim("value") != "").select(
-        F.split("value", r"\|").alias("f"), F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("line_no"))
-    return lines.where(F.size("f") >= at_least)
+def read_lines(spark, path):
+    """(source, line_no, value): text files by line, numbered from 0 in their file without gaps, blank lines counted.
+
+    A large file is read in splits by many tasks; a line belongs to the split it begins in. Lines of a split are numbered at
+    the scan, splits of a file are counted first, and the table of one row per split gives each its first number.
+    """
+    split = ["source", "_start"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_start"),
+        "value", F.monotonically_increasing_id().alias("_id"))
+    counts = lines.groupBy(split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("source").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = counts.select(*split, (before - F.col("_first")).alias("_shift"))
+    return lines.join(offsets, split).select("source", (F.col("_id") + F.col("_shift")).alias("line_no"), "value")
+
+
+def _pipe_fields(lines, at_least):
+    fields = F.split("value", r"\|")
+    return lines.where((F.trim("value") != "") & (F.size(fields) >= at_least)).withColumn("f", fields)
 
 
 def _field(i):
@@ -67,10 +93,9 @@ def _field(i):
 def read_pipe_utterances(spark, path):
     """``speaker|utterance|..|..|tag`` lines; blank lines and lines of fewer fields are skipped.
 
-    ``line_no`` rises with the position in the file (it is made at the scan, before any shuffle); the
-    file itself is the conversation.
+    ``line_no`` is the line's number in its file, skipped lines counted; the file itself is the conversation.
     """
-    return _pipe_fields(spark, path, 5).select(
+    return _pipe_fields(read_lines(spark, path), 5).select(
         "source", "line_no",
         _field(0).alias("speaker"), _field(1).alias("utterance"),
         F.get("f", F.lit(2)).alias("f2"), F.get("f", F.lit(3)).alias("f3"), _field(4).alias("da"))
@@ -78,7 +103,7 @@ def read_pipe_utterances(spark, path):
 
 def read_pipe_turns(spark, path):
     """``speaker|text|labels`` lines; lines without text or labels are dropped."""
-    turns = _pipe_fields(spark, path, 3).select(
+    turns = _pipe_fields(spark.read.text(path), 3).select(
         _field(0).alias("speaker"), _field(1).alias("utterance"),
         F.filter(F.transform(F.split(F.get("f", F.lit(2)), ","), lambda x: F.trim(x)),
                  lambda x: x != "").alias("da_labels"))
@@ -107,3 +132,23 @@ def rename(df, mapping):
 
 def drop_null(df, subset):
     return df.na.drop(subset=list(subset))
+
+
+def _last_bundle(spark, directory):
+    entries = spark.read.schema(MANIFEST).json(f"{directory}/manifest")
+    newest = entries.agg(F.max(F.struct("version", "run")).alias("at"))
+    return entries.join(newest, F.struct("version", "run") == F.col("at")).drop("at")
+
+
+def bundle_tables(spark, directory):
+    """{name: (format, path)} of the newest complete bundle in a directory."""
+    return {r["name"]: (r["format"], r["path"]) for r in _last_bundle(spark, directory).collect()}
+
+
+def read_bundle(spark, directory, name):
+    """One table of the newest complete bundle; what a failed writer left behind is never read."""
+    tables = bundle_tables(spark, directory)
+    if name not in tables:
+        raise KeyError(f"no table {name} in the bundle; it holds {sorted(tables)}")
+    fmt, path = tables[name]
+    return spark.read.option("header", True).format(fmt).load(f"{directory}/{path}")

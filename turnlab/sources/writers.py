@@ -1,9 +1,13 @@
 """Writers: tables, report bundles and pipe text."""
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from turnlab.schemas import MANIFEST
+
 
 def write_csv(df, path, encoding="UTF-8"):
     df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
@@ -18,6 +22,32 @@ def write_report(tables, directory, fmt="parquet"):
         writer.format(fmt).save(f"{directory}/{name}")
 
 
+def _bundle_version(spark, directory):
+    try:
+        return spark.read.schema(MANIFEST).json(f"{directory}/manifest").agg(F.max("version")).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def write_bundle(tables, directory, fmt="parquet"):
+    """Named tables as one bundle, all or nothing, beside the earlier ones; ``sources.readers.read_bundle`` reads the newest.
+
+    Tables go to a folder of this run. Only when all are written is the bundle named in the manifest, by one file that
+    the writing job's commit moves into place. If a table fails, the earlier bundle stays the newest.
+    """
+    if not tables:
+        raise ValueError("a bundle has at least one table")
+    spark = next(iter(tables.values())).sparkSession
+    run = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.option("header", True).format(fmt).save(f"{directory}/{run}/{name}")
+    version = _bundle_version(spark, directory) + 1
+    entries = spark.createDataFrame([(version, run, name, fmt, f"{run}/{name}") for name in tables], MANIFEST)
+    entries.coalesce(1).write.mode("append").json(f"{directory}/manifest")
+
+
 def pipe_lines(turns, speaker="speaker", text="utterance", labels="da_labels"):
     """``speaker|text|label,label`` as a one-column table."""
     packed = F.array_join(F.array_sort(F.array_distinct(F.col(labels))), ",")
