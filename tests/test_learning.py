@@ -119,3 +119,20 @@ def test_scoring_in_batches(spark):
     df = spark.createDataFrame([(i, "x y" if i % 2 else None) for i in range(150)], "id long, text string").repartition(3)
     got = scoring.score(df, "text", scoring.lexicon_scorer([["x", "y"], ["z"]]), batch=7).collect()
     assert all(r["probs"] == ([2.0, 0.0] if r["id"] % 2 else [0.0, 0.0]) for r in got) and len(got) == 150
+
+
+def test_distinct_texts_are_scored_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def run(texts):
+            seen.add(len(texts))
+            return [[float(len(x))] for x in texts]
+        return run
+
+    data = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else "" if i % 11 == 0 else f"text {i % 5}" * (i % 4)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, text string").repartition(5)
+    got = {r["id"]: (r["text"], r["probs"]) for r in scoring.score_distinct(df, "text", load, batch=4).collect()}
+    assert got == {i: (x, [float(len(x or ""))]) for i, x in data}
+    assert seen.value == len({x or "" for _, x in data})
+    assert scoring.score_distinct(df.limit(0), "text", load).columns == ["id", "text", "probs"]

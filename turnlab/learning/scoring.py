@@ -24,6 +24,19 @@ def score(t, text, load_scorer, name="probs", batch=64):
     return t.mapInPandas(run, schema)
 
 
+def score_distinct(t, text, load_scorer, name="probs", batch=64):
+    """``score`` with one scoring per distinct text, whatever the number of rows that hold it.
+
+    A repeated text is one row before anything is shuffled by it. A task's texts are put in order of length, so that a batch
+    holds texts of like length. Scores are joined back by text; of a text that a large part of the rows hold,
+    the rows are split by adaptive execution. A missing text is scored as an empty one.
+    """
+    key = F.coalesce(F.col(text), F.lit("")).alias("_text")
+    texts = t.select(key).distinct().sortWithinPartitions(F.length("_text"), "_text")
+    scored = score(texts, "_text", load_scorer, name, batch)
+    return t.select("*", key).join(scored, "_text").select(*t.columns, name)
+
+
 def reply(t, prompt, load_scorer, name="reply", batch=8):
     """Add a model's text reply to every prompt; the scorer returns one text per prompt."""
     schema = T.StructType(t.schema.fields + [T.StructField(name, T.StringType())])

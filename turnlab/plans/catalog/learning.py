@@ -278,18 +278,30 @@ COUNTS = ", ".join(
     for i, words in enumerate(CLASS_WORDS))
 
 
-@on_table("scored_utterances", "conversations", f"""
+SCORED = f"""
 WITH s AS (SELECT conv_id, turn, {COUNTS} FROM conversations),
 e AS (SELECT *, exp(s0) + exp(s1) + exp(s2) AS total FROM s)
 SELECT conv_id, turn, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 'Compliance' WHEN s1 >= s2 THEN 'Neutral' ELSE 'Resistance' END AS pr_label,
-       round(exp(greatest(s0, s1, s2)) / total, 8) AS pr_confidence FROM e""")
-def scored_utterances(c):
-    scored = scoring.score(c.select("conv_id", "turn", "text"), "text", scoring.lexicon_scorer(CLASS_WORDS), "logits")
+       round(exp(greatest(s0, s1, s2)) / total, 8) AS pr_confidence FROM e"""
+
+
+def labelled_by(scorer, c):
+    scored = scorer(c.select("conv_id", "turn", "text"), "text", scoring.lexicon_scorer(CLASS_WORDS), "logits")
     probs = scored.select("conv_id", "turn", sc.softmax("logits").alias("p"))
     return probs.select("conv_id", "turn", sc.top_label("p", ["Compliance", "Neutral", "Resistance"]).alias("pr_label"),
                         F.round(sc.confidence("p"), 8).alias("pr_confidence"))
 
 
+@on_table("scored_utterances", "conversations", SCORED)
+def scored_utterances(c):
+    return labelled_by(scoring.score, c)
+
+
+@on_table("scored_distinct_texts", "conversations", SCORED)
+def scored_distinct_texts(c):
+    return labelled_by(scoring.score_distinct, c)
+
+
 @on_table("prompted_labels", "conversations", """
 SELECT conv_id AS dialogue_id, turn AS idx,
        CASE WHEN len(list_filter(string_split_regex('Is this manipulative? ' || text, '\\s+'), lambda w: w <> '')) > 30
