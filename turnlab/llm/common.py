@@ -14,10 +14,12 @@ def read_table(spark, sf_dir, name):
 
 
 def shared_dir(spark):
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session one of our own where it is unset."""
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="turnlab-shared-")
         context.setCheckpointDir(at)
     return at.rstrip("/")
