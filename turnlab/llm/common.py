@@ -30,11 +30,27 @@ def scratch(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df, name):
-    """``df`` written to the shared folder and read again: no lineage, nothing lost with an executor."""
+def cut(df, name, read=()):
+    """``df`` written to the shared folder and read again: no lineage, nothing lost with an executor.
+
+    ``read`` are tables of this function that nothing but ``df`` reads; they are deleted once ``df`` is written.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    done(*read)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def done(*tables):
+    """Deletes tables of ``cut`` that nothing reads any more; other DataFrames are passed over."""
+    for table in tables:
+        path = vars(table).get("cut_path")
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark, rows=500, size="8m"):

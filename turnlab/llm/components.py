@@ -11,7 +11,8 @@ def connected_components(edges, most_rounds=60):
     Alternating star contraction: a round links each larger neighbour of a node to the smallest one, then each
     node and its smaller neighbours to the smallest, until the table stays the same (about log of the number of
     nodes rounds). Links never grow in number. The minimum of a hot node is combined before the shuffle, and its
-    links are joined with one row, which adaptive execution splits. Each round is a written table.
+    links are joined with one row, which adaptive execution splits. Each round is a written table, which goes when the
+    next one is written.
     Nulls and loops are left out; no edges give no rows; repeated edges count once.
     """
     now = (edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
@@ -24,7 +25,7 @@ def connected_components(edges, most_rounds=60):
             return (now.select(F.col("a").alias("node"), F.col("b").alias("component"))
                     .union(now.select("b", "b")).distinct())
         was = mark
-        now = cut(_small_star(_large_star(now)), "links")
+        now = cut(_small_star(_large_star(now)), "links", read=[now])
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
