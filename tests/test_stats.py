@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -76,6 +77,42 @@ def test_mann_whitney_against_ranks(spark):
     assert got["z"] == pytest.approx(z) and got["p_value"] == pytest.approx(min(1, math.erfc(z / math.sqrt(2))))
 
 
+@pytest.mark.parametrize("sizes", [(1, 1), (3, 4), (5, 2), (6, 6), (8, 5)])
+def test_small_groups_have_the_exact_rank_sum_p(spark, sizes):
+    """Against all choices of the first group's ranks."""
+    rng = random.Random(sum(sizes))
+    n = sum(sizes)
+    us = [sum(ranks) - sizes[0] * (sizes[0] - 1) // 2 for ranks in itertools.combinations(range(n), sizes[0])]
+    for shift in (0, .4):
+        a, b = [rng.random() + shift for _ in range(sizes[0])], [rng.random() for _ in range(sizes[1])]
+        u = sum(x > y for x in a for y in b)
+        top = max(u, len(a) * len(b) - u)
+        df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b], "g string, v double").repartition(3)
+        got = stats.mann_whitney(df, "g", "v", "a", "b").first()
+        assert got["exact"] and got["p_value"] == pytest.approx(min(1, 2 * sum(x >= top for x in us) / len(us)))
+    tied = df.union(spark.createDataFrame([("a", b[0])], "g string, v double"))
+    assert not stats.mann_whitney(tied, "g", "v", "a", "b").first()["exact"]
+
+
+def test_exact_rank_sum_p_at_its_largest(spark):
+    """8 against 500 rows: every choice of 8 ranks whose sum is as low counts, by a plain table of counts."""
+    df = spark.createDataFrame([("a", i * 62 + .5) for i in range(8)] + [("b", float(i)) for i in range(500)], "g string, v double")
+    got = stats.mann_whitney(df, "g", "v", "a", "b").first()
+    low = int(min(got["u_a"], got["u_b"]))
+    ways = {(0, 0): 1}
+    for rank in range(1, 509):
+        for (k, u), w in list(ways.items()):
+            if k < 8 and u + rank - k - 1 <= low:
+                ways[k + 1, u + rank - k - 1, rank] = w
+        for key in [x for x in ways if len(x) == 3]:
+            ways[key[:2]] = ways.get(key[:2], 0) + ways.pop(key)
+    want = 2 * sum(w for (k, _), w in ways.items() if k == 8) / math.comb(508, 8)
+    assert got["exact"] and got["p_value"] == pytest.approx(min(1, want))
+    assert not stats.mann_whitney(df, "g", "v", "a", "b", exact_cells=3_999).first()["exact"]
+    empty = stats.mann_whitney(df, "g", "v", "a", "none").first()
+    assert empty["z"] is None and empty["p_value"] == 1 and not empty["exact"]
+
+
 def test_logit_is_the_log_odds_ratio(spark):
     cells = {("ap", "Compliance"): 30, ("ap", "Resistance"): 10, ("pa", "Compliance"): 8, ("pa", "Resistance"): 12}
     df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "act string, out string")

@@ -13,6 +13,9 @@ from turnlab.functions.counts import rows_n
 from turnlab.operators.ordering import cumulate
 from turnlab.functions.labels import one_hot
 
+EXACT_MOST = 8          # rows of the smaller group up to which a rank-sum test is exact, as usual in such tests
+EXACT_CELLS = 4_000     # pairs of rows up to which it is: the exact count takes about their number squared
+
 
 def erfc(z):
     """Complementary error function of a non-negative Column, for the few rows of a finished test.
@@ -123,11 +126,38 @@ def assoc_p_values(assoc, level=0.05):
     return tested.withColumn("sig", F.when(F.col("p_value") < level, "*").otherwise(""))
 
 
-def mann_whitney(df, group, x, a, b, p_value=True):
-    """Two-sided rank-sum test of x between groups a and b (normal approximation, tie-corrected).
+def exact_u_two_sided(low, n_a, n_b):
+    """Exact two-sided p of a rank-sum statistic whose smaller side is ``low``, for groups without ties.
+
+    Values are taken in rank order; the k-th one that falls to the smaller group leaves (rank - k) of the other group
+    below it. ``ways[k][u]`` counts the choices of k values so far that leave u below, up to ``low`` only; after rank
+    low + k nothing more can add to them.
+    """
+    low = F.round(low).cast("int")
+    k_most = F.least(n_a, n_b).cast("int")
+    total = (n_a + n_b).cast("int")
+    below = F.sequence(F.lit(0), low)
+    start = F.transform(F.sequence(F.lit(0), k_most), lambda k: F.transform(
+        below, lambda u: F.when((k == 0) & (u == 0), F.lit(1.0)).otherwise(F.lit(0.0))))
+
+    def take(ways, rank):
+        return F.transform(ways, lambda row, k: F.transform(row, lambda n, u: n + F.when(
+            (k > 0) & (k <= rank) & (u >= rank - k), F.get(F.get(ways, k - 1), u - rank + k)).otherwise(F.lit(0.0))))
+
+    ranks = F.sequence(F.lit(1), F.least(total, low + k_most))
+    ways = F.aggregate(ranks, start, take)
+    hits = F.aggregate(F.get(ways, k_most), F.lit(0.0), lambda a, n: a + n)
+    choices = F.aggregate(F.sequence(F.lit(1), k_most), F.lit(1.0), lambda a, i: a * (total - k_most + i) / i)
+    return F.least(F.lit(1.0), 2 * hits / choices)
+
+
+def mann_whitney(df, group, x, a, b, p_value=True, exact_cells=EXACT_CELLS):
+    """Two-sided rank-sum test of x between groups a and b.
 
     Works on the count per distinct value and the counts below it, so no rank is ever assigned to a
-    row and no task sees all values.
+    row and no task sees all values. The p value is exact (``exact`` is true) where no two values are equal, a group has
+    at most EXACT_MOST rows and n_a * n_b is at most ``exact_cells``; else it is that of the normal approximation,
+    corrected for ties, and 1 where there is no z (an empty group, all values equal).
     """
     counts = (df.where(F.col(group).isin(a, b) & F.col(x).isNotNull()).groupBy(x)
               .agg(F.count_if(F.col(group) == a).alias("na"),
@@ -143,12 +173,18 @@ def mann_whitney(df, group, x, a, b, p_value=True):
     n, mean = na + nb, na * nb / 2
     spread = F.sqrt(na * nb / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
     top = F.greatest("u_a", "u_b")
-    out = sums.select("n_a", "n_b", "u_a", "u_b",
-                      F.try_divide(top - mean - 0.5, spread).alias("z"))
+    out = sums.select("n_a", "n_b", "u_a", "u_b", F.try_divide(top - mean - 0.5, spread).alias("z"), "_ties")
     if p_value:
+        exact = ((F.col("_ties") == 0) & F.least("n_a", "n_b").between(1, EXACT_MOST)
+                 & (F.col("n_a") * F.col("n_b") <= exact_cells))
+        out = out.withColumn("exact", F.coalesce(exact, F.lit(False)))
+        # Not asked for elsewhere, so that a large statistic never becomes the length of an array.
+        low, n_a, n_b = (F.when(F.col("exact"), c).otherwise(F.lit(other)) for c, other in (
+            (F.least("u_a", "u_b"), 0), (F.col("n_a"), 1), (F.col("n_b"), 1)))
         z = F.greatest("z", F.lit(0.0))
-        out = out.withColumn("p_value", F.least(normal_two_sided(z), F.lit(1.0)))
-    return out
+        out = out.withColumn("p_value", F.when(F.col("exact"), exact_u_two_sided(low, n_a, n_b)).otherwise(
+            F.least(normal_two_sided(z), F.lit(1.0)))).select("n_a", "n_b", "u_a", "u_b", "z", "p_value", "exact")
+    return out.drop("_ties")
 
 
 def _by_category(df, label, positive, category):
