@@ -1,4 +1,4 @@
-"""Secret scans by assignment-aware lexing."""
+"""Secret scans by assignment-aware lexing (``lexing``): literals are scored by the names that they are assigned to."""
 
 import math
 import re
@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from turnlab.llm.common import with_columns
+from turnlab.llm.lexing import name_literal_pairs
 
 #: Kinds in the order that breaks ties of start; the last one is what lexing adds.
 KINDS = ("assign", "access", "hex", "lexed")
@@ -36,18 +37,7 @@ PLACEHOLDERS = {"changeme", "change_me", "password", "passwd", "secret", "token"
                 "undefined", "redacted", "required", "optional", "string", "placeholder", "your_password",
                 "your_token", "example", "unknown", "default", "disabled", "enabled"}
 
-# name = literal, name: literal, "name": literal, export NAME=literal, name := literal, <name>literal</name>
-# Names, blanks and literals have no greatest length: a literal goes to its closing quote or to the end of its run of
-# allowed characters. A name starts after a quote or at a left boundary (digits, dots and dashes in front of it are
-# passed over) and runs give nothing back, so the search stays linear.
-_PAIR = re.compile(
-    r"""(?P<q>["']|(?<![A-Za-z0-9_.\-]))[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)"""
-    r"""[ \t]*+(?::=|=>|[:=](?![:=]))[ \t]*+"""
-    r"""(?:"(?P<double>[^"\n]*+)"|'(?P<single>[^'\n]*+)'|(?P<ref>\$\{?[A-Za-z_][A-Za-z0-9_]*+\}?)"""
-    r"""|(?P<bare>[A-Za-z0-9+/_.=\-!@$%^&*?~]++))""")
-_TAG = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)>(?P<value>[^<>\s]++)</(?P=name)>")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 
 def name_score(name):
@@ -60,37 +50,26 @@ def name_score(name):
                default=0)
 
 
-def literal_score(value):
-    """How much a literal looks like a secret, 0 to 3: its length, character classes and entropy."""
-    if len(value) < 6 or value.lower().strip("<>{}[]*") in PLACEHOLDERS or len(set(value)) < 4:
+def literal_score(*parts, counted=None):
+    """How much a literal looks like a secret, 0 to 3: its length, character classes and entropy.
+
+    A joined literal has several parts. ``counted`` remembers the characters of a part, which many names may refer to.
+    """
+    n, total = sum(map(len, parts)), Counter()
+    for part in parts:
+        if counted is None or len(part) < 100:
+            total.update(part)
+        else:
+            if id(part) not in counted:
+                counted[id(part)] = Counter(part)
+            total.update(counted[id(part)])
+    if n < 6 or n < 40 and "".join(parts).lower().strip("<>{}[]*") in PLACEHOLDERS or len(total) < 4:
         return 0
-    if any(c.isspace() for c in value):
+    if any(c.isspace() for c in total):
         return 0
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    counts = [n / len(value) for n in Counter(value).values()]
-    entropy = -sum(p * math.log2(p) for p in counts)
-    return (classes >= 2) + (entropy >= 3) + (len(value) >= 16 and entropy >= 3.5)
-
-
-def name_literal_pairs(text):
-    """(name, value, start, end) of the assignments of a text, in text order; ``start`` and ``end`` are those of
-    the literal. A bare identifier or ``$NAME`` that an earlier assignment bound to a literal stands for
-    that literal (constant propagation): its pair has the earlier literal's place and the later name."""
-    if "=" not in text and ":" not in text and "</" not in text:
-        return []
-    bound, pairs = {}, []
-    for m in _PAIR.finditer(text):
-        kind = next(k for k in ("double", "single", "ref", "bare") if m.group(k) is not None)
-        value, at = m.group(kind), m.span(kind)
-        if kind in ("ref", "bare"):
-            known = bound.get(value.strip("${}")) if kind == "ref" or _IDENTIFIER.match(value) else None
-            if known:
-                value, at = known
-        if value and not value.startswith("${"):
-            bound[m.group("name")] = (value, at)
-            pairs.append((m.group("name"), value, *at))
-    pairs += [(m.group("name"), m.group("value"), *m.span("value")) for m in _TAG.finditer(text)]
-    return pairs
+    classes = sum(any(f(c) for c in total) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -sum(m / n * math.log2(m / n) for m in total.values())
+    return (classes >= 2) + (entropy >= 3) + (n >= 16 and entropy >= 3.5)
 
 
 def base_spans(text):
@@ -104,13 +83,14 @@ def base_spans(text):
 
 def lexed_spans(text, least=4):
     """(start, kind number, end) of literals whose name and looks together score ``least`` or more."""
-    found = set()
-    for name, value, start, end in name_literal_pairs(text):
+    found, counted = set(), {}
+    pairs = name_literal_pairs(text)
+    for name, parts, places in pairs:
         name_part = name_score(name)
         if name_part >= 2:
-            literal = literal_score(value)
+            literal = literal_score(*parts, counted=counted)
             if literal and name_part + literal >= least:
-                found.add((start, 3, end))
+                found.update((start, 3, end) for start, end in places)
     return sorted(found)
 
 
