@@ -10,6 +10,7 @@ import re
 from html import unescape
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from turnlab.llm.common import cut, small_batches, with_columns
 
 LEAST_PAGES = 5     # aligned pages from which a slot may be called constant
 SHARE = 0.9         # of aligned pages that carry the reference's text in a constant slot
-_MATCHED_CELLS = 40_000  # of child pairs above which children of one shape are paired in order
+_WIDE = 2_000       # child pairs from which lists of children are aligned row by row in arrays, with the same weight
 
 #: Fixed values of HTML: elements without an end, raw text, block elements, and what a start tag ends.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -41,6 +42,11 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "replies", "respond", "related", "recommended", "recommendations", "share", "sharing", "social", "search",
          "pagination", "pager", "widget", "widgets", "toolbar", "skip", "legal", "copyright", "alert"}
 
+#: What may stand beside such a part in a class name inside an article ("share-buttons", but not "share-price").
+BESIDE = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "form", "group", "holder", "icons",
+          "inline", "inner", "item", "items", "left", "link", "links", "list", "panel", "post", "posts", "right", "section",
+          "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -50,10 +56,10 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """A block element: label, child nodes and blocks of text in page order, and whether it may hold content."""
 
-    __slots__ = ("tag", "label", "items", "kids", "size", "shape", "outside", "main", "holds")
+    __slots__ = ("tag", "label", "items", "kids", "size", "shape", "outside", "main", "holds", "inside")
 
     def __init__(self, tag, label, outside, main):
-        self.tag, self.label, self.items, self.outside, self.main = tag, label, [], outside, main
+        self.tag, self.label, self.items, self.outside, self.main, self.inside = tag, label, [], outside, main, main
 
     def close(self):
         """Sizes and shapes, children first (no recursion: pages may nest deeply)."""
@@ -73,14 +79,26 @@ class Node:
         return "\n".join(x for x in self.items if isinstance(x, str))
 
 
-def _node(tag, raw):
+def _named(known, inside):
+    """Whether class or id names mark no content: any part of one, or inside an article names that say nothing else."""
+    for key in ("class", "id"):
+        for token in known.get(key, "").split():
+            parts = {p.lower() for p in _PART.findall(token)}
+            if parts & NAMES and (not inside or parts <= NAMES | BESIDE):
+                return True
+    return False
+
+
+def _node(tag, raw, inside=False):
     known = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
-    names = {p.lower() for key in ("class", "id") for p in _PART.findall(known.get(key, ""))}
-    outside = (tag in OUTSIDE or bool(names & NAMES) or known.get("role", "").lower() in ROLES or "hidden" in known
+    named = _named(known, inside)
+    outside = (tag in OUTSIDE or named or known.get("role", "").lower() in ROLES or "hidden" in known
                or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower())
     main = tag in ("article", "main") or known.get("role") == "main" or "articleBody" in known.get("itemprop", "")
-    return Node(tag, " ".join([tag, *sorted(known.get("class", "").split())]), outside and not (
-        main and tag in ("article", "main") and not names & NAMES), main)
+    node = Node(tag, " ".join([tag, *sorted(known.get("class", "").split())]), outside and not (
+        main and tag in ("article", "main") and not named), main)
+    node.inside = inside or main
+    return node
 
 
 def parse(html):
@@ -125,7 +143,7 @@ def parse(html):
             else:
                 hidden = None
                 _end_implied(stack, tag)
-                node = _node(tag, found.group(3))
+                node = _node(tag, found.group(3), stack[-1].inside)
                 stack[-1].items.append(node)
                 stack.append(node)
         elif tag in ("br", "td", "th", "hr", "img", "option"):
@@ -133,7 +151,7 @@ def parse(html):
         elif hidden:
             hidden = (tag, hidden[1] + (-1 if end else 1)) if tag == hidden[0] else hidden
             hidden = hidden if hidden[1] else None
-        elif not end and tag not in VOID and found.group(3) and _node(tag, found.group(3)).outside:
+        elif not end and tag not in VOID and found.group(3) and _node(tag, found.group(3), stack[-1].inside).outside:
             hidden = (tag, 1)
     else:
         at = n
@@ -157,6 +175,34 @@ def _end_implied(stack, tag):
             return
 
 
+def _most_matched(ours, theirs, weights):
+    """For each first part of ``theirs`` the greatest weight of order-keeping pairs with all of ``ours``."""
+    best = np.zeros(len(theirs) + 1, np.int64)
+    for row in weights[:, theirs][ours] if len(ours) * len(theirs) < 100_000 else (weights[i, theirs] for i in ours):
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row))
+    return best
+
+
+def _paired(ours, theirs, weights):
+    """The pairs (i, j) of a greatest weight, found by halves: memory grows with the lengths, not with their product."""
+    out, todo = [], [(0, len(ours), 0, len(theirs))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            j = int(np.argmax(weights[ours[a], theirs[c:d]]))
+            if weights[ours[a], theirs[c + j]]:
+                out.append((a, c + j))
+            continue
+        half = (a + b) // 2
+        first = _most_matched(ours[a:half], theirs[c:d], weights)
+        rest = _most_matched(ours[half:b][::-1], theirs[c:d][::-1], weights)[::-1]
+        at = c + int(np.argmax(first + rest))
+        todo += [(a, half, c, at), (half, b, at, d)]
+    return sorted(out)
+
+
 def match_trees(a, b):
     """Pairs (node of a, node of b) of a simple tree matching: equal labels, order kept, most nodes matched."""
     if a.label != b.label:
@@ -167,7 +213,7 @@ def match_trees(a, b):
         """Most nodes that can be matched in two subtrees, None where it is not counted yet."""
         if x.label != y.label:
             return 0
-        return x.size if x.shape == y.shape else sizes.get((id(x), id(y)))
+        return x.size if x.shape == y.shape else sizes.get((x.shape, y.shape))
 
     def weight(x, y):
         """``known`` of the pair, its inner pairs counted first (no recursion: pages may nest deeply)."""
@@ -175,16 +221,30 @@ def match_trees(a, b):
         while todo:
             s, t = todo[-1]
             if known(s, t) is None:
-                p, q = middle(s, t)[1:3]
-                inner = zip(p, q) if len(p) * len(q) > _MATCHED_CELLS else ((c, d) for c in p for d in q)
-                missing = [(c, d) for c, d in inner if known(c, d) is None]
+                head, p, q, tail = middle(s, t)
+                missing = [(c, d) for c in unlike(p).values() for d in unlike(q).values() if known(c, d) is None]
                 if missing:
                     todo += missing
                     continue
-                sizes[id(s), id(t)] = 1 + sum(w for *_, w in children(s, t))
+                if len(p) * len(q) > _WIDE:
+                    ours, theirs, weights = weighed(p, q)
+                    most = 1 + int(_most_matched(ours, theirs, weights)[-1]) + sum(w for *_, w in head + tail)
+                else:
+                    most = 1 + sum(w for *_, w in children(s, t))
+                sizes[s.shape, t.shape] = most
             todo.pop()
         return known(x, y)
 
+    def unlike(kids):
+        return {k.shape: k for k in kids}
+
+    def weighed(p, q):
+        """Two lists of children as numbers of their shapes, and the weights of shapes with each other."""
+        rows, columns = unlike(p), unlike(q)
+        weights = np.array([[weight(c, d) for d in columns.values()] for c in rows.values()], np.int64)
+        rows, columns = ({shape: i for i, shape in enumerate(x)} for x in (rows, columns))
+        return np.array([rows[c.shape] for c in p]), np.array([columns[d.shape] for d in q]), weights
+
     def middle(x, y):
         """(pairs of equal first children, what lies between in either list, pairs of equal last children)."""
         p, q, head, tail = x.kids, y.kids, [], []
@@ -201,8 +261,8 @@ def match_trees(a, b):
     def children(x, y):
         """The best order-keeping pairs (child, child, weight)."""
         found, p, q, tail = middle(x, y)
-        if len(p) * len(q) > _MATCHED_CELLS:
-            found += [(s, t, weight(s, t)) for s, t in zip(p, q) if s.label == t.label]
+        if len(p) * len(q) > _WIDE:
+            found += [(p[i], q[j], weight(p[i], q[j])) for i, j in _paired(*weighed(p, q))]
         elif p and q:
             best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
             for i in range(len(p) - 1, -1, -1):
@@ -315,12 +375,15 @@ def _has_main(root):
 
 
 def extract_text(html, wrapper=None):
-    """The main text of a page by a host's wrapper (None: only what its own markup says)."""
+    """The main text of a page by a host's wrapper (None: only what its own markup says).
+
+    A page of which the wrapper would leave nothing, as on a host whose pages are all versions of one, keeps what its markup says.
+    """
     root = parse(html)
     template = ()
     if wrapper and wrapper.constant:
         template = {id(node) for node, slot, same in wrapper.aligned(root) if same and slot in wrapper.constant}
-    return "\n".join(content(root, template))
+    return "\n".join(content(root, template) or content(root))
 
 
 def _host(url):
@@ -330,8 +393,8 @@ def _host(url):
 def induce(pages, page_id="page_id", url="url", html="html"):
     """(host, skeleton, constant): the wrapper of every host.
 
-    The reference is the host's page of smallest id (of equal ids that of least url and html). Every page of the host
-    is aligned with it; slots are counted map-side, so a hot host is no hot task.
+    The reference is the host's page of smallest id (of equal ids that of least html). Every different page of the host
+    is aligned with it (copies count once); slots are counted map-side, so a hot host is no hot task.
     """
     rows = pages.where(F.col(html) != "").select(
         _host(url).alias("host"), F.col(page_id).alias("id"), F.col(html).alias("html"))
@@ -359,7 +422,10 @@ def induce(pages, page_id="page_id", url="url", html="html"):
                     n[1] += same
             yield pd.DataFrame([(*k, *n) for k, n in counts.items()], columns=["host", "slot", "n", "same"])
 
-    seen = (rows.join(references, "host").select("host", "html", "skeleton")
+    copy = F.xxhash64("html")
+    once = rows.groupBy("host", copy.alias("copy")).agg(F.min("id").alias("id"))
+    different = rows.withColumn("copy", copy).join(once, ["host", "copy", "id"], "left_semi")
+    seen = (different.join(references, "host").select("host", "html", "skeleton")
             .mapInPandas(align, "host string, slot int, n long, same long")
             .groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same")))
     constant = (seen.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n")))
