@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -62,6 +63,28 @@ def test_yates_and_degenerate_tables(spark):
     assert stats.chi_square(missing, "r", "c").first()["chi2"] == pytest.approx(want)
 
 
+def test_chi_square_of_a_large_table_keeps_its_digits(spark):
+    rng = random.Random(5)
+    cells = [(f"r{i}", c, rng.randint(4, 9) * 10 ** rng.randint(6, 10)) for i in range(40) for c in range(2) if i % 5 or c]
+    rows, cols, n = {}, {}, sum(k for *_, k in cells)
+    for r, c, k in cells:
+        rows[r], cols[c] = rows.get(r, 0) + k, cols.get(c, 0) + k
+    seen = {(r, c): k for r, c, k in cells}
+    expected = {(r, c): Fraction(rows[r] * cols[c], n) for r in rows for c in cols}
+    want = float(sum((seen.get(x, 0) - e) ** 2 / e for x, e in expected.items()))
+    table = spark.createDataFrame(cells, "r string, c int, n long")
+    with pytest.MonkeyPatch.context() as patch:  # counted already, as no test has so many rows
+        patch.setattr(stats, "cell_counts", lambda *_: table)
+        assert stats.chi_square(table, "r", "c").first()["chi2"] == pytest.approx(want, rel=1e-14, abs=0)
+        # nearly independent: a small statistic of large counts
+        even = [(r, c, 10 ** 9 + (r == 0 and c == 0)) for r in range(3) for c in range(3)]
+        total = sum(k for *_, k in even)
+        sides = [sum(k for r, _, k in even if r == i) for i in range(3)]
+        want = sum((k - Fraction(sides[r] * sides[c], total)) ** 2 / Fraction(sides[r] * sides[c], total) for r, c, k in even)
+        table = spark.createDataFrame(even, "r int, c int, n long")
+        assert stats.chi_square(table, "r", "c").first()["chi2"] == pytest.approx(float(want), rel=1e-12, abs=0)
+
+
 def test_mann_whitney_against_ranks(spark):
     rng = random.Random(8)
     data = [(rng.choice("ab"), round(rng.random(), 1) if rng.random() < .5 else rng.random()) for _ in range(400)]

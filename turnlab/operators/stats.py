@@ -86,25 +86,27 @@ def expected_counts(df, row, col):
 def chi_square(df, row, col, p_value=True):
     """Pearson test of independence: statistic, degrees of freedom, p.
 
-    Cells that do not occur need no row: sum((o-e)^2/e) = n * (sum(o^2 / (r c)) - 1). With one
-    degree of freedom the continuity correction applies, as is usual for 2x2 tables. The statistic
-    is NULL when a table has a single row or column.
+    Cells that do not occur need no row: together they add their expected counts, (n^2 - sum(r c)) / n. Differences are
+    taken between whole numbers, so that a large table loses no digits. With one degree of freedom the continuity correction
+    applies, as is usual for 2x2 tables. The statistic is NULL when a table has a single row or column.
     """
     cells = _with_margins(cell_counts(df, row, col), row, col)
-    o, r, c, n = (F.col(x).cast("double") for x in ("n", "_r", "_c", "_n"))
+    r, c, n = (F.col(x).cast("double") for x in ("_r", "_c", "_n"))
+    whole = {x: F.col(x).cast("decimal(18,0)") for x in ("n", "_r", "_c", "_n")}
+    gap = (whole["n"] * whole["_n"] - whole["_r"] * whole["_c"]).cast("double")  # n (o - e)
     sums = cells.agg(
         F.count_distinct(row).alias("_rows"), F.count_distinct(col).alias("_cols"),
-        F.max("_n").alias("n"), F.sum(o * o / (r * c)).alias("_s"),
-        F.max(F.abs(o - r * c / n)).alias("_d"),
+        F.max("_n").alias("n"), F.sum(gap * gap / (n * r * c)).alias("_s"),
+        F.sum(whole["_r"] * whole["_c"]).alias("_e"), F.max(F.abs(gap) / n).alias("_d"),
         F.min(r).alias("_rmin"), F.min(c).alias("_cmin"))
-    total = F.col("n").cast("double")
+    total, whole_n = F.col("n").cast("double"), F.col("n").cast("decimal(18,0)")
     dof = (F.col("_rows") - 1) * (F.col("_cols") - 1)
-    plain = total * (F.col("_s") - 1)
+    plain = F.col("_s") + (whole_n * whole_n - F.col("_e")).cast("double") / total
     # sum of 1/e over a 2x2 table; its second row and column sum follow from the first
     inverse = total * (1 / F.col("_rmin") + 1 / (total - F.col("_rmin"))) * (
         1 / F.col("_cmin") + 1 / (total - F.col("_cmin")))
     left = F.col("_d") - F.least(F.lit(0.5), F.col("_d"))
-    statistic = F.when(dof > 1, F.greatest(plain, F.lit(0.0))).when(dof == 1, left * left * inverse)
+    statistic = F.when(dof > 1, plain).when(dof == 1, left * left * inverse)
     out = sums.select(statistic.alias("chi2"), dof.cast("long").alias("dof"), "n")
     return out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof"))) if p_value else out
 
