@@ -107,6 +107,50 @@ def test_fit_score_and_importance(spark):
     assert boosting.permutation_importance(table.limit(0), models_[0], "kind", "idx").where("importance is not null").count() == 0
 
 
+@pytest.mark.parametrize("loss, outputs", [("softmax", 3), ("logistic", 2)])
+def test_tasks_that_share_the_features_make_the_same_model(spark, loss, outputs):
+    rows, kind = fixture(5, n=300, width=7)
+    rows, kind = rows + rows[:40], kind + kind[:40]  # equal rows
+    table = spark.createDataFrame([(SparseVector(7, [i for i, v in enumerate(r) if v], [v for v in r if v]),
+                                    [float(k == c) for c in range(outputs)]) for r, k in zip(rows, kind)], ["features", "target"])
+    one, *others = (boosting.fit(table.repartition(n), "target", loss, trees=4, depth=3, tasks=n) for n in (1, 3, 8))
+    assert len(one.trees) == 4 and all(m.trees == one.trees and m.gain == one.gain for m in others)  # 8: a task without features
+
+
+def test_a_fit_takes_as_many_tasks_as_its_values_are_worth(spark):
+    assert [boosting._tasks(spark, n * boosting.ENTRIES) for n in (0, 1, 3, 99)] == [1, 1, 3, 8]
+
+
+def plain_importance(model, rows, gold, order):
+    """Hits lost when the rows in ``order`` each take the next one's value of a feature."""
+    def guess(row):
+        total = list(model.base)
+        for t in model.trees:
+            at = 0
+            while t.feature[at] >= 0:
+                at = t.right[at] - (row[t.feature[at]] <= t.threshold[at])
+            total = [a + b for a, b in zip(total, t.value[at])]
+        return total.index(max(total))
+
+    out = {}
+    for f in model.used():
+        dealt = {i: [*rows[i][:f], rows[j][f], *rows[i][f + 1:]] for i, j in zip(order, order[1:] + order[:1])}
+        out[f] = sum((guess(rows[i]) == gold[i]) - (guess(dealt[i]) == gold[i]) for i in order) / len(order)
+    return out
+
+
+def test_importance_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_CHUNK", 64)
+    rows, kind = fixture(9, n=200)
+    model = boosting.learn(*sparse(rows), np.array([[float(k == c) for c in range(3)] for k in kind]), trees=6, depth=3)
+    table = spark.createDataFrame([(i, DenseVector(r), k) for i, (r, k) in enumerate(zip(rows, kind))], ["idx", "features", "kind"])
+    order = [r.idx for r in table.orderBy(F.xxhash64(F.lit(42), "idx")).collect()]
+    found = {r.feature: r.importance for r in boosting.permutation_importance(table, model, "kind", "idx").collect()}
+    assert found == pytest.approx(plain_importance(model, rows, kind, order))
+    assert np.allclose(model.margins(lambda f: np.array(rows, float)[:, f], 200),
+                       model.margins(lambda f: np.array(rows, float)[:, f], 200, model.trees))
+
+
 def test_nothing_to_split():
     model = boosting.learn(*sparse([[0, 1]] * 4), np.array([[1.0], [0], [1], [0]]), "logistic")
     assert model.trees == [] and model.margins(None, 2).tolist() == [[0.0], [0.0]]
@@ -134,3 +178,11 @@ def test_least_rows_are_those_of_a_sort(spark):
         want = [r.id for r in df.orderBy("_d").limit(most).collect()]
         assert sorted(r.id for r in least_rows(df, F.col("_d"), "id", most).collect()) == sorted(want)
     assert least_rows(df.limit(0), F.col("_d"), "id", 3).count() == 0
+
+
+def test_least_rows_of_repeated_keys_stay_spread(spark):
+    df = spark.range(3000, numPartitions=6).withColumn("key", F.col("id") % 7).withColumn("_d", F.md5(F.col("key").cast("string")))
+    for most in (1, 500, 2999):
+        assert least_rows(df, F.col("_d"), "key", most).count() == most
+    parts = least_rows(df, F.col("_d"), "key", 2000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 6  # not in one task
