@@ -88,6 +88,24 @@ def test_same_trees_as_a_plain_loop(seed, loss, outputs):
     assert np.allclose(got, plain_margins(rows, target, loss, 5, 3, .3, boosting.LEAST_ROWS), atol=1e-9)
 
 
+@pytest.mark.parametrize("loss, outputs", [("softmax", 3), ("logistic", 2)])
+def test_trees_do_not_depend_on_the_order_of_rows(loss, outputs):
+    rows, kind = fixture(7, n=700)
+    order = np.random.default_rng(1).permutation(len(rows))
+    made = [boosting.learn(*sparse([rows[i] for i in o]), np.array([[float(kind[i] == c) for c in range(outputs)] for i in o]), loss,
+                           trees=4, depth=4) for o in (range(len(rows)), order)]
+    assert made[0].trees == made[1].trees and made[0].gain == made[1].gain  # sums of gradients are exact
+
+
+def test_only_the_smaller_child_is_counted(monkeypatch):
+    rows, kind = fixture(8, n=900, width=12)
+    seen, plain = [], boosting.Histograms.of_nodes
+    monkeypatch.setattr(boosting.Histograms, "of_nodes",
+                        lambda self, held, node, *rest: seen.append(len(held)) or plain(self, held, node, *rest))
+    boosting.learn(*sparse(rows), np.array([[float(k == 0)] for k in kind]), "logistic", trees=3, depth=4)
+    assert 3 <= len(seen) <= 9 and max(seen) <= 450  # of 900 rows; none for the last level, whose nodes are not split
+
+
 def test_fit_score_and_importance(spark):
     rows, kind = fixture(9, n=400)
     vectors = [SparseVector(6, [i for i, v in enumerate(r) if v], [v for v in r if v]) if n % 2 else DenseVector(r)
