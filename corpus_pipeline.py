@@ -24,6 +24,8 @@ def language_id(spark, docs, sf_dir):
 def simhash_dedup(spark, docs, sf_dir):
     """One document of each group of near copies (five-word Jaccard of 0.8 or more): that of the smallest id.
 
+    SimHash fingerprints propose pairs, which are then compared exactly; shared shingles propose what lies more bits apart.
+
     Texts without words are one group. Of repeated rows one stays; an id that repeats with unlike texts keeps a row of each
     group of which it is the smallest. A group without ids keeps one row.
     """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_graph_ops import merged
-from turnlab.llm import jaccard
+from turnlab.llm import jaccard, simhash
 
 
 def shingles(text):
@@ -106,3 +106,31 @@ def test_sketches_never_rule_out_what_is_similar():
             assert differ <= len(np.setxor1d(base, other))
             if jaccard.similar(base, other, .8):
                 assert jaccard.may_be_similar(len(base), len(other), differ, .8)
+
+
+def test_fingerprints_propose_first(spark, monkeypatch):
+    """Near copies a bit or two apart are found by SimHash; pairs further apart are left to shared shingles."""
+    order, compared = random.Random(6), []
+    rows = []
+    for i in range(30):
+        words = [f"w{order.randrange(5000)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] if i < 20 else edited(order, words, .015)))]
+    bits = {d: simhash.majority(jaccard.shingle_set(t)) for d, t in rows}
+    close = {i for i in range(30) if bin((bits[2 * i] ^ bits[2 * i + 1]) & (2**64 - 1)).count("1") <= jaccard.REACH}
+    assert 10 <= len(close) < 30
+    plain = jaccard._compared
+
+    def counted(texts, classes, pairs, *rest):
+        compared.append(pairs.count())
+        return plain(texts, classes, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_compared", counted)
+    kept = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_ids(rows)
+    assert compared[:2] == [len(close), 30 - len(close)] and sum(compared[2:]) <= 2
+
+
+def test_a_common_shingle_does_not_meet_in_one_task(spark):
+    rows = [(7, i, True) for i in range(50)] + [(8, 1, False), (8, 1, False), (9, 1, False), (9, 2, False)]
+    found = jaccard._shared(spark.createDataFrame(rows, "shingle long, fp long, often boolean"))
+    assert sorted(map(tuple, found.collect())) == [(7, i) for i in range(50)] + [(9, 1), (9, 2)]

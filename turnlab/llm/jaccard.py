@@ -1,14 +1,15 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles, found exactly.
+"""Near copies by SimHash and an exact check: all pairs of sets of five-word shingles of a Jaccard similarity of 0.8 or more.
 
-Two sets of similarity ``least`` or more share a shingle among the first (1 - least) of each, in any order that is the
+Each set has a SimHash fingerprint. Those few bits apart are found by the vantage-point tree of ``simhash`` and are the first
+candidates; similar ones are joined to components. Near copies may lie further apart (pairs of similarity 0.83 are found 11 and 17 bits
+apart, where no tree over 64 bits passes anything over), so what fingerprints leave is found by shared shingles. Two sets of similarity ``least`` or more share a shingle among the first (1 - least) of each, in any order that is the
 same for all sets (prefix filter). The order here is rarest first as far as a sample knows, which only saves work.
 Sets that share such a shingle are candidates; shingles held by the same sets count as one group. Before two sets are compared
 whole, their sketches are: a bit per bucket tells whether a set holds an odd number of shingles of it, so every bit that differs is a
 shingle that only one of them holds, and most candidates that only share a passage are ruled out for certain, by
-a fiftieth of the bytes. First each set is compared with one other of each of its groups. Where a group's sets
+few bytes. In groups whose sets lie in several components, each set is first compared with one other. Where a group's sets
 then still lie in several components, blocks of them are compared by sketch inside a task, and only pairs across components that a
-sketch cannot rule out leave it. A SimHash distance cannot stand for this: pairs of similarity 0.83 are found 11 and 17
-bits apart, where no tree over 64 bits passes anything over.
+sketch cannot rule out leave it.
 """
 
 import math
@@ -17,14 +18,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlab.llm.common import cut, done, with_columns
 from turnlab.llm.components import connected_components
+from turnlab.llm import simhash
 from turnlab.llm.simhash import SEED, labelled, shingle_hashes, smallest_rows
 
 WORDS = 5
 LEAST = 0.8
+REACH = 2               # bits that the fingerprints of first candidates differ in at most
 SAMPLE = 4_096         # sets that tell which shingles are common; any order of shingles gives the same result
 COMMON = 3              # of them that hold a common shingle
 BLOCK = 512             # sets of a group that a task compares by sketch with as many others
@@ -50,8 +54,8 @@ def named(docs, text="text", words=WORDS, name="fp"):
 
 
 def sketch(found):
-    """Parities of a set's shingles by bucket, about four bits a shingle (a power of two of bits)."""
-    bits = min(_SKETCH, 1 << max(6, (4 * len(found) - 1).bit_length()))
+    """Parities of a set's shingles by bucket, one to two bits a shingle (a power of two of bits)."""
+    bits = min(_SKETCH, 1 << max(6, (len(found) - 1).bit_length()))
     counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
@@ -96,32 +100,49 @@ def _common(texts, n, words):
 
 
 def _prefixes(texts, common, words, least):
-    """(shingle, fp): the shingles of a set of which any set similar to it must share one; copies mostly once a task."""
+    """(shingle, fp, often): the shingles of a set of which any set similar to it must share one, and whether the shingle is one
+    of ``common``; copies mostly once a task."""
     seen = set()  # of one task, as each has a copy of this function
 
     def run(found):
         known, times = common.value
-        names, out = [], []
+        names, out, rare = [], [], []
         for text in found:
             held = shingle_set(text, words)
             name = set_name(held)
             names.append(name)
             if name in seen:
                 out.append([])
+                rare.append(0)
                 continue
             if len(seen) >= _SEEN:
                 seen.clear()
             seen.add(name)
             held = held.view("<i8")
             take = len(held) - _share(least, len(held)) + 1 if len(held) else 0
+            rare.append(len(held))
             if len(known):
                 at = np.minimum(np.searchsorted(known, held), len(known) - 1)
-                held = held[np.lexsort((held, np.where(known[at] == held, times[at], 0)))]
+                count = np.where(known[at] == held, times[at], 0)
+                held = held[np.lexsort((held, count))]
+                rare[-1] = int((count == 0).sum())
             out.append(held[:take])
-        return [names, out]
+        return [names, out, rare]
 
-    made = with_columns(texts.select("text"), ["text"], run, "fp long, held array<long>")
-    return made.select(F.explode("held").alias("shingle"), "fp")
+    made = with_columns(texts.select("text"), ["text"], run, "fp long, held array<long>, rare int")
+    made = made.select(F.posexplode("held").alias("at", "shingle"), "fp", "rare")
+    return made.select("shingle", "fp", (F.col("at") >= F.col("rare")).alias("often"))
+
+
+def _shared(prefixes):
+    """(shingle, fp), once each, of the shingles that several sets have; of those known to be common, whether one or several.
+
+    One exchange. The sets of a shingle meet in a task only if it is not known to be common, so they are few.
+    """
+    salt = F.when(F.col("often"), F.col("fp")).otherwise(F.lit(0))
+    meet = W.partitionBy("shingle", "salt")
+    placed = prefixes.withColumn("salt", salt).withColumn("low", F.min("fp").over(meet)).withColumn("high", F.max("fp").over(meet))
+    return placed.where("often OR low < high").select("shingle", "salt", "fp").distinct().select("shingle", "fp")
 
 
 def _unless_apart(pairs, classes, least):
@@ -212,43 +233,55 @@ def _folded(raw, width):
     return found
 
 
-def links(texts, classes, words=WORDS, least=LEAST):
+def _by_fingerprint(classes, reach):
+    """Pairs (a, b) of sets that join those whose SimHash fingerprints lie ``reach`` or fewer bits apart."""
+    one = cut(classes.groupBy("bits").agg(F.min("fp").alias("first")), "fingerprints")
+    same = classes.join(one, "bits").where("fp != first").select("fp", "first")
+    near = simhash.links(one, reach, "bits").join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
+    return same.union(near.select("x", "y")).toDF("a", "b"), one
+
+
+def links(texts, classes, words=WORDS, least=LEAST, reach=REACH):
     """Links (a, b) that join all pairs of sets of similarity ``least`` or more.
 
+    Those that fingerprints within ``reach`` bits propose come first; shared shingles find what these leave.
+
     ``texts`` has (text, key), ``key`` a hash of the text that tells it apart from most; ``classes`` has each set once: (fp, size,
-    sketch, key), ``key`` that of one of its texts. Where ``classes`` is a table of ``cut``, it is deleted with the others.
+    sketch, bits, key), ``bits`` its fingerprint and ``key`` that of one of its texts. Where ``classes`` is a table of ``cut``, it is deleted with the others.
     """
     context = texts.sparkSession.sparkContext
-    held = _prefixes(texts, context.broadcast(_common(texts, classes.count(), words)), words, least)
-    # Read twice rather than written: it is most of what there is to move. A hot shingle is combined before the shuffle.
-    several = held.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    several = cut(several.select("shingle"), "several")
-    held = shared = cut(held.join(several, "shingle").distinct(), "shared", read=[several])
-    # Shingles that the same sets hold, as those of a passage, are one group.
-    alike = held.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"),
-                                        F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
-    alike = alike.groupBy("n", "x", "y").agg(F.min("shingle").alias("shingle"))
-    held = groups = cut(held.join(alike.select("shingle"), "shingle", "left_semi"), "groups", read=[shared])
 
     def ordered(a, b):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    def component_of(near):
-        return cut(connected_components(near), "labels").select(F.col("node").alias("fp"), "component")
-
     def near_of(pairs):
         return _compared(texts, classes, _unless_apart(pairs, classes, least), words, least)
 
+    def across(held, near):
+        """(shingle, fp, component) of the groups whose sets lie in several components of ``near``."""
+        labels = cut(connected_components(near), "labels")
+        of = F.coalesce(labels["component"], held["fp"]).alias("component")
+        marked = cut(held.join(labels, held["fp"] == labels["node"], "left").select("shingle", "fp", of), "labelled", read=[held])
+        open_ = marked.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        return cut(marked.join(open_.select("shingle"), "shingle", "left_semi"), "apart", read=[marked, labels])
+
+    pairs, fingerprints = _by_fingerprint(classes, reach)
+    near = near_of(pairs.select(*ordered("a", "b")).distinct())
+    done(fingerprints)
+    prefixes = _prefixes(texts, context.broadcast(_common(texts, classes.count(), words)), words, least)
+    shared = cut(_shared(prefixes), "shared")
+    # Shingles that the same sets hold, as those of a passage, are one group.
+    alike = shared.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"),
+                                          F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
+    alike = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("shingle").alias("shingle"))
+    held = cut(shared.join(alike.select("shingle"), "shingle", "left_semi"), "groups", read=[shared])
+    held = across(held, near)
     # The set that the others of a group are compared with first differs by group, so one odd set does little harm.
     mix = F.xxhash64(F.pmod("shingle", F.lit(16)))
-    firsts = held.groupBy("shingle").agg(F.min(F.col("fp").bitwiseXOR(mix)).bitwiseXOR(F.first(mix)).alias("first"))
-    pairs = held.join(firsts, "shingle").where("fp != first").select(*ordered("fp", "first")).distinct()
-    near = near_of(pairs)
-    labels = component_of(near)
-    of = F.coalesce("component", "fp").alias("component")
-    held = marked = cut(held.join(labels, "fp", "left").select("shingle", "fp", of), "labelled", read=[groups])
-    open_ = held.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    held = cut(held.join(open_.select("shingle"), "shingle", "left_semi"), "apart", read=[marked])
+    firsts = held.groupBy("shingle").agg(F.min_by(F.struct("fp", "component"), F.col("fp").bitwiseXOR(mix)).alias("first"))
+    pairs = held.join(firsts, "shingle").where("component != first.component").select(*ordered("fp", "first.fp")).distinct()
+    near = near.union(near_of(pairs))
+    held = across(held.drop("component"), near)
     rest = _compared(texts, classes, _open_across(held, classes, least), words, least)
     done(held, classes)
     return near.union(rest)
@@ -265,12 +298,13 @@ def components(docs, doc_id="doc_id", text="text", words=WORDS, least=LEAST):
 
     def compute(texts):
         found = [shingle_set(t, words) for t in texts]
-        return [[set_name(x) for x in found], [len(x) for x in found], [sketch(x) for x in found]]
+        return [[set_name(x) for x in found], [len(x) for x in found], [sketch(x) for x in found],
+                [simhash.majority(x) for x in found]]
 
-    rows = with_columns(docs, ["text"], compute, "fp long, size int, sketch binary")
-    rows = cut(rows.select("doc_id", "fp", "key", "size", "sketch"), "names")
-    least_key = F.min(F.struct("key", "size", "sketch")).alias("of")
-    sets = cut(rows.groupBy("fp").agg(least_key).select("fp", "of.key", "of.size", "of.sketch"), "sets")
+    rows = with_columns(docs, ["text"], compute, "fp long, size int, sketch binary, bits long")
+    rows = cut(rows.select("doc_id", "fp", "key", "size", "sketch", "bits"), "names")
+    least_key = F.min(F.struct("key", "size", "sketch", "bits")).alias("of")
+    sets = cut(rows.groupBy("fp").agg(least_key).select("fp", "of.key", "of.size", "of.sketch", "of.bits"), "sets")
     return labelled(rows.select("doc_id", "fp"), lambda classes: links(docs.select("text", "key"), sets, words, least))
 
 

@@ -37,7 +37,11 @@ def shingle_hashes(text, words=3):
 
 def fingerprint(text, words=3):
     """Signed 64-bit number whose bits are set where over half of the shingle hashes have theirs set."""
-    hashes = shingle_hashes(text or "", words)
+    return majority(shingle_hashes(text or "", words))
+
+
+def majority(hashes):
+    """``fingerprint`` of shingle hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         part = hashes[i:i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
