@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.linalg import SparseVector, DenseVector
 from pyspark.sql import functions as F
 
 from turnlab.learning import boosting, models, splits
+from turnlab.learning.features import assembler, tfidf_stages
 from turnlab.operators.ordering import least_rows
 
 
@@ -106,6 +108,28 @@ def test_only_the_smaller_child_is_counted(monkeypatch):
     assert 3 <= len(seen) <= 9 and max(seen) <= 450  # of 900 rows; none for the last level, whose nodes are not split
 
 
+@pytest.mark.parametrize("loss, outputs", [("softmax", 3), ("logistic", 1)])
+@pytest.mark.parametrize("threads, stretch", [(1, 7), (3, 1 << 16), (4, 50), (20, 50)])
+def test_same_trees_by_threads_and_stretches(monkeypatch, loss, outputs, threads, stretch):
+    rows, kind = fixture(3, n=500, width=9)
+    target = np.array([[float(k == c) for c in range(outputs)] for k in kind])
+    plain = boosting.learn(*sparse(rows), target, loss, trees=4, depth=4)
+    monkeypatch.setattr(boosting, "_STRETCH", stretch)
+    model = boosting.learn(*sparse(rows), target, loss, trees=4, depth=4, threads=threads)
+    assert model.trees == plain.trees and model.gain == plain.gain
+
+
+def test_terms_are_counted_as_rows_and_ties_go_to_the_least(spark, monkeypatch):
+    def fit(*_):
+        raise AssertionError("a text's terms were kept as objects")
+    monkeypatch.setattr(CountVectorizer, "fit", fit)
+    monkeypatch.setattr(CountVectorizer, "_fit", fit)
+    texts = ["dd cc bb aa", "aa dd zz", "zz yy", "bb cc"]
+    table = spark.createDataFrame([(i, t, [float(i % 2)]) for i, t in enumerate(texts)], "idx int, sentence string, y array<double>")
+    model = models._text_model(table, tfidf_stages(vocabulary=4) + [assembler(["text_features"])], F.col("y"), ["odd"], "logistic", 2, 2, .1)
+    assert next(s.vocabulary for s in model.pipeline.stages if hasattr(s, "vocabulary")) == ["aa", "bb", "cc", "dd"]  # zz is as common
+
+
 def test_fit_score_and_importance(spark):
     rows, kind = fixture(9, n=400)
     vectors = [SparseVector(6, [i for i, v in enumerate(r) if v], [v for v in r if v]) if n % 2 else DenseVector(r)
