@@ -53,6 +53,17 @@ def test_pack_round_trip(numbers):
     assert len(data) == sum(max(1, -(-n.bit_length() // 8)) for n in numbers) + -len(numbers) % 4
 
 
+def test_words_are_encoded_by_the_model_and_marks_behind_them_once(monkeypatch):
+    coder, seen, plain = token_files.Encoder(WORD_TOKENIZER), [], token_files.Encoder.ids
+    monkeypatch.setattr(token_files.Encoder, "ids", lambda self, text: seen.append(text) or plain(self, text))
+    words = ["alpha", "Beta", "gamma", "don't", "naïve", "N\u0303o", "İx", "Kelvin", "x1", "ﬁn", "can'", "日本"]
+    texts = [" ".join(w + mark for w in words) for mark in ("", "$$$", "&&&", "###", "%*", '")]}', "...", "@", "'s", "$a", "\u0338")]
+    for text, got in zip(texts, coder.encode_many(texts)):
+        assert np.frombuffer(got, coder.type).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {"alpha", "beta", "gamma", "alpha$$$", "Beta&&&", "gamma###", "naïve%*"} & set(seen)
+    assert seen.count("$$$") == 1
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
     monkeypatch.setattr(token_files, "FILE_BYTES", 1 << 12)

@@ -10,6 +10,7 @@ data. The numbers of a document are filled up with zeros to a multiple of four.
 """
 
 import functools
+import json
 import os
 import uuid
 
@@ -28,7 +29,9 @@ BLOCK_TOKENS = 1 << 20   # after which a block ends; a longer document is a bloc
 _KEPT, _LONGEST = 800_000, 64  # pieces in a table, and characters of a piece that is kept
 _TOGETHER = 2_000        # new words encoded in one call
 _GROUP = 2 << 20         # characters looked up at once
-_BEHIND = ".,;:!?|"
+_BEHIND = ".,;:!?|$%&*#@\")]}"  # runs of their own behind letters
+
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: The lengths of the four numbers behind each control byte, and the mask of a length.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -57,6 +60,20 @@ def unpack(control, data):
     return out & MASKS[lengths]
 
 
+def _keeps_ascii_words(layout):
+    """Whether a tokenizer of this layout hands words of the letters a to z to its model as they are."""
+    def steps(part, many):
+        return layout[part][many] if (layout[part] or {}).get("type") == "Sequence" else [layout[part] or {}]
+
+    for step in steps("normalizer", "normalizers"):
+        if step not in ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}):
+            return False
+    split, *rest = steps("pre_tokenizer", "pretokenizers")
+    return (split.get("type") == "Split" and split["pattern"].get("Regex") == _SPLIT and split["behavior"] == "Removed" and split["invert"]
+            and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+            and layout["post_processor"] is None)
+
+
 class Encoder:
     """The tokenizer of a file, over pieces between spaces and line ends; ids come as little-endian bytes.
 
@@ -71,6 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model if _keeps_ascii_words(json.loads(self.tokenizer.to_str())) else None
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -79,7 +97,7 @@ class Encoder:
         self.known, self.older = {"": b""}, {}
 
     def ids(self, text):
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)  # without offsets
 
     def encode(self, text):
         return self.encode_many([text])[0]
@@ -100,7 +118,8 @@ class Encoder:
 
     def learn(self, pieces):
         """Put new pieces into the table."""
-        known, older, parts, words = self.known, self.older, {}, set()
+        known, older, words = self.known, self.older, set()
+        whole, cores, tails = [], [], []  # not as tuples, which Python's collector would look through again and again
         for piece in pieces:
             found = older.get(piece)
             if found is not None:
@@ -110,18 +129,24 @@ class Encoder:
             low = core.lower()
             if len(piece) <= _LONGEST and core.isalpha() and low.isalpha():  # letters alone are one run for any tokenizer
                 word = low if core.isascii() else core
-                parts[piece] = (word, piece[len(core):])
+                whole.append(piece)
+                cores.append(word)
+                tails.append(piece[len(core):])
                 if word not in known:
                     words.add(word)
             else:
                 known[piece] = self.ids(piece).tobytes()
         self.learn_words(sorted(words))
-        for piece, (word, behind) in parts.items():
-            if behind not in known:
-                known[behind] = self.ids(behind).tobytes()
-            known[piece] = known[word] + known[behind]
+        for behind in set(tails).difference(known):
+            known[behind] = self.ids(behind).tobytes()
+        for piece, word, behind in zip(whole, cores, tails):
+            known[piece] = known[word] + known[behind] if behind else known[word]
 
     def learn_words(self, words):
+        if self.model:
+            for word in filter(str.isascii, words):  # in lower case, so nothing but the model has a say
+                self.known[word] = np.array([t.id for t in self.model.tokenize(word)], self.type).tobytes()
+            words = [w for w in words if not w.isascii()]
         for i in range(0, len(words), _TOGETHER):
             part = words[i:i + _TOGETHER]
             ids = self.ids(" ".join(part))
