@@ -115,6 +115,21 @@ def test_forest_needs_conversations(conversations):
         models.fit_outcome_forest(table)
 
 
+def test_forest_reads_its_table_once(spark):
+    """The stages of the fit read a kept table; the features of a conversation are not made again for each of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def number(x):
+        seen.add(1)
+        return x % 7
+
+    table = spark.range(80).select(F.col("id").alias("dialogue_id"), F.udf(number, "long")("id").alias("sequence_length"),
+                                   F.lit("a").alias("first_da"), F.lit("b").alias("last_da"),
+                                   F.when(F.col("id") % 2 == 0, "Compliance").otherwise("Resistance").alias("outcome"))
+    model = models.fit_outcome_forest(table, trees=3, depth=2)
+    assert seen.value == 80 and len(model.stages[-1].trees) == 3
+
+
 def test_scoring_in_batches(spark):
     df = spark.createDataFrame([(i, "x y" if i % 2 else None) for i in range(150)], "id long, text string").repartition(3)
     got = scoring.score(df, "text", scoring.lexicon_scorer([["x", "y"], ["z"]]), batch=7).collect()
