@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_graph_ops import merged
 from turnlab.llm import jaccard, simhash
+from turnlab.llm.common import filter_of, is_marked
 
 
 def shingles(text):
@@ -134,3 +136,58 @@ def test_a_common_shingle_does_not_meet_in_one_task(spark):
     rows = [(7, i, True) for i in range(50)] + [(8, 1, False), (8, 1, False), (9, 1, False), (9, 2, False)]
     found = jaccard._shared(spark.createDataFrame(rows, "shingle long, fp long, often boolean"))
     assert sorted(map(tuple, found.collect())) == [(7, i) for i in range(50)] + [(9, 1), (9, 2)]
+
+
+def test_pairs_that_sketches_leave_open_stay_in_their_tasks(spark, monkeypatch):
+    """Texts of similarity 0.78 with each other and 0.89 with one: no number of pairs leaves a task, only texts and links."""
+    order, compared, opened = random.Random(8), [], []
+    passage, rows = [f"p{i}" for i in range(82)], []
+    for i in range(40):
+        tail = [f"x{order.randrange(10**9)}" for _ in range(11)]
+        rows += [(2 * i, " ".join(passage + tail)),
+                 (2 * i + 1, " ".join(passage + tail[:6] + [f"y{order.randrange(10**9)}" for _ in range(5)]))]
+    plain, plain_open, plain_linked = jaccard._compared, jaccard._open_across, jaccard._linked_across
+
+    def counted(texts, classes, pairs, *rest):
+        compared.append(pairs.count())
+        return plain(texts, classes, pairs, *rest)
+
+    def open_across(held, *rest):
+        found = plain_open(held, *rest)
+        opened.append((found.count(), found.select("fp").distinct().count(), held.count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "_compared", counted)
+    monkeypatch.setattr(jaccard, "_open_across", open_across)
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    kept = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_ids(rows) == list(range(0, 80, 2))
+    assert sum(compared) < 400  # of 3,160 pairs, nearly all of which sketches leave open
+    (rows_out, sets, held), = opened
+    assert sets > 60 and rows_out <= 8 * held  # at most once in each pair of blocks
+    docs = spark.createDataFrame([(t,) for _, t in rows], "text string").withColumn("key", F.xxhash64("text"))
+    told = [(jaccard.set_name(x), len(x), bytearray(jaccard.sketch(x))) for x in (jaccard.shingle_set(t) for _, t in rows)]
+    classes = spark.createDataFrame([(*c, t) for c, t in zip(told, [r.key for r in docs.collect()])],
+                                    "fp long, size int, sketch binary, key long")
+    group = classes.select(F.lit(1).cast("long").alias("shingle"), "fp", "size", F.col("fp").alias("component"))
+    links = plain_linked(docs, classes, group, jaccard.WORDS, jaccard.LEAST).collect()
+    assert {frozenset(x) for x in links} == {frozenset((a[0], b[0])) for a, b in zip(told[::2], told[1::2])}
+
+
+def test_a_filter_tells_what_is_not_among_its_keys(spark):
+    keys = [0, 1, 32768, 32769, (1 << 20) - 1, -1, (1 << 40) + 5]
+    bits, marks = filter_of(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert bits == 1 << 20
+    found = is_marked(marks.value, pa.array(np.arange(bits))).to_numpy(zero_copy_only=False)
+    assert np.flatnonzero(found).tolist() == sorted({k % bits for k in keys})
+    assert filter_of(spark.range(1 << 17))[0] == 1 << 22  # grows with the keys
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Kept rows whose id isn't in the filter pass without a join; repeated, null and removed ids go through it."""
+    rows = [(i, f"alone {i}") for i in range(300)] + [(7, "alone 7"), (None, "none"), (None, "none"), (500, "alone 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.smallest_rows(docs, jaccard.components(docs), lambda d, name: jaccard.named(d, name=name))
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect() if r.doc_id != 0) == sorted(
+        [(-1, "none")] + [(i, f"alone {i}") for i in range(1, 300)])
+    assert "Union" in kept._jdf.queryExecution().toString() and "__marked" in kept._jdf.queryExecution().toString()

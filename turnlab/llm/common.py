@@ -4,6 +4,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -53,6 +54,30 @@ def done(*tables):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def filter_of(keys, least=20, most=28):
+    """(bits, broadcast) of a filter in front of a join: which values of its ``key`` (long) modulo ``bits`` are among ``keys``.
+
+    About 16 bits a key, 2^``least`` to 2^``most``; of more keys it only lets more rows through. What comes to the driver are
+    pieces of the filter, a bit each.
+    """
+    keys = keys.toDF("key")
+    bits = 1 << min(most, max(least, (16 * keys.count()).bit_length()))
+    at = F.pmod("key", F.lit(bits))
+    pieces = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("piece"))
+    marks = np.zeros(bits // 8 + 4096, np.uint8)  # pieces of 4096 bytes; the number 0 has one of its own
+    for bucket, piece in pieces.collect():
+        marks[4096 * bucket:4096 * (bucket + 1)] = np.frombuffer(piece, np.uint8)
+    return bits, keys.sparkSession.sparkContext.broadcast(marks)
+
+
+def is_marked(marks, column):
+    """Whether the numbers of an Arrow column (a key modulo the bits) are in the filter's ``marks``."""
+    at = column.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.where(at > 0, at - 1 + 8 * 4096, 0)  # as bitmap_bucket_number and bitmap_bit_position count
+    return pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+
 def small_batches(spark, rows=500, size="8m"):
     """Bounds what a Python worker holds at once, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,7 +9,8 @@ whole, their sketches are: a bit per bucket tells whether a set holds an odd num
 shingle that only one of them holds, and most candidates that only share a passage are ruled out for certain, by
 few bytes. In groups whose sets lie in several components, each set is first compared with one other. Where a group's sets
 then still lie in several components, blocks of them are compared by sketch inside a task, and only pairs across components that a
-sketch cannot rule out leave it.
+sketch cannot rule out leave it. Where these are many for their sets, the sets leave it instead, once each: their texts
+meet block by block in a task, which compares them whole and says what links it needs to join them, fewer than there are texts.
 """
 
 import math
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlab.llm.common import cut, done, with_columns
+from turnlab.llm.common import cut, done, filter_of, is_marked, with_columns
 from turnlab.llm.components import connected_components
 from turnlab.llm import simhash
 from turnlab.llm.simhash import SEED, labelled, shingle_hashes, smallest_rows
@@ -32,7 +33,8 @@ REACH = 2               # bits that the fingerprints of first candidates differ
 SAMPLE = 4_096         # sets that tell which shingles are common; any order of shingles gives the same result
 COMMON = 3              # of them that hold a common shingle
 BLOCK = 512             # sets of a group that a task compares by sketch with as many others
-_KNOWN = 1 << 20        # common shingles looked up, and bits of the filter in front of the join of sets
+FEW = 2                 # pairs a set of a block that leave its task as pairs
+_KNOWN = 1 << 20        # common shingles looked up
 _SEEN = 1 << 17         # set names that a task remembers, so as not to repeat its copies
 _SKETCH = 1 << 17       # most bits of a sketch
 
@@ -154,32 +156,33 @@ def _unless_apart(pairs, classes, least):
     return open_.where("open").select("a", "b")
 
 
-def _compared(texts, classes, pairs, words, least):
-    """The pairs (a, b) whose sets are similar."""
-    pairs = cut(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes, "fp")
-    bit = F.pmod("key", F.lit(_KNOWN))
-    wanted = np.zeros(_KNOWN, bool)
-    wanted[needed.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+def _texts_of(texts, classes, names, words):
+    """(fp, text): one text of each set of ``names`` (fp)."""
+    bits, shared = filter_of(names.join(classes, "fp").select("key"))
 
     def pick(batches):  # a text that isn't needed is not made into a set, and copies go on once a task
         seen = set()
         for batch in batches:
-            batch = batch.filter(pa.array(shared.value[batch.column(1).to_numpy()]))
-            names, kept = [], []
+            batch = batch.filter(is_marked(shared.value, batch.column(1)))
+            found, kept = [], []
             for text in batch.column(0).to_pylist():
                 name = set_name(shingle_set(text, words))
                 if name not in seen:
-                    names.append(name)
+                    found.append(name)
                     kept.append(text)
                     if len(seen) < _SEEN:
                         seen.add(name)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kept, pa.string())], ["fp", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(kept, pa.string())], ["fp", "text"])
 
     # Texts travel rather than sets, which are larger and can't be compressed.
-    few = texts.select("text", bit.alias("bit")).mapInArrow(pick, "fp long, text string")
-    few = few.groupBy("fp").agg(F.min("text").alias("text"))
+    few = texts.select("text", F.pmod("key", F.lit(bits)).alias("bit")).mapInArrow(pick, "fp long, text string")
+    return few.groupBy("fp").agg(F.min("text").alias("text"))
+
+
+def _compared(texts, classes, pairs, words, least):
+    """The pairs (a, b) whose sets are similar."""
+    pairs = cut(pairs, "pairs")
+    few = _texts_of(texts, classes, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), words)
     both = (pairs.join(few.select(F.col("fp").alias("a"), F.col("text").alias("one")), "a")
             .join(few.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b"))
     told = with_columns(both, ["one", "other"], lambda x, y: [
@@ -187,16 +190,43 @@ def _compared(texts, classes, pairs, words, least):
     return cut(told.where("near").select("a", "b"), "near-pairs", read=[pairs])
 
 
+def _open_pairs(size, component, sketches, least, own=None):
+    """(x, ys): a row and those of other components, and other ``own`` if given, that its sketch leaves open; each pair once."""
+    wide = np.array([len(x) for x in sketches], np.int64)
+    for width in np.unique(wide):  # a sketch is only folded to those of sets of a like size
+        ys = np.flatnonzero((wide >= width) & (least * wide <= 2 * width))
+        bits = np.array([_folded(x, width) for x in sketches[ys]])
+        for n in np.flatnonzero(wide[ys] == width):
+            x = ys[n]
+            other = (component[ys] != component[x]) & ((wide[ys] > width) | (ys > x))
+            if own is not None:
+                other &= own[ys] != own[x]
+            far = np.bitwise_count(bits[other] ^ bits[n]).sum(axis=1, dtype=np.int64)
+            y = ys[other]
+            yield x, y[may_be_similar(size[y], size[x], far, least)]
+
+
+def _by_block(part, named):
+    """The rows of ``part`` of each value of the columns ``named``."""
+    part = part.sort_values(named, kind="stable", ignore_index=True)
+    key = part[named].to_numpy()
+    cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(part)]):
+        yield part.iloc[a:b]
+
+
 def _open_across(held, classes, least):
-    """Pairs (a, b) of the same group (shingle) in different components that sketches leave open.
+    """(block, fp, component, other): pairs (fp, other) of the same group (shingle) in different components that sketches leave
+    open; where there are over FEW a set, the sets instead, without other. ``block`` names the sets that such pairs join, so what
+    several groups have in common counts once.
 
-    ``held`` has (shingle, fp, component). A group of over BLOCK sets is cut into blocks, and each pair of blocks is
+    ``held`` has (shingle, fp, component, size). A group of over BLOCK sets is cut into blocks, and each pair of blocks is
     compared by itself.
     """
     blocks = held.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
     rows = blocks.agg(F.sum(F.col("blocks") * F.col("n"))).first()[0] or 0
     own = F.pmod(F.xxhash64("fp"), "blocks").cast("long")
-    placed = held.join(blocks.drop("n"), "shingle").join(classes.select("fp", "size", "sketch"), "fp")
+    placed = held.join(blocks.drop("n"), "shingle").join(classes.select("fp", "sketch"), "fp")
     placed = placed.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     placed = placed.select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
                            "own", "fp", "component", "size", "sketch")
@@ -204,26 +234,58 @@ def _open_across(held, classes, least):
     place = F.pmod(F.xxhash64("shingle", "i", "j"), F.lit(1 + rows // (8 * BLOCK)))
 
     def compare(part):
-        part = part.sort_values(["shingle", "i", "j"], kind="stable")
-        key = part[["shingle", "i", "j"]].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        size, fp, own, component = (part[c].to_numpy(np.int64) for c in ("size", "fp", "own", "component"))
-        sketches, i, j, found = part["sketch"].to_numpy(), part["i"].to_numpy(), part["j"].to_numpy(), set()
-        wide = np.array([len(x) for x in sketches], np.int64)
-        for rows in np.split(np.arange(len(part)), cuts):
-            for width in np.unique(wide[rows]):  # a sketch is only folded to those of sets of a like size
-                ys = rows[(wide[rows] >= width) & (least * wide[rows] <= 2 * width)]
-                bits = np.array([_folded(x, width) for x in sketches[ys]])
-                for n in np.flatnonzero(wide[ys] == width):
-                    x = ys[n]
-                    other = (component[ys] != component[x]) & ((own[ys] != own[x]) | (i[x] == j[x]))
-                    y = ys[other]
-                    far = np.bitwise_count(bits[other] ^ bits[n]).sum(axis=1, dtype=np.int64)
-                    y = y[may_be_similar(size[y], size[x], far, least)]
-                    found.update((min(fp[x], v), max(fp[x], v)) for v in fp[y])
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
-
-    return placed.groupBy(place.alias("place")).applyInPandas(compare, "a long, b long").distinct()
+        found = []
+        for block in _by_block(part, ["shingle", "i", "j"]):
+            size, own, component, fp = (block[c].to_numpy(np.int64) for c in ("size", "own", "component", "fp"))
+            top, pairs = np.arange(len(block)), []
+            for x, y in _open_pairs(size, component, block["sketch"].to_numpy(), least,
+                                    None if block["i"].iat[0] == block["j"].iat[0] else own):
+                if len(y):
+                    pairs.append((x, y))
+                    joined = np.unique(top[np.append(y, x)])
+                    top[np.isin(top, joined)] = joined[0]
+            for first in {top[x] for x, _ in pairs}:
+                mine, rows = [(x, y) for x, y in pairs if top[x] == first], np.flatnonzero(top == first)
+                if sum(len(y) for _, y in mine) > FEW * len(rows):
+                    name = set_name(np.sort(fp[rows]))
+                    found += [(name, f, c, None) for f, c in zip(fp[rows].tolist(), component[rows].tolist())]
+                else:
+                    found += [(0, min(fp[x], f), 0, max(fp[x], f)) for x, y in mine for f in fp[y]]
+        block, fp, component, other = zip(*found) if found else ((),) * 4
+        return pd.DataFrame({"block": np.array(block, np.int64), "fp": np.array(fp, np.int64),
+                             "component": np.array(component, np.int64), "other": pd.array(other, "Int64")})
+
+    found = placed.groupBy(place.alias("place")).applyInPandas(compare, "block long, fp long, component long, other long")
+    return found.distinct()
+
+
+def _linked_across(texts, classes, held, words, least):
+    """Links (a, b) that join all similar pairs of the same group (shingle) in different components, as in ``_open_across``."""
+    open_ = cut(_open_across(held, classes, least), "open")
+    near = _compared(texts, classes, open_.where("other IS NOT NULL").select(F.col("fp").alias("a"), F.col("other").alias("b")), words, least)
+    sets = open_.where("other IS NULL").drop("other")
+    if sets.isEmpty():
+        done(open_)
+        return near
+    told = sets.join(_texts_of(texts, classes, sets.select("fp").distinct(), words), "fp")
+    place = F.pmod(F.xxhash64("block"), F.lit(1 + sets.count() // BLOCK))
+
+    def compare(part):
+        found = []
+        for block in _by_block(part, ["block"]):
+            component, fp = (block[c].to_numpy(np.int64, copy=True) for c in ("component", "fp"))
+            held = [shingle_set(t, words) for t in block["text"]]
+            sketches = np.array([sketch(x) for x in held], object)
+            size = np.array([len(x) for x in held], np.int64)
+            for x, ys in _open_pairs(size, component, sketches, least):
+                for y in ys:
+                    if component[x] != component[y] and similar(held[x], held[y], least):
+                        found.append((fp[x], fp[y]))
+                        component[component == component[y]] = component[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    links = told.groupBy(place.alias("place")).applyInPandas(compare, "a long, b long")
+    return near.union(cut(links, "near-links", read=[open_]))
 
 
 def _folded(raw, width):
@@ -254,15 +316,21 @@ def links(texts, classes, words=WORDS, least=LEAST, reach=REACH):
     def ordered(a, b):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
+    def like(size, other):  # what sizes alone leave open, as in ``may_be_similar``
+        a, b = F.col(size), F.col(other)
+        return (1 + least) * F.abs(a - b) <= (1 - least) * (a + b) + 1e-6
+
     def near_of(pairs):
         return _compared(texts, classes, _unless_apart(pairs, classes, least), words, least)
 
     def across(held, near):
-        """(shingle, fp, component) of the groups whose sets lie in several components of ``near``."""
+        """(shingle, fp, size, component) of the groups whose sets lie in several components of ``near``, without pairs of unlike size."""
         labels = cut(connected_components(near), "labels")
         of = F.coalesce(labels["component"], held["fp"]).alias("component")
-        marked = cut(held.join(labels, held["fp"] == labels["node"], "left").select("shingle", "fp", of), "labelled", read=[held])
-        open_ = marked.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        marked = cut(held.join(labels, held["fp"] == labels["node"], "left").select("shingle", "fp", "size", of), "labelled", read=[held])
+        open_ = marked.groupBy("shingle").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"),
+            F.min("size").alias("size"), F.max("size").alias("other")).where("x < y").where((F.col("n") > 2) | like("size", "other"))
         return cut(marked.join(open_.select("shingle"), "shingle", "left_semi"), "apart", read=[marked, labels])
 
     pairs, fingerprints = _by_fingerprint(classes, reach)
@@ -274,15 +342,17 @@ def links(texts, classes, words=WORDS, least=LEAST, reach=REACH):
     alike = shared.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"),
                                           F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
     alike = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("shingle").alias("shingle"))
-    held = cut(shared.join(alike.select("shingle"), "shingle", "left_semi"), "groups", read=[shared])
+    held = shared.join(alike.select("shingle"), "shingle", "left_semi").join(classes.select("fp", "size"), "fp")
+    held = cut(held.select("shingle", "fp", "size"), "groups", read=[shared])
     held = across(held, near)
     # The set that the others of a group are compared with first differs by group, so one odd set does little harm.
     mix = F.xxhash64(F.pmod("shingle", F.lit(16)))
-    firsts = held.groupBy("shingle").agg(F.min_by(F.struct("fp", "component"), F.col("fp").bitwiseXOR(mix)).alias("first"))
-    pairs = held.join(firsts, "shingle").where("component != first.component").select(*ordered("fp", "first.fp")).distinct()
+    firsts = held.groupBy("shingle").agg(F.min_by(F.struct("fp", "size", "component"), F.col("fp").bitwiseXOR(mix)).alias("first"))
+    pairs = held.join(firsts, "shingle").where("component != first.component").where(like("size", "first.size"))
+    pairs = pairs.select(*ordered("fp", "first.fp")).distinct()
     near = near.union(near_of(pairs))
     held = across(held.drop("component"), near)
-    rest = _compared(texts, classes, _open_across(held, classes, least), words, least)
+    rest = _linked_across(texts, classes, held, words, least)
     done(held, classes)
     return near.union(rest)
 

@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from turnlab.llm.common import cut, with_columns
+from turnlab.llm.common import cut, filter_of, is_marked, with_columns
 from turnlab.llm.components import connected_components
 
 SEED = 42
@@ -225,15 +225,21 @@ def deduplicate(docs, doc_id="doc_id", text="text", words=3, reach=2):
 def smallest_rows(docs, found, named, doc_id="doc_id", text="text"):
     """``deduplicate`` for components ``found``; ``named`` adds their fp to rows under a given name."""
     stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = cut(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times"), F.count_if(stay).alias("__kept"))
-              .where("__kept > 0"), "kept")
+    ids = (found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times"), F.count_if(stay).alias("__kept"))
+           .where("__times > 1 OR __kept = 0"))
+    ids = cut(ids, "not-single")
     same = F.col(doc_id).eqNullSafe(F.col("__id"))
-    single = docs.join(ids.where("__times = 1"), same, "left_semi")
+    # Most rows stay as they are. Which these are a filter tells for certain, so only the others are shuffled with their texts.
+    bits, shared = filter_of(ids.select(F.xxhash64("__id")))
+    marked = F.arrow_udf(lambda at: is_marked(shared.value, at), "boolean")(F.pmod(F.xxhash64(doc_id), F.lit(bits)))
+    told = docs.withColumn("__marked", marked)
+    doubtful = told.where("__marked").drop("__marked")
+    single = told.where("NOT __marked").drop("__marked").unionByName(doubtful.join(ids, same, "left_anti"))
     # Rows of a repeated id may lie in several components, so they are picked by their text's fp too.
-    often = ids.where("__times > 1")
+    often = ids.where("__times > 1 AND __kept > 0")
     kept = found.where(stay).join(often.select("__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     kept = cut(kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct(), "kept-texts")
-    several = named(docs.join(often, same, "left_semi"), "__of")
+    several = named(doubtful.join(often, same, "left_semi"), "__of")
     several = several.join(kept, same & (F.col("__of") == F.col("__fp")), "left_semi")
     one = several.groupBy(doc_id, "__of").agg(
         F.min_by(F.struct(*docs.columns), F.struct(text, F.xxhash64(text))).alias("__row"))
