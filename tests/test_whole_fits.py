@@ -25,7 +25,7 @@ def texts(spark):
         F.when(n % 2 == 0, "ap,il").otherwise("pa").alias("da_label")).persist()
 
 
-QUERIES = ["eml_importance_table", "eml_model_importance"]
+QUERIES = ["eml_importance_table", "eml_model_importance", "eml_model_quality"]
 
 
 @pytest.mark.parametrize("query", QUERIES)
