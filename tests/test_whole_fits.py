@@ -25,7 +25,7 @@ def texts(spark):
         F.when(n % 2 == 0, "ap,il").otherwise("pa").alias("da_label")).persist()
 
 
-QUERIES = ["eml_importance_table", "eml_model_importance", "eml_model_quality", "outcome_model_quality", "outcome_predictions", "act_model_report"]
+QUERIES = ["eml_importance_table", "eml_model_importance", "eml_model_quality", "outcome_model_quality", "outcome_predictions", "act_model_report", "act_models_quality"]
 
 
 @pytest.mark.parametrize("query", QUERIES)
